@@ -22,7 +22,7 @@ from assayer.llm.pieces import PIECES, SPACE, Automaton, Vocabulary, vocabulary
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _LIVE: dict[str, PieceCodec] = {}
 
 
@@ -49,51 +49,86 @@ class PieceCodec:
         self.scores = vocab.scores
         self.unknown = min(vocab.scores[i] for i in vocab.normal) - UNKNOWN_PENALTY
         self.units = re.compile(_units([vocab.pieces[i] for i in vocab.normal])).findall
-        self.known: dict[str, list[int]] = {}
+        self.edges: list[list | None] = [None] * len(self.automaton.steps)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_units: dict[str, tuple[int, ...]] = {}
         self.byte_of = {i: b for b, i in vocab.bytes_.items()}
         self.shown = [p.replace(SPACE, " ") for p in vocab.pieces]
 
+    def _relaxed(self, state: int) -> list[tuple[int, float, int]]:
+        """(length, score, piece) of what may end in a state, longest first; piece -1 is an unknown character."""
+        found = [(length, self.scores[piece], piece) for length, piece in self.automaton.outputs(state)]
+        if not found or found[-1][0] > 1:  # no piece is this character alone
+            found.append((1, self.unknown, -1))
+        self.edges[state] = found
+        return found
+
     def viterbi(self, unit: str) -> list[int]:
-        n, scores = len(unit), self.scores
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j, found in enumerate(self.automaton.matches(unit), 1):
-            top = choice = None
+        follow, nexts, edges, state = self.automaton.follow, self.automaton.nexts, self.edges, 0
+        best, back = [0.0], []
+        for c in unit:
+            n = nexts[state].get(c)
+            state = follow(state, c) if n is None else n
+            found = edges[state] or self._relaxed(state)
+            choice = found[0]
+            top = best[-choice[0]] + choice[1]
             for edge in found:
-                score = best[j - edge[0]] + scores[edge[1]]
-                if top is None or score > top:
+                score = best[-edge[0]] + edge[1]
+                if score > top:
                     top, choice = score, edge
-            if top is None or found[-1][0] > 1:  # no piece is this character alone
-                score = best[j - 1] + self.unknown
-                if top is None or score > top:
-                    top, choice = score, (1, -1)
-            best[j], back[j] = top, choice
-        out, j = [], n
+            best.append(top)
+            back.append(choice)
+        out, j = [], len(unit)
         while j:
-            length, piece = back[j]
-            out += [piece] if piece >= 0 else [self.vocab.bytes_[b] for b in reversed(unit[j - 1].encode("utf-8", "surrogatepass"))]
+            length, _, piece = back[j - 1]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.vocab.bytes_[b] for b in reversed(unit[j - 1].encode("utf-8", "surrogatepass"))]
             j -= length
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def _remember(self, cache: dict, key: str, ids: list[int]) -> None:
+        if len(cache) >= REMEMBERED:
+            cache.clear()
+        if len(key) <= 64:
+            cache[key] = tuple(ids)
+
+    def run(self, text: str) -> list[int]:
+        """The ids of a text whose spaces are written as pieces write them."""
+        units, out = self.known_units, []
+        for unit in self.units(text):
+            ids = units.get(unit)
+            if ids is None:
+                ids = self.viterbi(unit)
+                self._remember(units, unit, ids)
+            out += ids
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """The ids; none for null or an empty text."""
         if not text:
             return []
+        if SPACE in text:
+            # A literal U+2581 isn't a space: it is written as bytes, so that decoding is exact.
+            mark = [self.vocab.bytes_[b] for b in SPACE.encode()]
+            out = []
+            for k, part in enumerate(text.split(SPACE)):
+                out += mark if k else []
+                part = ("" if k else SPACE) + part.replace(" ", SPACE)
+                out += self.run(part) if part else []
+            return out
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return self.run(SPACE + text.replace(" ", SPACE))
         known, out = self.known, []
-        # A literal U+2581 in the text isn't a space: it is written as bytes, so that decoding is exact.
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out += [self.vocab.bytes_[b] for b in SPACE.encode()]
-                if not part:
-                    continue
-            for unit in self.units((SPACE if k == 0 else "") + part.replace(" ", SPACE)):
-                ids = known.get(unit)
-                if ids is None:
-                    ids = self.viterbi(unit)
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(unit) <= 64:
-                        known[unit] = ids
-                out += ids
+        for word in text.split(" "):
+            ids = known.get(word)
+            if ids is None:
+                ids = self.run(SPACE + word)
+                if "\n" not in word:
+                    self._remember(known, word, ids)
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -66,18 +66,18 @@ class Automaton:
             f = self.fail[s]
             self.link[s] = f if self.ends[f] else self.link[f]
 
-        self._next: list[dict[str, int]] = [dict(x) for x in self.steps]
+        self.nexts: list[dict[str, int]] = [dict(x) for x in self.steps]
         self._found: list[list[tuple[int, int]] | None] = [None] * len(self.steps)
 
-    def _follow(self, s: int, c: str) -> int:
+    def follow(self, s: int, c: str) -> int:
         """A step that leaves the trie: along the failure links.  It is remembered."""
         at = s
         while at and c not in self.steps[at]:
             at = self.fail[at]
-        self._next[s][c] = at = self.steps[at].get(c, 0)
+        self.nexts[s][c] = at = self.steps[at].get(c, 0)
         return at
 
-    def _outputs(self, s: int) -> list[tuple[int, int]]:
+    def outputs(self, s: int) -> list[tuple[int, int]]:
         """What the output links of a state lead to.  It is remembered."""
         found, o = [], s if self.ends[s] else self.link[s]
         while o:
@@ -88,10 +88,10 @@ class Automaton:
 
     def matches(self, text: str) -> list[list[tuple[int, int]]]:
         """For each character, the (length, piece) pairs that end there, longest first.  Not to be changed."""
-        nexts, known, s, out = self._next, self._found, 0, []
+        nexts, known, s, out = self.nexts, self._found, 0, []
         for c in text:
             n = nexts[s].get(c)
-            s = self._follow(s, c) if n is None else n
+            s = self.follow(s, c) if n is None else n
             found = known[s]
-            out.append(self._outputs(s) if found is None else found)
+            out.append(self.outputs(s) if found is None else found)
         return out
