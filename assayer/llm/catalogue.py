@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from assayer.llm import langid, pieceencoder, quality, secrets, sharding
+from assayer.llm import langid, packing, pieceencoder, quality, secrets, sharding, substrings
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            packing.op2_variable_best_fit,
             secrets.op3_secret_automaton,
             langid.op4_piece_unigrams,
             sharding.op5_minimax_shards,
             quality.op7_rule_cascade,
+            substrings.op9_chunk_dedup,
             pieceencoder.op10_piece_viterbi,
         )
     }
