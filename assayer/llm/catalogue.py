@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import langid, packing, pieceencoder, quality, secrets, sharding, substrings
+from assayer.llm import langid, neardup, packing, pieceencoder, quality, secrets, sharding, substrings
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
             langid.op4_piece_unigrams,
             sharding.op5_minimax_shards,
             quality.op7_rule_cascade,
+            neardup.op8_bayes_neardup,
             substrings.op9_chunk_dedup,
             pieceencoder.op10_piece_viterbi,
         )

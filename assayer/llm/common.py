@@ -67,8 +67,15 @@ class Workspace:
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Row ranges of the batches of about max_bytes at most (one row may be larger), so working memory is bounded."""
+    """Row ranges of the batches of about max_bytes at most (one row may be larger), so working memory is bounded.
+
+    They are copies, not views: Arrow's ascii_lower takes a view of large
+    strings for the whole.
+    """
     for batch in batches:
         rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
+        if rows >= batch.num_rows:
+            yield batch
+            continue
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            yield batch.take(pa.array(range(start, min(start + rows, batch.num_rows))))
