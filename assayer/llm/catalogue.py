@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from assayer.llm import langid, neardup, packing, pieceencoder, quality, secrets, sharding, substrings
+from assayer.llm import langid, media, neardup, packing, pieceencoder, quality, secrets, sharding, substrings
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            media.op1_chunked_media,
             packing.op2_variable_best_fit,
             secrets.op3_secret_automaton,
             langid.op4_piece_unigrams,
