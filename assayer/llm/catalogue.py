@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import langid, media, neardup, packing, pieceencoder, quality, secrets, sharding, substrings
+from assayer.llm import langid, lm, media, neardup, packing, pieceencoder, quality, secrets, sharding, substrings
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
             secrets.op3_secret_automaton,
             langid.op4_piece_unigrams,
             sharding.op5_minimax_shards,
+            lm.op6_attention_lm,
             quality.op7_rule_cascade,
             neardup.op8_bayes_neardup,
             substrings.op9_chunk_dedup,
