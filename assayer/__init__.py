@@ -1,0 +1 @@
+"""Declarative schema validation on Spark."""
