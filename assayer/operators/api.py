@@ -63,7 +63,8 @@ def validate(df: DataFrame, type_: str | Type, schema: Schema | None = None, col
     if mode == "flag":
         return df.withColumn("is_valid", truth)
     if mode == "filter":
-        return df.where(truth)
+        compiler = Compiler(options)
+        return df.where(column(both(compiler.implied(t, _view(df, col, compiler.options)), truth)))
     if mode == "reject":
         return df.where(~truth)
     leaves = violations(df, t, schema, col, options)

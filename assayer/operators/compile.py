@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assayer.functions.ion import Element
 from assayer.functions.ranges import Range
 from assayer.operators.interpret import show_path
-from assayer.operators.views import Options, Symbol, Truth, View, both, column, either, negated, sure
+from assayer.operators.views import Options, Symbol, Truth, Typed, View, both, column, either, negated, plainly, sure
 from assayer.plans.model import SimpleAnnotations, show_offset
 from assayer.plans.system import BUILTINS, Ref, Type
 
@@ -115,12 +116,7 @@ class Compiler:
         parts: list[Truth] = [kind, v.finite()] if r.kind == "number" else [kind]
         for limit, inclusive, exclusive in ((r.lower, "__ge__", "__gt__"), (r.upper, "__le__", "__lt__")):
             if limit.value is not None:
-                if r.kind == "timestamp":
-                    from assayer.operators.views import _micros
-
-                    bound = _micros(limit.value)
-                else:
-                    bound = v.number(format(Decimal(limit.value), "f"))
+                bound = v.at(limit.value) if r.kind == "timestamp" else v.number(format(Decimal(limit.value), "f"))
                 parts.append(sure(getattr(x(), exclusive if limit.exclusive else inclusive)(bound)))
         return both(*parts)
 
@@ -310,6 +306,37 @@ class Compiler:
                 at = F.when(here, at + 1).otherwise(at)
         return [("annotation_mismatched", ok)] + ([("unexpected_annotation", negated(ok) | (at > F.size(notes)))] if arg.closed else [])
 
+    # ---- what a filter can push down
+
+    def implied(self, t: Type, v: View) -> Truth:
+        """A plain predicate that holds for every valid value; sources can take it, as no coalesce hides it."""
+        if not isinstance(v, Typed) or t.kind == "document":
+            return True
+        if t.kind == "atom":
+            return both(v.kind == t.ion_type, v.col.isNotNull()) if not t.nullable and v.kind not in ("struct", "list") else True
+        self._enter(t)
+        try:
+            return both(*[self._implied(name, arg, v) for name, arg in t.constraints])
+        finally:
+            self._stack.pop()
+
+    def _implied(self, name: str, arg, v: Typed) -> Truth:
+        below = lambda r, x: True if r.nullability else self.implied(r.type, x)
+        if name == "type":
+            return below(arg, v)
+        if name == "all_of":
+            return both(*[below(r, v) for r in arg])
+        if name in ("any_of", "one_of"):
+            return either(*[below(r, v) for r in arg])
+        if name == "fields" and isinstance(v.dtype, StructType):
+            members = v.members()
+            needed = [(members[k], r) for k, r in arg[0].items() if (r.occurs.whole()[0] or 0) >= 1 and k in members]
+            return both(*[both(negated(m.absent()), below(r, m)) for m, r in needed])
+        if name == "valid_values" and v.kind in ("int", "float", "decimal", "string", "symbol", "timestamp") and not any(getattr(x, "is_null", False) for x in arg):
+            with plainly():
+                return self._valid_values(arg, v)
+        return True
+
     # ---- violations
 
     def leaves(self, t: Type, v: View, path: list | None = None) -> Column:

@@ -7,8 +7,11 @@ that a schema's types already decide leaves no trace in the plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,9 +45,22 @@ def column(p: Truth) -> Column:
     return F.lit(p) if isinstance(p, bool) else p
 
 
+_PLAIN: ContextVar[bool] = ContextVar("plain", default=False)
+
+
 def sure(c: Column) -> Column:
     """A predicate with NULL as false: results of constraints are never unknown."""
-    return F.coalesce(c, F.lit(False))
+    return c if _PLAIN.get() else F.coalesce(c, F.lit(False))
+
+
+@contextmanager
+def plainly() -> Iterator[None]:
+    """Within it predicates may be NULL: for conjunctions of a filter, which sources can then take."""
+    token = _PLAIN.set(True)
+    try:
+        yield
+    finally:
+        _PLAIN.reset(token)
 
 
 @dataclass(frozen=True)
@@ -200,7 +216,7 @@ class Typed(View):
         if kind == "blob" and e.type in ("blob", "clob"):
             return sure(self.col == F.lit(bytearray(v)))
         if kind == "timestamp" and e.type == "timestamp":
-            return sure(self.instant() == _micros(v))
+            return sure(self.instant() == self.at(v))
         if kind == "list" and e.type in ("list", "sexp"):
             parts = [either(self.child(F.get(self.col, F.lit(k))).equals(x)) for k, x in enumerate(v)]
             return both(sure(F.size(self.col) == len(v)), *parts)
@@ -214,12 +230,17 @@ class Typed(View):
         return ~(F.isnan(self.col) | self.col.isin(float("inf"), float("-inf"))) if self.kind == "float" else True
 
     def instant(self) -> Column:
-        """Microseconds from 1970 in UTC; without an offset the local time is taken for it."""
+        """A moment in UTC, as the column has it if it can; without an offset the local time is taken for it."""
         if self.name in self.options.timestamps:
             return F.unix_micros(F.try_to_timestamp(self.col))
-        if isinstance(self.dtype, T.TimestampNTZType | T.DateType):
-            return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01T00:00:00").cast("timestamp_ntz"), self.col.cast("timestamp_ntz"))
-        return F.unix_micros(self.col)
+        return self.col.cast("timestamp_ntz") if isinstance(self.dtype, T.DateType) else self.col
+
+    def at(self, t: Timestamp) -> Column:
+        """A moment in the type of instant()."""
+        if self.name in self.options.timestamps:
+            return F.lit(_micros(t))
+        moment = F.timestamp_micros(F.lit(_micros(t)))
+        return moment if isinstance(self.dtype, T.TimestampType) else F.to_timestamp_ntz(F.lit(_shown(t)))
 
     def stamp_digits(self) -> Column | int:
         if self.name in self.options.timestamps:
@@ -262,9 +283,15 @@ class Typed(View):
         return self.col.cast("double")
 
 
-def _micros(t: Timestamp) -> Column:
+def _micros(t: Timestamp) -> int:
+    """Microseconds from 1970 in UTC."""
     seconds, part = t.instant()
-    return F.lit((seconds - 62135596800) * 1_000_000 + int(part * 1_000_000))
+    return (seconds - 62135596800) * 1_000_000 + int(part * 1_000_000)
+
+
+def _shown(t: Timestamp) -> str:
+    moment = datetime(1970, 1, 1) + timedelta(microseconds=_micros(t))
+    return moment.isoformat(sep=" ", timespec="microseconds")
 
 
 class Row(Typed):
@@ -365,6 +392,9 @@ class Variant(View):
     def instant(self) -> Column:
         return F.unix_micros(self.get("timestamp"))
 
+    def at(self, t: Timestamp) -> Column:
+        return F.lit(_micros(t))
+
     def stamp_digits(self) -> Column:
         return F.lit(6)
 
