@@ -6,12 +6,14 @@ by batch of their signatures: after each batch the posterior chance that the
 similarity reaches the threshold is looked up, and a pair is dropped once it
 falls below the chosen miss probability.  Survivors are verified on full sets.
 
-A bucket's members are first compared with one of them, the pivot, which takes
-as many pairs as members.  Only buckets in which several components remain are
-opened further: their members outside the largest component become pivots in
-turn, until one component is left or all pairs across components are compared.
-So a group of copies costs its size, not its square, and no link between
-components is lost.
+A bucket's members are compared with one of them, the pivot: that which meets
+most others in all its buckets, as the source of a group of copies does.  So a
+group costs its size, not its square.  Nodes of buckets in which several
+components remain are open, and get an exact second search, by prefixes: with
+shingles ordered from rare to common, two sets can only reach the threshold if
+they share one among the first few of each.  A copy with many edits has new
+shingles there, which nobody shares, and is done; others meet the few that have
+the same edits.  No link between components is lost, however large a group is.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.common import Workspace, columns, slices, table
@@ -38,8 +40,6 @@ BANDS, ROWS = 24, 5
 BATCH = 24
 #: A candidate is dropped when its similarity reaches the threshold with less than this chance.
 MISS = 1e-6
-#: Pivots that an open bucket gets in one round.
-PIVOTS = 16
 
 _rng = np.random.default_rng(1201)
 _A = (_rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -192,6 +192,45 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= THRESHOLD * union).select("a", "b")
 
 
+def _stars(buckets: DataFrame, work: Workspace) -> DataFrame:
+    """buckets(key, n, node) -> pairs (a, b): each bucket's pivot and every other member."""
+    degrees = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = buckets.select("key", "node").join(degrees, "node")
+    pivots = work.write(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("a")), "pivots")
+    return buckets.select("key", F.col("node").alias("b")).join(pivots, "key").where("a <> b").select("a", "b").distinct()
+
+
+def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs (a, b) of different components that lie in open buckets and may reach the threshold.
+
+    A node's entries are its rarest shingles, with their places in its order.
+    Shingles that no other open node has count as places but need no entry.
+    Entries of a shingle's largest component meet only those of others.
+    """
+    named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = work.write(named, "named")
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_ = named.join(several, "key").select("node", "component").distinct()
+    held = work.write(sets.join(open_, "node"), "open")
+    each = held.select("node", F.explode("shingles").alias("token"))
+    frequency = work.write(each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "frequency")
+    ordered = each.join(frequency, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+    size, alone = F.size("shingles"), F.col("size") - F.size("order")
+    rows = held.select("node", "component", size.alias("size")).join(ordered, "node").select("node", "component", "size", "order", alone.alias("alone"))
+    first = F.col("size") - F.ceil(F.col("size") * THRESHOLD / 100).cast("int") + 1 - F.col("alone")
+    rare = F.slice("order", F.lit(1), F.greatest(first, F.lit(0)))
+    entries = rows.select("node", "component", "size", "alone", F.posexplode(rare).alias("at", "x")).select(F.col("x.token").alias("token"), "node", "component", "size", (F.col("alone") + F.col("at")).alias("place"))
+    entries = work.write(entries, "entries")
+    counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    aside = entries.join(largest.select("token", F.col("top.component").alias("largest")), "token").where("component <> largest").drop("largest")
+    x, y = aside.alias("x"), entries.alias("y")
+    common = F.ceil((F.col("x.size") + F.col("y.size")) * THRESHOLD / (100 + THRESHOLD))
+    fits = (F.col("x.place") + common <= F.col("x.size")) & (F.col("y.place") + common <= F.col("y.size"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits)
+    return work.write(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of docs.
 
@@ -207,36 +246,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     features = work.write(_features(docs), "features")
     nodes = work.write(features.where("node is not null").dropDuplicates(["node"]), "nodes")
     keyed = _keys(nodes)
-    shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "shared")
+    shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = work.write(keyed.join(shared, "key"), "buckets")
     members = buckets.select("node").distinct()
     sets = work.write(_sets(docs, nodes.join(members, "node").select("node", "doc_id")), "sets")
-    compared = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = work.write(_links(compared, nodes, sets), "links-0")
-    labels = components(links, work, "labels-0")
-    pivots = buckets.select("key", F.col("pivot").alias("node")).distinct()
-    step = 0
-    while True:
-        # Buckets whose members, but for those that were pivots, lie in several components.
-        named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        free = named.join(pivots, ["key", "node"], "left_anti")
-        sizes = free.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
-        aside = free.join(largest, "key").where(F.col("component") != F.col("top.component"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        chosen = work.write(aside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("component").alias("c")), f"chosen-{step}")
-        if not chosen.limit(1).count():
-            break
-        pairs = chosen.join(named, "key").where(F.col("c") != F.col("component")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        step += 1
-        links = work.write(links.union(_links(pairs, nodes, sets)), f"links-{step}")
-        pivots = work.write(pivots.union(chosen.select("key", F.col("a").alias("node"))), f"pivots-{step}")
-        labels = components(links, work, f"labels-{step}")
+    links = work.write(_links(_stars(buckets, work), nodes, sets), "links")
+    labels = components(links, work, "first")
+    more = work.write(_links(_across(buckets, labels, sets, work), nodes, sets), "more")
+    work.drop("nodes", "shared", "buckets", "sets", "pivots", "named", "open", "frequency", "entries", "across")
+    labels = components(links.union(more), work, "labels")
     least = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     result = work.write(named.join(lowest, "component").select("node", "component_id"), "result")
-    work.drop("nodes", "shared", "buckets", "sets")
     own = features.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
