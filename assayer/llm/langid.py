@@ -35,6 +35,7 @@ SMOOTHING = 0.5
 #: Characters of a word after which the forward sums are rescaled.
 RESCALE = 32
 REMEMBERED = 300_000
+#: Runs of letters, and of what counts as such in a word: numbers that are no digits.
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -100,7 +101,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior; `und` and 0 for a text without a letter."""
         tokens = LETTERS((text or "").lower())
-        if not tokens or not self.languages:
+        if not self.languages or not any(c.isalpha() for token in tokens for c in token):
             return UNDETERMINED, 0.0
         word, rows = self.word, [0.0] * len(self.languages)
         for token, n in Counter(tokens).items():
