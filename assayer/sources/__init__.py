@@ -1,5 +1,5 @@
 """Ion files as DataFrames, schema documents from a table, and sinks."""
 
-from assayer.sources.ion import TableAuthority, catalogue, read_ion, write_ion
+from assayer.sources.ion import TableAuthority, catalogue, read_ion, schema_issues, write_ion
 
-__all__ = ["TableAuthority", "catalogue", "read_ion", "write_ion"]
+__all__ = ["TableAuthority", "catalogue", "read_ion", "schema_issues", "write_ion"]

@@ -51,6 +51,29 @@ class TableAuthority:
         return read_all(found[0]["text"])
 
 
+def schema_issues(df: DataFrame, id: str = "id", text: str = "text", system: SchemaSystem | None = None) -> DataFrame:
+    """id, ok and issue of schema documents in a table; issue says which rule a document breaks.
+
+    Imports are looked up through the authorities of `system`.
+    """
+    system = system or SchemaSystem()
+    kind = dict(df.dtypes)[id]
+
+    def issue(name, body: str | None) -> str | None:
+        try:
+            system.new_schema(body or "", str(name))
+        except (ValueError, LookupError, RecursionError) as e:
+            return f"{type(e).__name__}: {e}"
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [issue(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x is None for x in found]), pa.array(found, pa.string())], ["id", "ok", "issue"])
+
+    return df.select(id, text).mapInArrow(run, f"id {kind}, ok boolean, issue string")
+
+
 def catalogue(spark: SparkSession, system: SchemaSystem, *schema_ids: str) -> DataFrame:
     """schema, type, origin and text of all types of the schemas."""
     rows = [r for s in schema_ids for r in system.load_schema(s).rows]

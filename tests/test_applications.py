@@ -9,7 +9,7 @@ from assayer.__main__ import main
 from assayer.operators.api import sandbox_validate, validate, validate_ion
 from assayer.plans.conformance import run_file
 from assayer.plans.system import MapAuthority, SchemaSystem
-from assayer.sources import TableAuthority, catalogue, read_ion, write_ion
+from assayer.sources import TableAuthority, catalogue, read_ion, schema_issues, write_ion
 from assayer.streaming import quarantine, validate_stream, windowed_validity
 
 SCHEMA = "$ion_schema_2_0 type::{name: t, fields: {a: {type: int, valid_values: range::[0, 9], occurs: required}}}"
@@ -86,6 +86,13 @@ def test_schemas_in_a_table(spark):
     assert [tuple(r)[:3] for r in catalogue(spark, system, "s.isl").collect()] == [("s.isl", "t", "defined")]
 
 
+def test_schema_issues(spark):
+    table = spark.createDataFrame([(1, SCHEMA), (2, "type::{"), (3, "type::{name: t, type: gone}"), (4, None), (None, 'type::{name: t, type: {id: "base", type: u}}')], "id int, text string")
+    rows = {r["id"]: r for r in schema_issues(table, system=SchemaSystem([MapAuthority({"base": "type::{name: u}"})])).collect()}
+    assert {k: r["ok"] for k, r in rows.items()} == {1: True, 2: False, 3: False, 4: True, None: True}
+    assert "gone" in rows[3]["issue"] and rows[1]["issue"] is None
+
+
 def test_report_and_modes(spark):
     df = spark.createDataFrame([(1,), (20,), (None,)], "a int")
     schema = SchemaSystem().new_schema(SCHEMA, "s")
