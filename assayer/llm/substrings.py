@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the bytes before each word start decides, from content
-alone, where chunks end, so an insertion moves no boundary but those next to it.
+alone, where chunks end, so an insertion moves no boundary but those next to it;
+where nothing ends a chunk, as in one word over and over, its length does.
 Chunks that several documents have are found by their digests; in every document
 but the one of the smallest id, runs of such chunks with min_words words or more
 are taken out.
@@ -21,10 +22,12 @@ from assayer.llm.common import Workspace, columns, slices, table
 from assayer.llm.gear import SPACE, HashFilter, gear_at, payload
 
 #: A chunk ends at a word start with this chance: so many words on average.
-MEAN_WORDS = 5
+MEAN_WORDS = 4
 WINDOW = 16
+#: A chunk has so many words at most.
+MOST_WORDS = 24
 #: Runs of repeated chunks shorter than this stay: phrases, licence lines, names.
-MIN_WORDS = 25
+MIN_WORDS = 20
 
 
 class Chunks:
@@ -43,6 +46,9 @@ class Chunks:
         cut[1:] |= doc[1:] != doc[:-1]
         cut[:1] = True
         at = np.flatnonzero(cut)
+        more = (np.diff(np.append(at, len(starts))) - 1) // MOST_WORDS
+        step = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        at = np.sort(np.concatenate([at, np.repeat(at, more) + step * MOST_WORDS]))
         self.doc = doc[at]
         begin = starts[at]
         end = np.append(begin[1:], len(data))
