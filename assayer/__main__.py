@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
-from assayer.functions.ion import IonError, read_all
+from assayer.functions.ion import IonError
+from assayer.functions.ionbinary import read_any
 from assayer.operators.interpret import validate
 from assayer.plans.model import to_isl
 from assayer.plans.system import FileAuthority, SchemaSystem, UnresolvableSchemaError
@@ -13,8 +14,8 @@ from assayer.plans.system import FileAuthority, SchemaSystem, UnresolvableSchema
 
 def _report(path: str, type_, schema_id: str) -> int:
     bad = 0
-    with open(path, encoding="utf-8") as f:
-        for value in read_all(f.read()):
+    with open(path, "rb") as f:
+        for value in read_any(f.read()):
             found = validate(value, type_)
             bad += found is not None
             print(f"{value} of {schema_id}: {'Invalid' if found else 'Valid'}")

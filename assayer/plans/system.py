@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any, Protocol
 
-from assayer.functions.ion import TYPES, Element, IonError, read_all
+from assayer.functions.ion import TYPES, Element, IonError
+from assayer.functions.ionbinary import read_any
 from assayer.functions.ranges import InvalidSchemaError, Range
 from assayer.plans import model
 from assayer.plans.model import IslSchema, IslType, TypeRef
@@ -30,20 +31,20 @@ class FileAuthority:
         self.folder = folder
 
     def elements(self, schema_id: str) -> list[Element]:
-        with open(os.path.join(self.folder, schema_id), encoding="utf-8") as f:
-            return read_all(f.read())
+        with open(os.path.join(self.folder, schema_id), "rb") as f:
+            return read_any(f.read())
 
 
 class MapAuthority:
-    """Documents in a dict of id to text."""
+    """Documents in a dict of id to text, or to binary Ion."""
 
-    def __init__(self, documents: dict[str, str]):
+    def __init__(self, documents: dict[str, str | bytes]):
         self.documents = documents
 
     def elements(self, schema_id: str) -> list[Element]:
         if schema_id not in self.documents:
             raise FileNotFoundError(schema_id)
-        return read_all(self.documents[schema_id])
+        return read_any(self.documents[schema_id])
 
 
 @dataclass(eq=False)
@@ -157,7 +158,7 @@ class SchemaSystem:
         return model.parse_schema(self._elements(schema_id), schema_id)
 
     def new_isl_schema(self, text: str | bytes, schema_id: str) -> IslSchema:
-        return model.parse_schema(read_all(text.decode() if isinstance(text, bytes) else text), schema_id)
+        return model.parse_schema(read_any(text), schema_id)
 
     def load_schema(self, schema_id: str) -> Schema:
         if schema_id not in self._loaded:

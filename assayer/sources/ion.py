@@ -8,25 +8,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.functions.ion import Element, IonError, read_all, write
+from assayer.functions.ionbinary import read_any
 from assayer.plans.system import SchemaSystem
 
 
 def read_ion(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """file, position, value (Ion text) and error of the top-level values of text files.
+    """file, position, value (Ion text) and error of the top-level values of files, text or binary.
 
-    lines: each line is read by itself, so large files are split among tasks;
-    otherwise a file is read whole.  What isn't Ion gives one row with an error.
+    lines: each line of text files is read by itself, so large files are split
+    among tasks; otherwise a file is read whole.  What isn't Ion gives one row
+    with an error.
     """
-    source = spark.read.text(path, wholetext=not lines).selectExpr("_metadata.file_path AS file", "value")
+    if lines:
+        source = spark.read.text(path).selectExpr("_metadata.file_path AS file", "cast(value AS binary) AS value")
+    else:
+        source = spark.read.format("binaryFile").load(path).selectExpr("path AS file", "content AS value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(file, k, write(e), None) for k, e in enumerate(read_all(text))]
+                    rows += [(file, k, write(e), None) for k, e in enumerate(read_any(data))]
                 except IonError as e:
-                    rows.append((file, 0, text, str(e)))
+                    rows.append((file, 0, data.decode("utf-8", "replace"), str(e)))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["file", "position", "value", "error"])
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.__main__ import main
+from assayer.functions.ion import read_all
+from assayer.functions.ionbinary import write_binary
 from assayer.operators.api import sandbox_validate, validate, validate_ion
 from assayer.plans.conformance import run_file
 from assayer.plans.system import MapAuthority, SchemaSystem
@@ -64,6 +66,10 @@ def test_ion_files(spark, folder):
     assert validate_ion(df, "value", "t", schema, mode="filter").count() == 1
     report = validate_ion(df, "value", "t", schema, mode="report").collect()
     assert sorted(r["result"] for r in report) == ["Invalid", "Invalid", "Valid"] and {r["schema"] for r in report} == {"s"}
+    (folder / "binary.ion").write_bytes(write_binary(read_all("{a: 5} {a: 12} {b: 1}")))
+    assert sorted(r["value"] for r in read_ion(spark, str(folder / "binary.ion")).collect()) == sorted(r["value"] for r in df.collect())
+    (folder / "binary.isl").write_bytes(write_binary(read_all(SCHEMA)))
+    assert main(["validate", "-d", str(folder), "-s", "binary.isl", "-t", "t", "-i", str(folder / "binary.ion")]) == 1
     (folder / "broken.ion").write_text("{a: ")
     assert read_ion(spark, str(folder / "broken.ion")).first()["error"]
     assert read_ion(spark, str(folder / "values.ion"), lines=True).count() == 3

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assayer.functions.ion import Element, IonError, from_python, read_all, read_one, write
+from assayer.functions.ionbinary import MARKER, read_any, write_binary
 
 TEXTS = [
     "null", "null.int", "true", "5", "-5", "0x1F", "0b101", "1_000", "5.", "5.0", "-0.0", "5d3", "5e0", "nan", "+inf", "-inf",
@@ -55,3 +56,33 @@ def test_round_trip_of_anything(value):
 
 def test_decimals_keep_their_digits():
     assert read_one(write(from_python(Decimal("1.500")))).value.as_tuple() == Decimal("1.500").as_tuple()
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_binary_round_trip(text):
+    values = read_all(text) + read_all("then::[x, $y, {then: 1}]")
+    assert [e.key() for e in read_any(write_binary(values))] == [e.key() for e in values]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.binary() | st.text(st.characters(exclude_categories=["Cs"])) | st.decimals(allow_nan=False, allow_infinity=False), lambda x: st.lists(x, max_size=20) | st.dictionaries(st.text(st.characters(exclude_categories=["Cs"]), max_size=5), x, max_size=4), max_leaves=30))
+def test_binary_round_trip_of_anything(value):
+    e = from_python(value)
+    assert [x.key() for x in read_any(write_binary([e, e]))] == [e.key()] * 2
+
+
+def test_known_bytes():
+    of = lambda h: [write(e) for e in read_any(MARKER + bytes.fromhex(h.replace(" ", "")))]
+    assert of("0F 1F 10 11 20 21 05 31 05 22 01 00") == ["null", "null.bool", "false", "true", "0", "5", "-5", "256"]
+    assert of("40 48 3F F8 00 00 00 00 00 00 44 3F C0 00 00") == [write(read_one(x)) for x in ("0e0", "1.5e0", "1.5e0")]
+    assert of("52 C1 05 50 52 C1 85") == [write(read_one(x)) for x in ("0.5", "0d0", "-0.5")]
+    assert of("63 C0 0F D0") == ["2000T"] and of("68 80 0F D0 81 81 80 80 80") == ["2000-01-01T00:00:00Z"]
+    assert of("71 04 82 68 69 B2 21 01 C0 D2 84 20") == ["name", '"hi"', "[1]", "()", "{name: 0}"]
+    assert of("E4 81 84 21 05") == ["name::5"] and of("02 00 00 21 05") == ["5"]
+    assert of("EB 81 83 D8 87 B6 83 61 62 63 81 64 71 0A 71 0B") == ["abc", "d"]
+
+
+@pytest.mark.parametrize("data", ["e0020 0ea", "e00100ea 8f f0", "e00100ea 85 61", "e00100ea 13", "e00100ea 71 63", "e00100ea 43 00 00 00", "e00100ea 81 ff", "ff fe 00", "e00100ea e3 81 84 00", "e00100ea be"])
+def test_broken_binary(data):
+    with pytest.raises(IonError):
+        read_any(bytes.fromhex(data.replace(" ", "")))
