@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_rule_cascade": quality.OP7_SQL}
+    return {"op7_rule_cascade": quality.OP7_SQL, "op8_bayes_neardup": neardup.OP8_SQL}

@@ -2,14 +2,15 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import ODD, WORDS, edited, folder, frame, prose
 
 from assayer.llm import neardup
-from assayer.llm.components import components
 from assayer.llm.common import Workspace
+from assayer.llm.components import components
 
 
 def brute(rows):
@@ -86,10 +87,14 @@ def test_empty_table_and_clashing_columns(spark):
 
 
 def test_query(spark, tmp_path):
-    texts = groups(9)
-    df = neardup.op8_bayes_neardup(spark, folder(spark, tmp_path, texts))
+    texts = [*groups(9), *ODD]
+    path = folder(spark, tmp_path, texts)
+    df = neardup.op8_bayes_neardup(spark, path)
     assert df.columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
     assert of(df) == brute(list(enumerate(texts)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert of(df) == sorted(con.execute(neardup.OP8_SQL).fetchall(), key=repr)
 
 
 def test_the_bayesian_bound_is_the_posterior():
