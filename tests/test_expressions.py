@@ -190,3 +190,10 @@ def test_columns_with_awkward_names(spark):
     schema = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, fields: {'a.b': {valid_values: [1], occurs: required}, 'is valid': string, is_valid: bool}}", "x")
     assert validate(df, "t", schema, mode="filter").count() == 1
     assert validate(df, "t", schema).first()["is_valid"] is True
+
+
+def test_long_sequences_are_interpreted(spark):
+    df = spark.createDataFrame([(k, [1] * k) for k in (2, 3, 70, 100, 101)], "k int, l array<int>")
+    schema = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, ordered_elements: [{type: int, occurs: range::[3, 100]}]}", "x")
+    assert {r["k"]: r["is_valid"] for r in validate(df, "t", schema, "l").collect()} == {2: False, 3: True, 70: True, 100: True, 101: False}
+    assert validate(df, "t", schema, "l", mode="reject").count() == 2
