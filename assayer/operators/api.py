@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from assayer.functions.ion import Element, IonError
 from assayer.operators import interpret
-from assayer.operators.compile import LEAF, Compiler, NotCompilable
+from assayer.operators.compile import LEAF, Automaton, Compiler, NotCompilable
+from assayer.operators.documents import ordered_documents
 from assayer.operators.views import Options, Row, Typed, Variant, View, both, column, sure
 from assayer.plans.system import BUILTINS, Schema, SchemaSystem, Type
 
@@ -136,13 +137,14 @@ def validate_document(df: DataFrame, type_: str | Type, schema: Schema | None =
     """is_valid for the frame, or each group of `by`, as one document whose values are the rows (or a column).
 
     All constraints but ordered_elements need counts and minima only and are
-    combined before the shuffle.  ordered_elements (and distinct elements) gather
-    a group's values in order: with them, groups should be small.
+    combined before the shuffle.  For ordered_elements rows are dealt out by
+    range, so a document may be of any length.
     """
     options = options or Options()
     t = _type(schema, type_)
     compiler, view = Compiler(options), _view(df, col, options)
     made: list[Column] = []
+    ordered: list[DataFrame] = []
 
     def aggregate(x: Column) -> Column:
         made.append(x)
@@ -179,9 +181,10 @@ def validate_document(df: DataFrame, type_: str | Type, schema: Schema | None =
         if name == "ordered_elements":
             if order_by is None:
                 raise ValueError("ordered_elements over a document needs order_by")
-            rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), view.col.alias("v")))), lambda x: x["v"])
-            items = aggregate(rows)
-            return compiler._ordered_elements(arg, Typed(items, T.ArrayType(view.dtype), options))
+            auto = Automaton(arg)
+            ordered.append(ordered_documents(df, by or [], F.col(order_by), [column(compiler.ref(r, view)) for r in auto.refs], auto))
+            # Without rows a document is in the automaton's start.
+            return F.coalesce(F.col(f"_ordered_{len(ordered) - 1}"), F.lit(bool(auto.accepting & 1)))
         return False  # guards of other constraints don't take documents
 
     def sum_(refs) -> Column:
@@ -192,7 +195,14 @@ def validate_document(df: DataFrame, type_: str | Type, schema: Schema | None =
     truth = column(document(t))
     made = made or [F.count("*")]
     grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(*[x.alias(f"_{k}") for k, x in enumerate(made)]).select(*(by or []), truth.alias("is_valid"))
+    found = grouped.agg(*[x.alias(f"_{k}") for k, x in enumerate(made)])
+    for k, other in enumerate(ordered):
+        own = other.select(*[F.col(f"`{c}`").alias(f"_by_{k}_{c}") for c in by or []], F.col("ok").alias(f"_ordered_{k}"))
+        same = F.lit(True)
+        for c in by or []:
+            same = same & found[f"`{c}`"].eqNullSafe(own[f"`_by_{k}_{c}`"])
+        found = found.join(own, same, "left")  # without `by`, one row and one row at most
+    return found.select(*[found[f"`{c}`"] for c in by or []], truth.alias("is_valid"))
 
 
 def document_length(df: DataFrame) -> DataFrame:

@@ -25,6 +25,60 @@ class NotCompilable(Exception):
     """What expressions can't say: recursion, or an automaton beyond MOST_POSITIONS.  The interpreter can."""
 
 
+class Automaton:
+    """The positions of ordered_elements as bits of a BIGINT: bit 0 is the start, bit k + 1 position k.
+
+    A reference that occurs 2 to 4 times has four positions, the last two of
+    which may be left out; without an upper bound its last position repeats.
+    refs: the distinct references.  ref: for each position, its number there.
+    before: for each position, the bits from which a step reaches it.
+    accepting: the bits in which a sequence may end.
+    """
+
+    def __init__(self, refs: list[Ref]):
+        self.refs = refs
+        self.ref: list[int] = []
+        optional: list[bool] = []
+        repeats: list[bool] = []
+        for number, r in enumerate(refs):
+            low, high = r.occurs.whole()
+            low = low or 0
+            many = max(low, 1) if high is None else min(high, MOST_POSITIONS + 1)
+            self.ref += [number] * many
+            optional += [k >= low for k in range(many)]
+            repeats += [high is None and k == many - 1 for k in range(many)]
+        if len(self.ref) > MOST_POSITIONS:
+            raise NotCompilable("ordered_elements has too many positions")
+
+        def reached_from(k: int) -> int:
+            """The bit before position k, and those before it that may be left out."""
+            mask = 1 << k
+            while k and optional[k - 1]:
+                k -= 1
+                mask |= 1 << k
+            return mask
+
+        self.before = [reached_from(k) | (repeats[k] << (k + 1)) for k in range(len(self.ref))]
+        self.accepting = reached_from(len(self.ref))
+
+    def step(self, state: Column, truths: list[Column]) -> Column:
+        """The bits after a value of which truths say what references it matches."""
+        zero = F.lit(0).cast("long")
+        parts = [F.when((state.bitwiseAND(F.lit(m).cast("long")) != 0) & truths[r], F.lit(1 << (k + 1)).cast("long")).otherwise(zero) for k, (r, m) in enumerate(zip(self.ref, self.before, strict=True))]
+        return reduce(lambda a, b: a.bitwiseOR(b), parts, zero)
+
+    def after(self, state: int, matched: int) -> int:
+        """step() of numbers; matched has a bit for each reference."""
+        out = 0
+        for k, (r, m) in enumerate(zip(self.ref, self.before, strict=True)):
+            if state & m and matched >> r & 1:
+                out |= 1 << (k + 1)
+        return out
+
+    def accepts(self, state: Column) -> Column:
+        return state.bitwiseAND(F.lit(self.accepting).cast("long")) != 0
+
+
 class Compiler:
     def __init__(self, options: Options | None = None):
         self.options = options or Options()
@@ -237,46 +291,18 @@ class Compiler:
         return both(*parts)
 
     def _ordered_elements(self, refs: list[Ref], v: View) -> Truth:
-        """A position automaton folded over the array: a bit for each position, OR of those that a step reaches."""
+        """The automaton of the references folded over the array."""
         kind = v.of("list", "sexp")
         if kind is False:
             return False
-        positions: list[tuple[Ref, bool, bool]] = []  # reference, may be left out, may repeat
-        for r in refs:
-            low, high = r.occurs.whole()
-            low = low or 0
-            if high is None:
-                positions += [(r, k >= low, k == max(low, 1) - 1) for k in range(max(low, 1))]
-            else:
-                positions += [(r, k >= low, False) for k in range(min(high, MOST_POSITIONS + 1))]
-        if len(positions) > MOST_POSITIONS:
-            raise NotCompilable("ordered_elements has too many positions")
-        items = v.sequence()
-        start = 1
-        before = []  # for each position, the states from which a step reaches it
-        for k, (_, _, repeats) in enumerate(positions):
-            mask, j = (1 << (k + 1)) if repeats else 0, k
-            while True:
-                mask |= 1 << j  # bit j: position j - 1, or the start
-                if j == 0 or not positions[j - 1][1]:
-                    break
-                j -= 1
-            before.append(mask)
-        accepting, j = 0, len(positions)
-        while True:
-            accepting |= 1 << j
-            if j == 0 or not positions[j - 1][1]:
-                break
-            j -= 1
-        distinct: dict[int, Ref] = {id(r): r for r, _, _ in positions}
+        auto = Automaton(refs)
 
         def step(state: Column, x: Column) -> Column:
-            truths = {k: column(self.ref(r, v.child(x))) for k, r in distinct.items()}
-            parts = [F.when(state.bitwiseAND(F.lit(m).cast("long")) != 0, F.when(truths[id(r)], F.lit(1 << (k + 1)).cast("long"))) for k, ((r, _, _), m) in enumerate(zip(positions, before, strict=True))]
-            return reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(p, F.lit(0).cast("long")) for p in parts], F.lit(0).cast("long"))
+            truths = [column(self.ref(r, v.child(x))) for r in auto.refs]
+            return auto.step(state, truths)
 
-        last = F.aggregate(items, F.lit(start).cast("long"), step)
-        return both(kind, sure(last.bitwiseAND(F.lit(accepting).cast("long")) != 0))
+        last = F.aggregate(v.sequence(), F.lit(1).cast("long"), step)
+        return both(kind, sure(auto.accepts(last)))
 
     def _annotations(self, arg, v: View) -> Truth:
         notes = self.options.annotations if self.options.annotations is not None else F.array().cast("array<string>")

@@ -197,3 +197,26 @@ def test_long_sequences_are_interpreted(spark):
     schema = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, ordered_elements: [{type: int, occurs: range::[3, 100]}]}", "x")
     assert {r["k"]: r["is_valid"] for r in validate(df, "t", schema, "l").collect()} == {2: False, 3: True, 70: True, 100: True, 101: False}
     assert validate(df, "t", schema, "l", mode="reject").count() == 2
+
+
+def test_documents_of_any_length(spark):
+    """Stretches of one document in many tasks, against the interpreter."""
+    rng = random.Random(5)
+    body = "ordered_elements: [{valid_values: [1, 2], occurs: range::[0, max]}, {valid_values: [2, 3], occurs: range::[1, 3]}, {valid_values: [4], occurs: optional}, {type: int, occurs: range::[0, 2]}]"
+    schema = SchemaSystem().new_schema(f"$ion_schema_2_0 type::{{name: t, {body}}} type::{{name: u, any_of: [t, {{container_length: 2}}]}}", "x")
+    docs = {g: [rng.choice([1, 2]) for _ in range(rng.randrange(40))] + [rng.choice([2, 3]) for _ in range(rng.randrange(4))] + [rng.randint(1, 4) for _ in range(rng.randrange(4))] for g in range(60)}
+    docs[60] = [1] * 3000 + [3, 4, 9, 9]
+    docs[61] = [1] * 3000 + [4, 3]
+    rows = [(g, k, v) for g, d in docs.items() for k, v in enumerate(d)] + [(None, 0, 1), (None, 1, 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, at int, x int").repartition(7)
+    for name in "tu":
+        want = {g: interpret.is_valid(interpret.Document(tuple(read_one(str(v)) for v in d)), schema[name]) for g, d in docs.items() if d} | {None: True}
+        got = {r["g"]: r["is_valid"] for r in validate_document(df, name, schema, "x", by=["g"], order_by="at").collect()}
+        assert got == want and len(set(want.values())) == 2
+    for g in (60, 61):
+        one = validate_document(df.where(f"g = {g}"), "t", schema, "x", order_by="at").collect()
+        assert [r["is_valid"] for r in one] == [g == 60]
+    assert validate_document(df.limit(0), "t", schema, "x", order_by="at").first()["is_valid"] is False
+    plan = validate_document(df, "t", schema, "x", by=["g"], order_by="at")._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan
