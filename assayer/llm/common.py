@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,12 @@ class Workspace:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a frame of bounded size, on the driver: as Arrow, without an object a row."""
+    found = df.select(*names).toArrow()
+    return [found.column(n).to_numpy() for n in names]
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of the batches of about max_bytes at most (one row may be larger), so working memory is bounded.
 
@@ -79,3 +86,4 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
             continue
         for start in range(0, batch.num_rows, rows):
             yield batch.take(pa.array(range(start, min(start + rows, batch.num_rows))))
+        pa.default_memory_pool().release_unused()

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import arrays
+
 #: One number a byte value, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPACE = np.zeros(256, bool)
@@ -48,9 +50,9 @@ class HashFilter:
         place = lambda s: F.shiftrightunsigned(F.col(h), s).bitwiseAND(F.lit(cls.BITS - 1))
         both: Column = F.explode(F.array(place(0), place(32)))
         rows = df.select(both.alias("p")).groupBy((F.shiftright("p", 6)).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-        found = rows.toPandas()
+        place, bits = arrays(rows, "w", "b")
         words = np.zeros(cls.BITS >> 6, np.int64)
-        words[found["w"]] = found["b"]
+        words[place] = bits
         return cls(words.view(np.uint64))
 
     def may_have(self, h: np.ndarray) -> np.ndarray:

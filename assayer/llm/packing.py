@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, columns, slices, table, words
+from assayer.llm.common import Workspace, arrays, columns, slices, table, words
 
 CAPACITIES = (256, 512, 1024, 2048)
 #: A bin of c tokens costs BIN_COST + c + c * c / QUADRATIC: overhead, linear layers, attention.
@@ -149,9 +149,9 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
     )
     work = Workspace(spark)
     pieces = work.write(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
-    counted = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).toPandas()
+    tokens, salt, n = arrays(pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")), "n_tokens", "salt", "n")
     counts = np.zeros((most + 1, salts), np.int64)
-    counts[counted["n_tokens"], counted["salt"]] = counted["n"]
+    counts[tokens, salt] = n
     before = np.cumsum(counts, axis=1) - counts
     sums = counts.sum(axis=1)
     found = plan({int(n): int(sums[n]) for n in np.flatnonzero(sums)}, capacities, cost)
