@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: forward, backward, Adam."""
+"""A small causal self-attention model in numpy: forward, backward, Adam, and batched scoring."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import numpy as np
 Params = dict[str, np.ndarray]
 
 
-def init(inputs: int, classes: int, window: int, width: int = 16, hidden: int = 32, seed: int = 7) -> Params:
+def init(inputs: int, classes: int, window: int, width: int = 8, hidden: int = 16, seed: int = 7) -> Params:
     rng = np.random.default_rng(seed)
     shapes = {"emb": (inputs, width), "pos": (window, width), "q": (width, width), "k": (width, width), "v": (width, width), "o": (width, width), "w1": (width, hidden), "w2": (hidden, width), "out": (width, classes)}
     params = {k: (rng.standard_normal(s) * (0.5 if k in ("emb",) else s[0] ** -0.5)).astype(np.float32) for k, s in shapes.items()}
@@ -48,6 +48,38 @@ def forward(p: Params, tokens: np.ndarray, prior: np.ndarray) -> tuple[np.ndarra
     return z, (tokens, x, q, k, v, a, c, h, r, y)
 
 
+def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The log-probability of each wanted class, as forward() has it, with fewer passes over memory.
+
+    inputs, before and wanted are (windows, length); prior[before] is what the
+    model's logits add to.
+    """
+    n, t = inputs.shape
+    d = p["q"].shape[0]
+    x = p["emb"][inputs]
+    x += p["pos"][:t]
+    flat = x.reshape(-1, d)
+    qkv = (flat @ np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
+    s = qkv[..., :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1)
+    np.minimum(s, np.float32(60), out=s)  # no logit comes near; exp can't overflow
+    np.exp(s, out=s)
+    s *= np.tril(np.ones((t, t), np.float32))
+    ones = np.ones((n, t, d + 1), np.float32)
+    ones[..., :d] = qkv[..., 2 * d :]
+    c = (s @ ones).reshape(-1, d + 1)
+    c, total = c[:, :d], c[:, d:]
+    h = flat + (c / np.maximum(total, np.float32(1e-30))) @ p["o"]
+    r = h @ p["w1"]
+    np.maximum(r, 0, out=r)
+    h += r @ p["w2"]
+    z = h @ p["out"]
+    z += prior[before.ravel()]
+    chosen = z[np.arange(n * t), wanted.ravel()]
+    np.minimum(z, np.float32(60), out=z)
+    np.exp(z, out=z)
+    return (chosen - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(n, t)
+
+
 def gradients(p: Params, logp: np.ndarray, cache: tuple, targets: np.ndarray, weight: np.ndarray) -> Params:
     """Of the weighted mean of the negative log-probabilities of the targets."""
     tokens, x, q, k, v, a, c, h, r, y = cache

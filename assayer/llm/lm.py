@@ -1,35 +1,42 @@
 """Language-model scoring: a unigram base and a causal self-attention model on subword ids.
 
 The texts are read once and coded: a row for a few megabytes of documents, with
-its distinct words, their subword ids and the documents as numbers of words.
-Everything else works on the coded rows.
+its distinct words (as 64-bit hashes), their subword ids and the documents as
+numbers of words.  Everything else works on the coded rows.
 
-The model's next subword is drawn in two steps.  Its class (the most frequent
+The network draws the next subword in two steps.  Its class (the most frequent
 ids are classes of their own, the others share classes of equal mass) comes from
-a prior of class pairs, counted over all training text, to which a small causal
-self-attention network adds its logits.  The id within the class has its
-smoothed corpus frequency.  So it is a distribution over all ids and an end.
+a prior of class pairs to which a small causal self-attention network adds its
+logits; the id within the class has its corpus frequency.  Counts of id pairs
+over all training text, discounted, take a share before that: what the discounts
+leave goes to the network.  So it is a distribution over all ids and an end.
 The network is trained in numpy by rounds of data-parallel Adam on a fixed share
-of the training windows, and the rounds' parameters are averaged by Spark.
+of the training documents (all training text is counted), and the rounds'
+parameters are averaged by Spark.
 
 Texts are scored in overlapping windows: a window's first places only give
-context, so each subword is scored once, under a batched causal mask.
+context, so each subword is scored once, under a batched causal mask.  A token's
+probability mixes that of its subwords in their context with the unigram one, if
+training text has the word; the share of the former is the chance of a new word,
+estimated from the words that were seen once.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import attention
-from assayer.llm.common import TOKENIZERS, Workspace, columns, id_fold, slices, table
+from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, slices, table
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: Splits letters, digits and other marks, each with a space before it.
@@ -38,48 +45,77 @@ FOLDS, HELD_OUT = 7, 2
 END_WORD = "\n"
 #: Text coded in one row.
 CODED_BYTES = 3 << 20
-CLASSES, SINGLE = 48, 32
+CLASSES, SINGLE = 32, 20
 #: Ids with embeddings of their own; others share by a hash.
 OWN_INPUTS, SHARED_INPUTS = 960, 64
-WINDOW, STRIDE = 32, 24
-ROUNDS, RATE, LEARNING, BATCH = 3, 1 / 64, 5e-3, 64
+WINDOW, STRIDE = 32, 26
+ROUNDS, RATE, LEARNING, BATCH = 2, 1 / 64, 5e-3, 64
+#: Windows scored at once.
+AT_ONCE = 128
+#: Size of the model's table of id pairs: the most frequent ones, and what is taken off their counts.
+PAIRS, DISCOUNT = 1 << 20, 0.75
+#: Tasks get the counts of so many of the most frequent words at most; those of other words are joined.
+WORDS = 1 << 20
+LN10 = np.log(10)
+_LIVE: dict[int, object] = {}
+
+
+def narrow(n: int) -> type:
+    """The unsigned type of numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 @dataclass
 class Subwords:
     ranks: dict[bytes, int]
-    _encoding: object = None
 
     @classmethod
     def load(cls, path: str = RANKS) -> Subwords:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def __getstate__(self):
-        return {"ranks": self.ranks, "_encoding": None}
-
     @property
     def end(self) -> int:
         return len(self.ranks)
 
-    def encode(self, word: str) -> list[int]:
-        if self._encoding is None:
+    def _encoding(self):
+        """The encoding and the bytes of each id, one a worker process."""
+        key = hash((len(self.ranks), b"".join(list(self.ranks)[-50:])))
+        if key not in _LIVE:
             import tiktoken
 
-            self._encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        return self._encoding.encode_ordinary(" " + word)
+            sizes = np.zeros(len(self.ranks), np.int64)
+            for piece, rank in self.ranks.items():
+                sizes[rank] = len(piece)
+            _LIVE[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}), sizes
+        return _LIVE[key]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        encoding, sizes = self._encoding()
+        ids = np.array(encoding.encode_ordinary(" " + " ".join(words)), np.int64)
+        wanted = np.cumsum([len(w.encode()) + 1 for w in words])
+        ends = np.cumsum(sizes[ids])
+        at = np.searchsorted(ends, wanted)
+        if (ends[at] == wanted).all():
+            return ids, np.diff(at + 1, prepend=0)
+        # A word with a space of another kind: no id may run across words.
+        each = [encoding.encode_ordinary(" " + w) for w in words]
+        return np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64)
 
 
 class Coded:
-    """One coded row: rows (documents), held_out, lengths (tokens with the end), words, number (of each token's word), and subwords."""
-
-    COLUMNS = "ids array<{id}>, held_out array<boolean>, lengths array<int>, words array<string>, number binary, sub binary, sub_lengths array<int>"
+    """One coded row: held_out and lengths (tokens with the end) of its documents, words (hashes), number (of each token's word), and subwords."""
 
-    def __init__(self, row: dict):
-        self.ids, self.words = row.get("ids"), row.get("words")
-        self.held_out, self.lengths = np.array(row["held_out"], bool), np.array(row["lengths"], np.int64)
-        self.number = np.frombuffer(row["number"], np.int32)
-        self.sub, self.sub_lengths = np.frombuffer(row["sub"], np.int32), np.array(row["sub_lengths"], np.int64)
+    def __init__(self, row: dict[str, pa.Scalar]):
+        read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind) if row[name].is_valid else np.zeros(0, kind)
+        self.held_out, self.lengths = read("held_out", bool), read("lengths", np.int32).astype(np.int64)
+        self.number = np.frombuffer(row["number"].as_buffer(), np.dtype(f"u{row['number'].as_buffer().size // int(self.lengths.sum())}"))
+        self.sub_lengths = read("sub_lengths", np.int32).astype(np.int64)
+        self.sub = np.frombuffer(row["sub"].as_buffer(), np.dtype(f"u{row['sub'].as_buffer().size // int(self.sub_lengths.sum())}"))
+        self.words = row["words"].values.to_numpy() if "words" in row else None
 
     def counts(self) -> np.ndarray:
         """How often each word is a training token."""
@@ -88,21 +124,45 @@ class Coded:
 
     def subwords(self) -> tuple[np.ndarray, np.ndarray]:
         """All subword ids, document after document, and each document's number of them."""
-        sizes = self.sub_lengths[self.number]
-        first = (np.cumsum(self.sub_lengths) - self.sub_lengths)[self.number]
-        begin = np.cumsum(sizes) - sizes
-        at = np.arange(int(sizes.sum())) - np.repeat(begin - first, sizes)
-        ends = np.cumsum(self.lengths)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.sub[at], total[ends] - total[ends - self.lengths]
+        return expand(self.number, self.lengths, self.sub, self.sub_lengths)
+
+    def pairs(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """before * (end + 1) + id for the neighbours in training text, and how often they are; the end comes before a text's first id."""
+        last = np.cumsum(self.sub_lengths) - 1
+        first = last - self.sub_lengths + 1
+        sub, width = self.sub.astype(np.int64), end + 1
+        # Within words: once for each distinct word.
+        inside = np.ones(len(sub), bool)
+        inside[first] = False
+        at = np.flatnonzero(inside)
+        n = np.repeat(self.counts(), self.sub_lengths)[at]
+        # Between words.
+        before = np.empty(len(self.number), np.int64)
+        before[1:] = sub[last[self.number[:-1]]]
+        before[np.cumsum(self.lengths) - self.lengths] = end
+        training = np.repeat(~self.held_out, self.lengths)
+        across = (before * width + sub[first[self.number]])[training]
+        key, count = np.unique(across, return_counts=True)
+        return np.concatenate([sub[at - 1] * width + sub[at], key]), np.concatenate([n, count])
+
+
+def expand(number: np.ndarray, lengths: np.ndarray, sub: np.ndarray, sub_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of texts given as numbers of words, and each text's number of them."""
+    sizes = sub_lengths[number]
+    first = (np.cumsum(sub_lengths) - sub_lengths)[number]
+    total = np.cumsum(sizes)
+    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - total + sizes, sizes)
+    ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(lengths)])]
+    return sub[at], np.diff(ends)
 
 
 def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
     """docs(doc_id, text, held_out) -> coded rows."""
     kind = dict(docs.dtypes)["doc_id"]
-    ddl = Coded.COLUMNS.format(id=kind)
+    ddl = f"ids array<{kind}>, held_out binary, lengths binary, words array<bigint>, number binary, sub binary, sub_lengths binary, sample binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for b in slices(batches, CODED_BYTES):
             if not b.num_rows:
                 continue
@@ -113,19 +173,27 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
             coded = flat.filter(used).dictionary_encode()
             words = coded.dictionary.to_pylist()
             lengths = np.bincount(doc, minlength=b.num_rows) + 1
-            number = np.full(int(lengths.sum()), len(words), np.int32)
+            number = np.full(int(lengths.sum()), len(words), narrow(len(words) + 1))
             number[np.arange(len(doc)) + doc] = coded.indices.to_numpy()
-            sub = [subwords.encode(w) for w in words] + [[subwords.end]]
-            row = {
-                "ids": b.column(0).to_pylist(),
-                "held_out": b.column(2).to_pylist(),
-                "lengths": lengths,
-                "words": [*words, END_WORD],
-                "number": number.tobytes(),
-                "sub": np.array([x for s in sub for x in s], np.int32).tobytes(),
-                "sub_lengths": [len(s) for s in sub],
-            }
-            yield pa.RecordBatch.from_pylist([row], schema)
+            sub, sizes = subwords.encode(words)
+            hashes = np.array([digest(w) for w in [*words, END_WORD]], np.uint64).view(np.int64)
+            held = np.array(b.column(2).to_pylist(), bool)
+            kind_ = narrow(subwords.end + 1)
+            sub, sizes = np.append(sub, subwords.end).astype(kind_), np.append(sizes, 1)
+            draw = (int(hashes[0]) + np.arange(b.num_rows) * 2654435761) & 0xFFFFFFFF
+            sampled = ~held & (draw < RATE * 2**32)
+            sample, _ = expand(number[np.repeat(sampled, lengths)], lengths[sampled], sub, sizes)
+            row = [
+                pa.array([b.column(0).to_pylist()], schema.field("ids").type),
+                held.tobytes(),
+                lengths.astype(np.int32).tobytes(),
+                pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes)),
+                number.tobytes(),
+                sub.tobytes(),
+                sizes.astype(np.int32).tobytes(),
+                sample.tobytes(),
+            ]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], pa.binary()) for x in row], schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -134,140 +202,213 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
-def _over(coded: DataFrame, fields: list[str], ddl: str, gather: Callable[[Iterator[Coded]], tuple]) -> DataFrame:
-    """Arrays that gather() makes of a task's coded rows."""
-    names = [x.split()[0] for x in ddl.split(", ")]
+FIELDS = ["held_out", "lengths", "number", "sub", "sub_lengths"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Coded]:
-        for b in batches:
-            for k in range(b.num_rows):
-                yield Coded(b.slice(k, 1).to_pylist()[0])
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Coded, dict]]:
+    for b in batches:
+        for k in range(b.num_rows):
+            row = {name: b.column(at)[k] for at, name in enumerate(b.schema.names)}
+            yield Coded(row), row
+
+
+def _over(df: DataFrame, ddl: str, gather: Callable[[Iterator], Iterator[list]]) -> DataFrame:
+    """Batches of arrays that gather() makes of a task's coded rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in gather(rows(batches))], names)
+        for arrays in gather(c for c, _ in _rows(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], names=schema.names)
+
+    return df.mapInArrow(run, ddl)
+
 
-    return coded.select(*fields).mapInArrow(run, ddl)
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def tally(coded: DataFrame, end: int) -> DataFrame:
+    """kind (0: words by hash, 1: subword ids, 2: pairs of them), key and n, over all training text."""
+
+    def gather(rows: Iterator[Coded]) -> Iterator[list]:
+        held, size, ids = {0: [], 2: []}, 0, np.zeros(end + 1)
+
+        def out() -> Iterator[list]:
+            for kind, found in held.items():
+                if found:
+                    key, n = _merged(*zip(*found, strict=True))
+                    yield [np.full(len(key), kind, np.int32), key, n]
+                    found.clear()
+
+        for c in rows:
+            n = c.counts()
+            ids += np.bincount(c.sub, np.repeat(n, c.sub_lengths), end + 1)
+            for kind, key, m in ((0, c.words, n), (2, *c.pairs(end))):
+                held[kind].append((key[m > 0], m[m > 0]))
+                size += len(m)
+            if size > 1 << 21:
+                yield from out()
+                size = 0
+        yield from out()
+        seen = np.flatnonzero(ids)
+        yield [np.ones(len(seen), np.int32), seen, ids[seen].astype(np.int64)]
+
+    return _over(coded.select(*FIELDS, "words"), "kind int, key bigint, n bigint", gather).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+class Pairs:
+    """Discounted frequencies of id pairs, and what each id's discounts leave to others.
+
+    Tasks get the pairs and lay out a hash table of them, each in one slot; of
+    pairs that fall together the most frequent stays.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, before: np.ndarray):
+        """keys: before * len(before) + id.  before: how often each id precedes another."""
+        self.width = len(before)
+        self.bits = max(10, len(keys).bit_length() + 2)
+        order = np.argsort(counts, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = np.zeros(1 << self.bits, np.int64)
+        at[self.slot(keys)] = np.arange(len(keys))  # the last one stays
+        stays = at[self.slot(keys)] == np.arange(len(keys))
+        self.pairs = keys[stays]
+        self.share = ((counts[stays] - DISCOUNT) / before[self.pairs // self.width]).astype(np.float32)
+        self.left = (1 - np.bincount(self.pairs // self.width, self.share, self.width)).astype(np.float32)
+        self._table = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def shares(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs' own probability, and the factor of any other source's."""
+        if self._table is None:
+            keys, values, at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32), self.slot(self.pairs)
+            keys[at], values[at] = self.pairs, self.share
+            self._table = keys, values
+        keys, values = self._table
+        key = before.astype(np.int64) * self.width + ids
+        at = self.slot(key)
+        return np.where(keys[at] == key, values[at], np.float32(0)), self.left[before]
+
+
+def frequent(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Splits (key, n): the highest counts, of so many grades of n from the top that there are `most` rows at most; and the others."""
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    least, total = 0, 0
+    for r in sorted(counted.groupBy(grade.alias("g")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["g"]):  # 4,032 grades at most
+        total += r["rows"]
+        if total > most:
+            least = r["g"] + 1
+            break
+    return counted.where(grade >= least), counted.where(grade < least)
 
 
 @dataclass
 class Model:
-    """class_of, input_of and within (log10 of the frequency within the class) by id; the last id is the end."""
+    """class_of, input_of and within (log of the frequency within the class) by id; the last id is the end."""
 
     class_of: np.ndarray
     input_of: np.ndarray
     within: np.ndarray
     prior: np.ndarray
     params: attention.Params
+    pairs: Pairs | None = None
 
-    def windows(self, ids: np.ndarray, sizes: np.ndarray, keep: np.ndarray | None = None):
-        """Inputs, targets' places and scored places of the windows over all documents, in batches.
+    def before(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What precedes each subword; the end of a text precedes its first."""
+        out = np.empty_like(ids)
+        out[1:] = ids[:-1]
+        out[np.cumsum(sizes) - sizes] = len(self.class_of) - 1
+        return out
 
-        Yields tokens (windows, WINDOW), prior rows, places in ids and a mask of
-        what the window scores.
-        """
+    def windows(self, ids: np.ndarray, sizes: np.ndarray, size: int = AT_ONCE):
+        """Of the windows over all documents, in batches: inputs, classes before them, places in ids, and what the window scores."""
         begin = np.cumsum(sizes) - sizes
         many = np.where(sizes > WINDOW, 1 + -(-(sizes - WINDOW) // STRIDE), 1)
         doc = np.repeat(np.arange(len(sizes)), many)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        if keep is not None:
-            doc, k = doc[keep(doc, k)], k[keep(doc, k)]
-        # What precedes each subword; the end of a text precedes its first.
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[begin[sizes > 0]] = len(self.class_of) - 1
-        for a in range(0, len(doc), 256):
-            d, first = doc[a : a + 256, None], k[a : a + 256, None] * STRIDE
-            place = first + np.arange(WINDOW)
-            scored = (place < sizes[d]) & ((first == 0) | (place >= first + WINDOW - STRIDE))
+        before = self.before(ids, sizes)
+        inputs, classes = self.input_of[before], self.class_of[before]
+        step = np.arange(WINDOW)
+        for a in range(0, len(doc), size):
+            d, first = doc[a : a + size, None], k[a : a + size, None] * STRIDE
+            place = first + step
+            scored = (place < sizes[d]) & ((first == 0) | (step >= WINDOW - STRIDE))
             place = begin[d] + np.minimum(place, sizes[d] - 1)
-            prev = before[place]
-            yield self.input_of[prev], self.prior[self.class_of[prev]], place, scored
+            yield inputs[place], classes[place], place, scored
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 of each document's probability."""
-        each = self.within[ids].astype(np.float64)
-        wanted = self.class_of[ids]
-        for tokens, prior, place, scored in self.windows(ids, sizes):
-            logp, _ = attention.forward(self.params, tokens, prior)
-            found = np.take_along_axis(logp, wanted[place][..., None], -1)[..., 0]
-            each[place[scored]] += found[scored] / np.log(10)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        ends = np.cumsum(sizes)
-        return total[ends] - total[ends - sizes]
-
-
-def train(coded: DataFrame, end: int, work: Workspace, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """From all training documents: id and class-pair counts, then the network on a fixed share of their windows."""
-    fields = ["held_out", "lengths", "number", "sub", "sub_lengths"]
-
-    def ids_of(rows: Iterator[Coded]) -> tuple:
-        n = np.zeros(end + 1, np.int64)
-        for c in rows:
-            n += np.bincount(c.sub, np.repeat(c.counts(), c.sub_lengths), end + 1).astype(np.int64)
-        seen = np.flatnonzero(n)
-        return seen.astype(np.int32), n[seen]
-
-    counts = np.ones(end + 1)
-    for r in _over(coded, fields, "id int, n bigint", ids_of).groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] += r["n"]
-    order = np.argsort(-counts, kind="stable")
+        """log10 of each subword's probability."""
+        own, left = self.pairs.shares(self.before(ids, sizes), ids)
+        each, wanted = self.within[ids], self.class_of[ids]
+        for inputs, before, place, scored in self.windows(ids, sizes):
+            found = attention.score(self.params, inputs, before, self.prior, wanted[place])
+            each[place[scored]] += found[scored]
+        return np.log10(np.maximum(own + left * np.exp(each), np.float32(1e-37)))
+
+
+def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """class_of, input_of and within: the most frequent ids are classes of their own, the others share classes of equal mass; the end has the last."""
+    end = len(counts) - 1
+    order = np.append(np.argsort(-counts[:end], kind="stable"), end)
     rank = np.empty(end + 1, np.int64)
     rank[order] = np.arange(end + 1)
-    rest = counts[order[SINGLE:]]
-    class_of = np.empty(end + 1, np.int64)
+    rest = counts[order[SINGLE:-1]]
+    class_of = np.full(end + 1, CLASSES - 1, np.int32)
     class_of[order[:SINGLE]] = np.arange(SINGLE)
     shared = CLASSES - SINGLE - 1
-    class_of[order[SINGLE:]] = SINGLE + np.minimum((np.cumsum(rest) - rest) * shared // rest.sum(), shared - 1).astype(np.int64)
-    class_of[end] = CLASSES - 1
+    class_of[order[SINGLE:-1]] = SINGLE + np.minimum((np.cumsum(rest) - rest) * shared // rest.sum(), shared - 1).astype(np.int32)
     mass = np.bincount(class_of, counts, CLASSES)
-    within = np.log10(counts / mass[class_of])
-    input_of = np.where(rank < OWN_INPUTS, rank, OWN_INPUTS + order.argsort() * 2654435761 % SHARED_INPUTS)
-    model = Model(class_of, input_of, within, np.zeros((CLASSES, CLASSES), np.float32), attention.init(OWN_INPUTS + SHARED_INPUTS, CLASSES, WINDOW))
-
-    def pairs_of(rows: Iterator[Coded]) -> tuple:
-        n = np.zeros(CLASSES * CLASSES, np.int64)
-        for c in rows:
-            ids, sizes = c.subwords()
-            now = class_of[ids]
-            prev = np.empty_like(now)
-            prev[1:] = now[:-1]
-            prev[(np.cumsum(sizes) - sizes)[sizes > 0]] = CLASSES - 1
-            training = np.repeat(~c.held_out, sizes)
-            n += np.bincount((prev * CLASSES + now)[training], minlength=CLASSES * CLASSES)
-        seen = np.flatnonzero(n)
-        return seen.astype(np.int32), n[seen]
-
-    pairs = np.zeros(CLASSES * CLASSES)
-    for r in _over(coded, fields, "pair int, n bigint", pairs_of).groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        pairs[r["pair"]] = r["n"]
-    pairs = pairs.reshape(CLASSES, CLASSES) + mass / mass.sum()
-    model.prior = np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
-
+    within = np.log(counts / mass[class_of]).astype(np.float32)
+    spread = OWN_INPUTS + rank * 2654435761 % (1 << 32) * SHARED_INPUTS // (1 << 32)
+    inputs = np.where(rank < OWN_INPUTS, rank, spread)
+    inputs[end] = OWN_INPUTS - 1  # as every text begins after it
+    return class_of, inputs.astype(np.int32), within
+
+
+def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """From the counts of all training documents, and the network from the sampled ones."""
+    class_of, input_of, within = _classes(id_counts)
+    width = len(id_counts)
+    keys, counts = arrays(frequent(pairs, PAIRS)[0], "key", "n")  # PAIRS rows at most
+    joint = np.bincount(class_of[keys // width].astype(np.int64) * CLASSES + class_of[keys % width], counts, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    mass = np.bincount(class_of, id_counts, CLASSES)
+    joint = joint + mass / mass.sum()
+    prior = np.log(joint / joint.sum(axis=1, keepdims=True)).astype(np.float32)
+    model = Model(class_of, input_of, within, prior, attention.init(OWN_INPUTS + SHARED_INPUTS, CLASSES, WINDOW))
     for number in range(rounds):
 
-        def learn(rows: Iterator[Coded], number=number) -> tuple:
-            p, adam, seen = {k: x.copy() for k, x in model.params.items()}, attention.Adam(LEARNING), 0.0
-            chosen = lambda doc, k: ((doc * 7919 + k) * 2654435761 + number * 40503 & 0xFFFFFFFF) < rate * 2**32
-            for c in rows:
-                ids, sizes = c.subwords()
-                trains = np.repeat(~c.held_out, sizes)
-                wanted = class_of[ids]
-                for tokens, prior, place, scored in model.windows(ids, sizes, chosen):
-                    weight = (scored & trains[place]).astype(np.float32)
-                    for a in range(0, len(tokens), BATCH):
-                        part = slice(a, a + BATCH)
-                        if not weight[part].any():
-                            continue
-                        logp, cache = attention.forward(p, tokens[part], prior[part])
-                        adam.step(p, attention.gradients(p, logp, cache, wanted[place[part]], weight[part]))
-                        seen += float(weight[part].sum())
+        def learn(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
+            p, adam, seen = {k: x.copy() for k, x in model.params.items()}, attention.Adam(LEARNING / (1 + number)), 0.0
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    ids = np.frombuffer(x, narrow(width)) if x else np.zeros(0, np.uint16)
+                    if not len(ids):
+                        continue
+                    sizes = np.diff(np.flatnonzero(ids == width - 1) + 1, prepend=0)
+                    wanted = class_of[ids]
+                    for inputs, before, place, scored in model.windows(ids, sizes, BATCH):
+                        logp, cache = attention.forward(p, inputs, prior[before])
+                        adam.step(p, attention.gradients(p, logp, cache, wanted[place], scored.astype(np.float32)))
+                        seen += float(scored.sum())
             flat = attention.pack(p) * seen
             # The last entry adds up the weights.
-            return np.arange(len(flat) + 1, dtype=np.int32), np.append(flat, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], ["i", "x"])
 
-        found = _over(coded, fields, "i int, x double", learn).groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+        place, found = arrays(coded.select("sample").mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
+        found = found[np.argsort(place)]
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
+    # An id comes before another as often as it comes, and the end, too: before a text's first.
+    model.pairs = Pairs(keys, counts, id_counts)
     return model
 
 
@@ -283,57 +424,55 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     own = columns(docs, doc_id=doc_id, text=text)
     held = F.coalesce(id_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
     kind = dict(own.dtypes)["doc_id"]
-    coded = work.write(code(own.withColumn("held_out", held), subwords).withColumn("row", F.monotonically_increasing_id()), "coded")
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                c = Coded(b.slice(k, 1).to_pylist()[0])
-                n = c.counts()
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(c.words, pa.string()).take(pa.array(seen)), pa.array(n[seen], pa.int64())], ["word", "n"])
-
-    fields = ["held_out", "lengths", "words", "number", "sub", "sub_lengths"]
-    counts = work.write(coded.select(*fields).mapInArrow(words_of, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    coded = work.write(code(own.withColumn("held_out", held), subwords), "coded")
+    counted = work.write(tally(coded, subwords.end), "counts")
+    words = counted.where("kind = 0").select("key", "n")
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     n_train, denominator = total["n"] or 0, (total["n"] or 0) + total["v"] + 1
-    model = train(coded, subwords.end, work)
-
-    asked = coded.select("row", F.posexplode("words").alias("at", "word"))
-    answered = asked.join(counts, "word").groupBy("row").agg(F.collect_list(F.struct("at", "c")).alias("known"))
-    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    new = min(0.95, max(0.01, total["once"] / n_train)) if n_train else 1.0
+    id_counts = np.ones(subwords.end + 1)
+    for r in counted.where("kind = 1").select("key", "n").collect():  # a row for each id of the tokenizer at most
+        id_counts[r["key"]] += r["n"]
+    model = train(coded, id_counts, counted.where("kind = 2").select("key", "n"))
+    common, others = frequent(words, WORDS)
+    keys, counts = arrays(common, "key", "n")  # WORDS rows at most
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, mixed double, rare array<struct<word: bigint, own: double>>"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("known")
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                c = Coded(one.drop_columns(["known"]).to_pylist()[0])
-                known = np.zeros(len(c.sub_lengths), np.int64)
-                if one.column(at)[0].is_valid:
-                    pairs = one.column(at)[0].values
-                    known[pairs.field("at").to_numpy()] = pairs.field("c").to_numpy()
-                base = np.log10((known + 1) / denominator)[c.number]
-                ends = np.cumsum(c.lengths)
-                sums = np.concatenate([[0.0], np.cumsum(base)])
-                hits = np.concatenate([[0], np.cumsum(known[c.number] > 0)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        one.column(one.schema.get_field_index("ids"))[0].values,
-                        pa.array(c.held_out),
-                        pa.array(c.lengths, pa.int64()),
-                        pa.array(hits[ends] - hits[ends - c.lengths], pa.int64()),
-                        pa.array(np.full(len(c.lengths), n_train), pa.int64()),
-                        pa.array(sums[ends] - sums[ends - c.lengths]),
-                        pa.array(model.score(*c.subwords())),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return coded.select("row", "ids", *[f for f in fields if f != "words"]).join(answered, "row", "left").mapInArrow(finish, ddl)
+        for c, row in _rows(batches):
+            at = np.minimum(np.searchsorted(keys, c.words), max(0, len(keys) - 1))
+            is_common = keys[at] == c.words if len(keys) else np.zeros(len(c.words), bool)
+            n = np.where(is_common, counts[at] if len(keys) else 0, 0)
+            base = np.where(is_common, np.log10((n + 1) / denominator), 0.0)
+            sizes = c.sub_lengths[c.number]
+            ends = np.cumsum(sizes)
+            each = np.concatenate([[0.0], np.cumsum(model.score(*c.subwords()))])
+            own = each[ends] - each[ends - sizes]
+            known = is_common[c.number]
+            mixed = np.where(known, np.logaddexp((base[c.number] + np.log10(1 - new)) * LN10 if new < 1 else -np.inf, (own + np.log10(new)) * LN10) / LN10, 0.0)
+            ends = np.cumsum(c.lengths)
+            sums = lambda x, ends=ends, c=c: (y := np.concatenate([[0], np.cumsum(x)]))[ends] - y[ends - c.lengths]
+            rare = np.flatnonzero(~known)
+            offsets = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], ends])]
+            asked = pa.StructArray.from_arrays([pa.array(c.words[c.number[rare]]), pa.array(own[rare])], ["word", "own"])
+            values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64)), sums(base[c.number]), sums(mixed), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", "rare"])
+
+    scored = work.write(coded.select("ids", *FIELDS, "words").mapInArrow(finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
+    work.drop("coded")
+    asked = scored.select("doc", F.explode("rare").alias("x")).select("doc", F.col("x.word").alias("key"), "x.own")
+    c = F.coalesce(F.col("n"), F.lit(0))
+    base = F.log10((c + 1) / denominator)
+    low, high = base + math.log10(1 - new) if new < 1 else F.lit(None), F.col("own") + math.log10(new)
+    mixed = F.when(c > 0, F.greatest(low, high) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(low - high)))).otherwise(high)
+    sums = asked.join(others, "key", "left").groupBy("doc").agg(F.sum(base).alias("more_base"), F.sum(mixed).alias("more_mixed"), F.count_if(c > 0).alias("more_known"))
+    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
+    return scored.join(sums, "doc", "left").select(
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("mixed", "more_mixed").alias("score")
+    )
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
-
-

@@ -41,6 +41,17 @@ def test_query(spark, tmp_path):
     assert sum(rows[i]["score"] for i in known) > sum(rows[i]["base_score"] for i in known)
 
 
+@pytest.mark.parametrize("most", [0, 7])
+def test_words_beyond_the_table_are_joined(spark, monkeypatch, most):
+    df = frame(spark, [*texts_of(6, 40), *ODD])
+    whole = {r["doc_id"]: r for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "WORDS", most)
+    for r in lm.score(df).collect():
+        w = whole[r["doc_id"]]
+        assert tuple(r)[:5] == tuple(w)[:5]
+        assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-3)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     p = {k: x.astype(np.float64) for k, x in attention.init(20, 6, 7, 4, 5).items()}
@@ -83,7 +94,7 @@ def model_of(ids, sizes, width):
     mass = np.bincount(class_of, counts, lm.CLASSES)  # with so few ids some classes are empty
     with np.errstate(divide="ignore"):
         prior = np.tile(np.log(mass / mass.sum()).astype(np.float32), (lm.CLASSES, 1))
-    return lm.Model(class_of, input_of, within, prior, lm.Pairs(keys, n.astype(float), counts), attention.init(lm.OWN_INPUTS + lm.SHARED_INPUTS, lm.CLASSES, lm.WINDOW))
+    return lm.Model(class_of, input_of, within, prior, attention.init(lm.OWN_INPUTS + lm.SHARED_INPUTS, lm.CLASSES, lm.WINDOW), lm.Pairs(keys, n.astype(float), counts))
 
 
 def test_windows_score_every_subword_once():
@@ -115,8 +126,9 @@ def test_the_next_subword_is_a_distribution():
 @pytest.mark.parametrize("most", [0, 1, 3, 5, 6, 100])
 def test_frequent_pairs_fit_the_table(spark, most):
     pairs = spark.createDataFrame([(k, n) for k, n in enumerate([9, 5, 5, 2, 2, 1, 70_000, 90_000])], "key bigint, n bigint")
-    kept = lm.frequent(pairs, most).count()
-    assert kept <= most and (most < 8 or kept == 8)
+    kept, rest = (df.collect() for df in lm.frequent(pairs, most))
+    assert len(kept) <= most and (most < 8 or len(kept) == 8) and len(kept) + len(rest) == 8
+    assert min((r["n"] for r in kept), default=1 << 20) > max((r["n"] for r in rest), default=0)
 
 
 def test_subwords_do_not_cross_words():
