@@ -3,7 +3,8 @@
 A language is a probability for each piece of a fixed public vocabulary.  The
 probability of a word sums over all its segmentations into pieces, by a forward
 pass over the lattice of pieces; a text's is the product over its words.  The
-piece probabilities are learnt by expectation maximisation: the forward and
+distinct words of a batch pass together, all languages at once.  The piece
+probabilities are learnt by expectation maximisation: the forward and
 backward sums give every piece's expected count, and Spark adds the counts up
 by language.
 """
@@ -11,18 +12,17 @@ by language.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.common import Workspace, columns, id_fold, slices, table
-from assayer.llm.pieces import PIECES, SPACE, Automaton, vocabulary
+from assayer.llm.pieces import PIECES, SPACE, vocabulary
 
 #: The piece probabilities are fitted on about so many labelled rows of each language.
 TRAIN_DOCS = 400
@@ -32,28 +32,30 @@ UNDETERMINED = "und"
 #: Of a character outside the vocabulary, in any language.
 UNKNOWN = 1e-7
 SMOOTHING = 0.5
-#: Characters of a word after which the forward sums are rescaled.
-RESCALE = 32
-REMEMBERED = 300_000
-#: Runs of letters, and of what counts as such in a word: numbers that are no digits.
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Characters of a word after which the forward sums are rescaled: as many as the longest piece has, or more.
+RESCALE = 16
+#: Longer words pass one by one, others so many at once.
+TOGETHER, AT_ONCE = 64, 20_000
+#: Longer words teach nothing.
+LEARNT = 32
+#: Text looked at together.
+SLICE = 4 << 20
 
 
-class _Lattice:
-    def __init__(self, pieces: list[str]):
-        self.automaton = Automaton({p: k for k, p in enumerate(pieces)})
-        self.longest = max(map(len, pieces), default=1)
+def letter_runs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct runs of letters in lower case; and of each in the texts, in order, which one it is and its text."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), "\\PL+")
+    flat = lists.flatten()
+    used = pc.not_equal(flat, "")
+    coded = flat.filter(used).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), pc.list_parent_indices(lists).filter(used).to_numpy()
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each character, (length, piece) of what may end there; piece -1 is an unknown character."""
-        out = []
-        for found in self.automaton.matches(SPACE + word):
-            out.append(found if found and found[-1][0] == 1 else [*found, (1, -1)])
-        return out
 
+def _forward(edges: list[list[tuple[int, int]]], p: list[float], longest: int) -> tuple[list[float], float]:
+    """The sums of all segmentations of each prefix, and the log of the factors taken out of them on the way.
 
-def _forward(edges, p, longest: int) -> tuple[list[float], float]:
-    """The sums of all segmentations of each prefix, and the log of the factors taken out of them on the way."""
+    edges: for each character, (length, piece) of what may end there.
+    """
     sums, log = [1.0], 0.0
     for j, found in enumerate(edges, 1):
         s = 0.0
@@ -68,6 +70,117 @@ def _forward(edges, p, longest: int) -> tuple[list[float], float]:
     return sums, log
 
 
+class _Prefixes:
+    """All prefixes of pieces by a rolling hash, so that many places of many words are followed at once."""
+
+    STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, pieces: list[str]):
+        known: dict[int, int] = {}
+        for k, piece in enumerate(pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(self.STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                known.setdefault(h, -1)
+            known[h] = k
+        self.hashes = np.array(sorted(known), np.uint64)
+        self.piece = np.array([known[h] for h in sorted(known)], np.int32)
+        self.may = np.zeros(1 << 22, bool)
+        self.may[self.slot(self.hashes)] = True
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * self.SPREAD >> np.uint64(42)).view(np.int64)
+
+    def edges(self, codes: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """length, places and pieces, for pieces of each length that begin at a place.  room: characters left in the word."""
+        at, h, length = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
+        while len(at):
+            h = h * self.STEP + codes[at + length] + np.uint64(1)
+            length += 1
+            on = np.flatnonzero(self.may[self.slot(h)])
+            at, h = at[on], h[on]
+            found = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            on = np.flatnonzero(self.hashes[found] == h)
+            at, h, found = at[on], h[on], found[on]
+            whole = self.piece[found] >= 0
+            yield length, at[whole], self.piece[found[whole]]
+            on = np.flatnonzero(room[at] > length)
+            at, h = at[on], h[on]
+
+
+class _Lattice:
+    """What pieces may stand where in words, sorted by their ends and lengths: a word has one of an end and a length at most.
+
+    A word's sums are before each of its characters and after the last, so a
+    word has a row more than characters; the first is the space before it.
+    """
+
+    def __init__(self, prefixes: _Prefixes, words: list[str], unknown: int):
+        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        text = "".join(SPACE + w for w in words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        first = np.cumsum(self.size) - self.size
+        place = np.arange(len(codes)) - np.repeat(first, self.size)
+        row = np.arange(len(codes)) + np.repeat(np.arange(len(words)), self.size)
+        self.begin, self.rows = first + np.arange(len(words)), len(codes) + len(words)
+        keys, starts, pieces, lone = [], [], [], np.ones(len(codes), bool)
+
+        def add(at: np.ndarray, length: int, piece: np.ndarray) -> None:
+            keys.append((place[at] + length) * 64 + length)
+            starts.append(row[at])
+            pieces.append(piece)
+
+        for length, at, piece in prefixes.edges(codes, np.repeat(self.size, self.size) - place):
+            add(at, length, piece)
+            if length == 1:
+                lone[at] = False
+        at = np.flatnonzero(lone)
+        add(at, 1, np.full(len(at), unknown, np.int32))
+        key = np.concatenate(keys)
+        order = np.argsort(key.astype(np.int16) if key.max() < 1 << 15 else key, kind="stable")
+        key, self.starts, self.pieces = key[order], np.concatenate(starts)[order], np.concatenate(pieces)[order]
+        bounds = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+        #: (end, length, from, to) of the runs of one end and length.
+        self.groups = [(k // 64, k % 64, a, b) for k, a, b in zip(key[bounds[:-1]].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums over all segmentations by row, and the logs of the factors taken out of a word's.  table: by piece, then by language."""
+        sums, log = np.zeros((self.rows, table.shape[1])), np.zeros((len(self.size), table.shape[1]))
+        sums[self.begin] = 1
+        done = 0
+        for end, length, a, b in self.groups:
+            if end > done and done and done % RESCALE == 0:
+                self._rescale(sums, log, done)
+            done = end
+            at = self.starts[a:b]
+            sums[at + length] += sums[at] * table[self.pieces[a:b]]
+        return sums, log
+
+    def _rescale(self, sums: np.ndarray, log: np.ndarray, end: int) -> None:
+        long = np.flatnonzero(self.size > end)
+        at = self.begin[long] + end
+        scale = np.maximum(sums[at], 1e-300)
+        log[long] += np.log(scale)
+        for back in range(RESCALE):
+            sums[at - back] /= scale
+
+    def expected(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Each piece's expected count over all segmentations of the words, which come n times."""
+        sums, rest, gain = np.zeros(self.rows), np.zeros(self.rows), np.zeros(len(self.starts))
+        sums[self.begin] = 1
+        for _, length, a, b in self.groups:
+            at = self.starts[a:b]
+            sums[at + length] += sums[at] * p[self.pieces[a:b]]
+        last = self.begin + self.size
+        rest[last] = np.where(sums[last] > 0, n / np.maximum(sums[last], 1e-300), 0)
+        for _, length, a, b in reversed(self.groups):
+            at = self.starts[a:b]
+            flow = p[self.pieces[a:b]] * rest[at + length]
+            gain[a:b] = sums[at] * flow
+            rest[at] += flow
+        return np.bincount(self.pieces, gain, len(p))
+
+
 @dataclass
 class LanguageModel:
     """probabilities: for each language, of every piece and, last, of an unknown character."""
@@ -75,62 +188,63 @@ class LanguageModel:
     languages: list[str]
     pieces: list[str]
     probabilities: list[list[float]]
-    _lattice: object = field(default=None, repr=False)
-    _known: dict = field(default_factory=dict, repr=False)
+    _live: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_lattice": None, "_known": {}}
+        return self.__dict__ | {"_live": None}
+
+    def _ready(self) -> tuple[_Prefixes, np.ndarray]:
+        if self._live is None:
+            self._live = _Prefixes(self.pieces), np.array(self.probabilities).T.copy()
+        return self._live
 
     def word(self, word: str) -> list[float]:
-        """The log-probability in each language."""
-        found = self._known.get(word)
-        if found is None:
-            if self._lattice is None:
-                self._lattice = _Lattice(self.pieces)
-            edges, longest = self._lattice.edges(word), self._lattice.longest
-            found = []
-            for p in self.probabilities:
-                sums, log = _forward(edges, p, longest)
-                found.append(math.log(sums[-1] or 1e-300) + log)
-            if len(word) <= 64:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[word] = found
-        return found
+        """The log-probability of a word of any length in each language."""
+        prefixes, _ = self._ready()
+        codes = np.array([ord(c) for c in SPACE + word], np.uint64)
+        edges: list[list[tuple[int, int]]] = [[] for _ in codes]
+        for length, at, piece in prefixes.edges(codes, len(codes) - np.arange(len(codes))):
+            for k, n in zip(at.tolist(), piece.tolist(), strict=True):
+                edges[k + length - 1].append((length, n))
+        for found in edges:
+            if not any(length == 1 for length, _ in found):
+                found.append((1, len(self.pieces)))
+        out = []
+        for p in self.probabilities:
+            sums, log = _forward(edges, p, RESCALE)
+            out.append(math.log(sums[-1] or 1e-300) + log)
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log-probability of each word in each language."""
+        prefixes, table = self._ready()
+        out = np.zeros((len(words), len(self.languages)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(sizes > TOGETHER):
+            out[k] = self.word(words[k])
+        together = np.flatnonzero(sizes <= TOGETHER)
+        for a in range(0, len(together), AT_ONCE):
+            some = together[a : a + AT_ONCE]
+            lattice = _Lattice(prefixes, [words[k] for k in some], len(self.pieces))
+            sums, log = lattice.forward(table)
+            out[some] = np.log(np.maximum(sums[lattice.begin + lattice.size], 1e-300)) + log
+        return out
+
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Of each text the likeliest language and its posterior; `und` and 0 for a text without a letter."""
+        words, which, doc = letter_runs(texts)
+        if not words or not self.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        by_word = self.words(words)
+        rows = np.stack([np.bincount(doc, by_word[which, k], len(texts)) for k in range(len(self.languages))], axis=1)
+        best = rows.argmax(axis=1)
+        score = 1 / np.exp(rows - rows[np.arange(len(rows)), best][:, None]).sum(axis=1)
+        some = np.bincount(doc, minlength=len(texts)) > 0
+        return [self.languages[k] if s else UNDETERMINED for k, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; `und` and 0 for a text without a letter."""
-        tokens = LETTERS((text or "").lower())
-        if not self.languages or not any(c.isalpha() for token in tokens for c in token):
-            return UNDETERMINED, 0.0
-        word, rows = self.word, [0.0] * len(self.languages)
-        for token, n in Counter(tokens).items():
-            for k, x in enumerate(word(token)):
-                rows[k] += n * x
-        best = max(range(len(rows)), key=lambda k: (rows[k], -k))
-        return self.languages[best], 1 / sum(math.exp(x - rows[best]) for x in rows)
-
-
-def _expected(words: Counter, p: list[float], lattice: _Lattice) -> np.ndarray:
-    """Each piece's expected count over all segmentations of the words."""
-    out = np.zeros(len(p))
-    for word, n in words.items():
-        if len(word) > 64:  # a run of letters without a space says little about a language
-            continue
-        edges = lattice.edges(word)
-        sums = [1.0]
-        for j, found in enumerate(edges, 1):
-            sums.append(sum(sums[j - length] * p[k] for length, k in found))
-        if not sums[-1]:
-            continue
-        rest = [0.0] * len(sums)
-        rest[-1] = n / sums[-1]
-        for j in range(len(edges), 0, -1):
-            for length, k in edges[j - 1]:
-                flow = p[k] * rest[j]
-                rest[j - length] += flow
-                out[k] += sums[j - length] * flow
-    return out
+        lang, score = self.predict_all(pa.array([text], pa.string()))
+        return lang[0], float(score[0])
 
 
 def train(labelled: DataFrame, path: str = PIECES, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> LanguageModel:
@@ -157,14 +271,18 @@ def train(labelled: DataFrame, path: str = PIECES, train_docs: int = TRAIN_DOCS,
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], now=probabilities) -> Iterator[pa.RecordBatch]:
-            lattice = _Lattice(pieces)
+            prefixes, p = _Prefixes(pieces), np.array(now)
             total = np.zeros((len(now), len(pieces) + 1))
-            for b in slices(batches):
-                seen = [Counter() for _ in now]
-                for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seen[number[lang]].update(LETTERS(text.lower()))
-                for k, (w, p) in enumerate(zip(seen, now, strict=True)):
-                    total[k] += _expected(w, p, lattice)
+            for b in slices(batches, SLICE):
+                words, which, doc = letter_runs(b.column(0))
+                langs = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)[doc]
+                # A long run of letters without a space says little about a language.
+                short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= LEARNT)
+                for a in range(0, len(short), AT_ONCE):
+                    some = short[a : a + AT_ONCE]
+                    lattice = _Lattice(prefixes, [words[k] for k in some], len(pieces))
+                    for k in range(len(now)):
+                        total[k] += lattice.expected(p[k], np.bincount(which[langs == k], minlength=len(words))[some])
             k, piece = np.nonzero(total[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], ["k", "piece", "n"])
 
@@ -189,9 +307,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [model.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*rest, "lang_pred", "score"])
+        for b in slices(batches, SLICE):
+            langs, scores = model.predict_all(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores)], [*rest, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

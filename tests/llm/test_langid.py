@@ -5,6 +5,7 @@ import random
 import zlib
 from itertools import product
 
+import numpy as np
 from helpers import ODD, folder, frame
 
 from assayer.llm import langid
@@ -52,12 +53,13 @@ def test_training_ignores_held_out_rows(spark):
         assert a == b and math.isclose(x, y, rel_tol=1e-9)
 
 
-def test_the_forward_sum_is_over_all_segmentations():
-    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
-    p = [0.1, 0.2, 0.15, 0.2, 0.05, 0.2, 0.1, 1e-4]
-    word = "abab"
-    lattice = langid._Lattice(pieces)
-    text, total = "▁" + word, 0.0
+PARTS = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+CHANCES = [0.1, 0.2, 0.15, 0.2, 0.05, 0.2, 0.1, 1e-4]
+
+
+def segmentations(word):
+    """All ways to write a word in pieces and unknown characters, as numbers."""
+    text = "▁" + word
     for cuts in product([False, True], repeat=len(text) - 1):
         parts, part = [], text[0]
         for c, cut in zip(text[1:], cuts, strict=True):
@@ -67,12 +69,39 @@ def test_the_forward_sum_is_over_all_segmentations():
             else:
                 part += c
         parts.append(part)
-        if all(x in pieces for x in parts):
-            total += math.prod(p[pieces.index(x)] for x in parts)
-    sums, log = langid._forward(lattice.edges(word), p, lattice.longest)
-    assert math.isclose(math.log(sums[-1]) + log, math.log(total))
-    model = langid.LanguageModel(["x"], pieces, [p])
-    assert math.isclose(model.word(word)[0], math.log(total))
+        if all(x in PARTS or len(x) == 1 for x in parts):
+            yield [PARTS.index(x) if x in PARTS else len(PARTS) for x in parts]
+
+
+WORDS = ["abab", "a", "b", "bb", "cab", "abcba", "aaaaaaaa", "babababab"]
+
+
+def test_the_forward_sum_is_over_all_segmentations():
+    model = langid.LanguageModel(["x"], PARTS, [CHANCES])
+    together = model.words(WORDS)[:, 0]
+    for word, found in zip(WORDS, together, strict=True):
+        total = sum(math.prod(CHANCES[k] for k in s) for s in segmentations(word))
+        assert math.isclose(model.word(word)[0], math.log(total)) and math.isclose(found, math.log(total))
+
+
+def test_expected_counts_are_over_all_segmentations():
+    n = np.arange(1, len(WORDS) + 1)
+    want = np.zeros(len(CHANCES))
+    for word, times in zip(WORDS, n, strict=True):
+        chances = [(math.prod(CHANCES[k] for k in s), s) for s in segmentations(word)]
+        total = sum(c for c, _ in chances)
+        for c, s in chances:
+            for k in s:
+                want[k] += times * c / total
+    lattice = langid._Lattice(langid._Prefixes(PARTS), WORDS, len(PARTS))
+    assert np.allclose(lattice.expected(np.array(CHANCES), n), want)
+
+
+def test_words_pass_together_as_they_pass_alone():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abc", k=rng.randrange(1, 90))) for _ in range(200)]
+    model = langid.LanguageModel(["x", "y"], PARTS, [CHANCES, CHANCES[::-1]])
+    assert np.allclose(model.words(words), [model.word(w) for w in words])
 
 
 def test_long_words_do_not_underflow():
