@@ -47,7 +47,7 @@ def is_valid(df: DataFrame, type_: str | Type, schema: Schema | None = None, col
 def violations(df: DataFrame, type_: str | Type, schema: Schema | None = None, col: str | Column | None = None, options: Options | None = None) -> Column:
     """The leaves of each row's violations, sorted; empty for a valid row."""
     options = options or Options()
-    return F.array_sort(Compiler(options).leaves(_type(schema, type_), _view(df, col, options)).cast(LEAF))
+    return F.sort_array(Compiler(options).leaves(_type(schema, type_), _view(df, col, options)).cast(LEAF))
 
 
 def validate(df: DataFrame, type_: str | Type, schema: Schema | None = None, col: str | Column | None = None, mode: str = "flag", options: Options | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def ordered_documents(df: DataFrame, by: list[str], order: Column, truths: list[
 
     ddl = T.StructType([*rows.schema.fields[:2], T.StructField("relation", T.ArrayType(T.LongType()))])
     schema = to_arrow_schema(ddl)
-    stretches = rows.mapInArrow(run, ddl).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "relation"))).alias("stretches"))
+    stretches = rows.mapInArrow(run, ddl).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("at", "relation"))).alias("stretches"))
     zero = F.lit(0).cast("long")
 
     def compose(state: Column, x: Column) -> Column:

@@ -159,7 +159,7 @@ def occurs_range(spark, sf_dir):
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
     return turns.select("conv_id", F.transform("r", lambda x: x["role"]).alias("roles"))
 
 
@@ -212,7 +212,7 @@ def violation_profile(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, list_aggregate(list_filter([CASE WHEN l_discount >= 0.05::DOUBLE THEN '( l_discount )' END, CASE WHEN l_linestatus = 'F' THEN '( l_linestatus )' END, CASE WHEN l_quantity NOT BETWEEN 1 AND 50 THEN '( l_quantity )' END, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN '( l_returnflag )' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS paths FROM lineitem")
 def violation_paths(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    paths = F.array_join(F.array_sort(F.transform(violations(df, "t", schema(RULES)), lambda x: x["path"])), ",")
+    paths = F.array_join(F.sort_array(F.transform(violations(df, "t", schema(RULES)), lambda x: x["path"])), ",")
     return df.select("l_orderkey", "l_linenumber", F.nullif(paths, F.lit("")).alias("paths"))
 
 
