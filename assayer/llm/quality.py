@@ -48,7 +48,7 @@ def repeated_words(tokens: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     # A one-element array binds the sorted windows to a name, so that they are sorted once.
-    return F.when(n < 4, F.lit(0)).otherwise(F.get(F.transform(F.array(F.array_sort(windows)), covered), F.lit(0)))
+    return F.when(n < 4, F.lit(0)).otherwise(F.get(F.transform(F.array(F.sort_array(windows)), covered), F.lit(0)))
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
