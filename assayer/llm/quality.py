@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import SPACES, Workspace, columns, table, words
 
-#: Rows on which costs and selectivities are estimated; verdicts cover all rows.
-SAMPLE_ROWS = 2000
+#: Rows, and the longest text, on which costs and selectivities are estimated; verdicts cover all rows.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -112,7 +112,10 @@ def assess(docs: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_
     """
     rules = default_rules() if rules is None else rules
     work = Workspace(docs.sparkSession)
-    sample = work.write(columns(docs, doc_id=doc_id, text=text).limit(SAMPLE_ROWS), "sample")
+    own = columns(docs, doc_id=doc_id, text=text)
+    # take() stops at the first partitions; a limit that is written would gather from all.
+    rows = own.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    sample = work.write(docs.sparkSession.createDataFrame(rows, own.schema), "sample")
     order = [r for r, _, _ in rank_rules(measure(sample), rules)]
     work.drop("sample")
     kept, reason = cascade(order)
