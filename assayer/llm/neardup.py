@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +33,22 @@ from assayer.llm.common import Workspace, columns, slices, table
 from assayer.llm.components import components
 
 SHINGLE = 5
-#: intersection * 100 >= union * THRESHOLD
+#: intersection * 100 >= union * THRESHOLD: the contract of op8.
 THRESHOLD = 85
-#: Two documents at the threshold meet in no band with a chance of 8e-7.
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: Two documents at the threshold meet in no band with this chance at most.
+UNMET = 8e-7
 BATCH = 24
 #: A candidate is dropped when its similarity reaches the threshold with less than this chance.
 MISS = 1e-6
 
-_rng = np.random.default_rng(1201)
-_A = (_rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+def bands_for(threshold: int) -> int:
+    """The fewest bands in which documents at the threshold (in hundredths) miss each other with UNMET at most."""
+    return ceil(log(UNMET) / log(1 - (threshold / 100) ** ROWS))
+
+
+BANDS = bands_for(THRESHOLD)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,22 +90,30 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+@lru_cache
+def _hashes(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(1201)
+    a = (rng.integers(1, 1 << 63, bands * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    return a, rng.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64)
+
+
 def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """32-bit minima under BANDS * ROWS hashes."""
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint64)
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """32-bit minima under bands * ROWS hashes."""
+    times, plus = _hashes(bands)
+    out = np.full(bands * ROWS, 0xFFFFFFFF, np.uint64)
     for a in range(0, len(shingles), 2048):
-        out = np.minimum(out, ((shingles[a : a + 2048, None] * _A + _B) >> np.uint64(32)).min(axis=0))
+        out = np.minimum(out, ((shingles[a : a + 2048, None] * times + plus) >> np.uint64(32)).min(axis=0))
     return out.astype(np.uint32)
 
 
 def band_keys(sig: np.ndarray) -> list[int]:
     """One 64-bit key for each band; the band's number is part of it."""
-    rows = sig.reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    rows = sig.reshape(-1, ROWS)
+    h = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for k in range(ROWS):
         h = _mix(h * _STEP + rows[:, k])
     return h.view(np.int64).tolist()
@@ -114,19 +127,19 @@ def least_matches(batch: int = BATCH, most: int = BANDS * ROWS, threshold: float
     its tail above the threshold is a sum of binomials.
     """
     out = []
-    for n in range(batch, most + 1, batch):
+    for n in [*range(batch, most, batch), most]:
         tail = lambda m, n=n: sum(comb(n + 1, i) * threshold**i * (1 - threshold) ** (n + 1 - i) for i in range(m + 1))
         out.append(next(m for m in range(n + 1) if tail(m) >= miss))
     return tuple(out)
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def _features(docs: DataFrame, bands: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column(1))
-            sigs = [signature(s) if len(s) else None for s in sets]
+            sigs = [signature(s, bands) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -140,11 +153,11 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node binary, sig binary")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             keys = [k for s in b.column(1).to_pylist() for k in band_keys(np.frombuffer(s, np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node binary")
 
@@ -162,17 +175,18 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """pairs(a, b) that the signatures and the sizes don't rule out."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_matches()
+        width = bands_for(threshold) * ROWS
+        least = least_matches(most=width, threshold=threshold / 100)
         for b in slices(batches):
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, width) for k in (2, 3))
             at, equal = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for k, m in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
@@ -184,12 +198,12 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}"))
-    both = _likely(pairs, nodes).join(side("a"), "a").join(side("b"), "b")
+    both = _likely(pairs, nodes, threshold).join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     union = F.size("s_a") + F.size("s_b") - common
-    return both.where(100 * common >= THRESHOLD * union).select("a", "b")
+    return both.where(100 * common >= threshold * union).select("a", "b")
 
 
 def _stars(buckets: DataFrame, work: Workspace) -> DataFrame:
@@ -200,7 +214,7 @@ def _stars(buckets: DataFrame, work: Workspace) -> DataFrame:
     return buckets.select("key", F.col("node").alias("b")).join(pivots, "key").where("a <> b").select("a", "b").distinct()
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Workspace, threshold: int) -> DataFrame:
     """Pairs (a, b) of different components that lie in open buckets and may reach the threshold.
 
     A node's entries are its rarest shingles, with their places in its order.
@@ -217,7 +231,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Worksp
     ordered = each.join(frequency, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
     size, alone = F.size("shingles"), F.col("size") - F.size("order")
     rows = held.select("node", "component", size.alias("size")).join(ordered, "node").select("node", "component", "size", "order", alone.alias("alone"))
-    first = F.col("size") - F.ceil(F.col("size") * THRESHOLD / 100).cast("int") + 1 - F.col("alone")
+    first = F.col("size") - F.ceil(F.col("size") * threshold / 100).cast("int") + 1 - F.col("alone")
     rare = F.slice("order", F.lit(1), F.greatest(first, F.lit(0)))
     entries = rows.select("node", "component", "size", "alone", F.posexplode(rare).alias("at", "x")).select(F.col("x.token").alias("token"), "node", "component", "size", (F.col("alone") + F.col("at")).alias("place"))
     entries = work.write(entries, "entries")
@@ -225,15 +239,17 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Worksp
     largest = counts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
     aside = entries.join(largest.select("token", F.col("top.component").alias("largest")), "token").where("component <> largest").drop("largest")
     x, y = aside.alias("x"), entries.alias("y")
-    common = F.ceil((F.col("x.size") + F.col("y.size")) * THRESHOLD / (100 + THRESHOLD))
+    common = F.ceil((F.col("x.size") + F.col("y.size")) * threshold / (100 + threshold))
     fits = (F.col("x.place") + common <= F.col("x.size")) & (F.col("y.place") + common <= F.col("y.size"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits)
     return work.write(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of docs.
 
+    Texts are linked from a similarity of threshold hundredths on; the bands, the
+    posterior test and the prefixes follow from it.
     A null, empty or blank text has no shingles and is linked with nothing: its
     component is its own id.  A null id counts as none when a component's
     smallest id is sought; a component of null ids alone has a null
@@ -243,16 +259,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     work = Workspace(docs.sparkSession)
     docs = columns(docs, doc_id=doc_id, text=text)
-    features = work.write(_features(docs), "features")
+    bands = bands_for(threshold)
+    features = work.write(_features(docs, bands), "features")
     nodes = work.write(features.where("node is not null").dropDuplicates(["node"]), "nodes")
-    keyed = _keys(nodes)
+    keyed = _keys(nodes, bands)
     shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = work.write(keyed.join(shared, "key"), "buckets")
     members = buckets.select("node").distinct()
     sets = work.write(_sets(docs, nodes.join(members, "node").select("node", "doc_id")), "sets")
-    links = work.write(_links(_stars(buckets, work), nodes, sets), "links")
+    links = work.write(_links(_stars(buckets, work), nodes, sets, threshold), "links")
     labels = components(links, work, "first")
-    more = work.write(_links(_across(buckets, labels, sets, work), nodes, sets), "more")
+    more = work.write(_links(_across(buckets, labels, sets, work, threshold), nodes, sets, threshold), "more")
     work.drop("nodes", "shared", "buckets", "sets", "pivots", "named", "open", "frequency", "entries", "across")
     labels = components(links.union(more), work, "labels")
     least = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))

@@ -15,6 +15,8 @@ from assayer.llm.common import SPACES, Workspace, columns
 
 #: Language ID rejects a document below this posterior.
 LEAST_SCORE = 0.5
+#: Near-duplicates share so many hundredths of their shingles or more.
+SIMILAR = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id; rows of one id count once."""
-    found = neardup.near_duplicates(docs)
+    found = neardup.near_duplicates(docs, threshold=SIMILAR)
     gone = Workspace(spark).write(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
 

@@ -122,3 +122,25 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in components(links, Workspace(spark)).collect()}
     assert {found[k] for k in range(41)} == {0} and {found[k] for k in (100, 101, 102)} == {100}
+
+
+def test_thresholds_besides_that_of_op8(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        # One word of 50 to 64 replaced in the middle: a similarity of 0.8 or more, but below 0.85.
+        w = [f"t{rng.randrange(10**9)}" for _ in range(rng.randrange(50, 65))]
+        texts += [" ".join(w), " ".join([*w[:20], "other", *w[21:]])]
+    sets = neardup.shingle_sets(pa.array(texts))
+    near = [len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 <= s < 0.85 for s in near)
+    for threshold, kept in ((80, 40), (85, 80)):
+        assert neardup.near_duplicates(frame(spark, texts), threshold=threshold).where("kept").count() == kept
+
+
+def test_bands_follow_from_the_threshold():
+    assert neardup.bands_for(85) == neardup.BANDS == 24
+    for threshold in (70, 80, 85, 90):
+        bands = neardup.bands_for(threshold)
+        assert (1 - (threshold / 100) ** neardup.ROWS) ** bands <= neardup.UNMET
+        assert len(neardup.band_keys(neardup.signature(np.arange(9, dtype=np.uint64), bands))) == bands
