@@ -3,9 +3,11 @@
 A gear rolling hash over the bytes before each word start decides, from content
 alone, where chunks end, so an insertion moves no boundary but those next to it;
 where nothing ends a chunk, as in one word over and over, its length does.
-Chunks that several documents have are found by their digests; in every document
-but the one of the smallest id, runs of such chunks with min_words words or more
-are taken out.
+A passage is a sequence of neighbouring chunks with min_words words or more.
+Passages that several documents have are found by the digests of the shortest
+such sequences; in every document but the one of the smallest id, the chunks of
+such sequences are taken out.  Chunks that are repeated one by one, in different
+places, make no passage.
 """
 
 from __future__ import annotations
@@ -26,8 +28,17 @@ MEAN_WORDS = 4
 WINDOW = 16
 #: A chunk has so many words at most.
 MOST_WORDS = 24
-#: Runs of repeated chunks shorter than this stay: phrases, licence lines, names.
+#: Repeated passages shorter than this stay: phrases, licence lines, names.
 MIN_WORDS = 20
+#: Of the polynomial in chunk digests, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C13
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Chunks:
@@ -60,15 +71,39 @@ class Chunks:
         self.digest = np.array([digest(whole[a:b].rstrip()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64).view(np.int64)
         self.start, self.end = begin - begins[self.doc], end - begins[self.doc]
 
-
-def _occurrences(docs: DataFrame, mean_words: int, only: HashFilter | None = None) -> DataFrame:
-    """(digest, doc_id), once for each document."""
+    def passages(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last chunk, and digest, of the sequences that reach min_words and don't without their last chunk, or without their first.
+
+        They lie in one row.  Every chunk of a longer sequence lies in one of
+        these that is part of it.
+        """
+        n = len(self.doc)
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        each = np.arange(n)
+        # Shortest from each chunk on, and shortest up to each chunk.
+        last = np.searchsorted(total, total[:-1] + min_words) - 1
+        first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+        ahead = last < n
+        ahead[ahead] = self.doc[last[ahead]] == self.doc[ahead]
+        back = first >= 0
+        back[back] = self.doc[first[back]] == self.doc[back]
+        back[back] = last[first[back]] != each[back]  # the others are there already
+        a, z = np.concatenate([each[ahead], first[back]]), np.concatenate([last[ahead], each[back]])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.digest.view(np.uint64) * _powers(_BASE, n), dtype=np.uint64)])
+        h = (sums[z + 1] - sums[a]) * _powers(_BACK, n)[a] + (z - a).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return a, z, (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _occurrences(docs: DataFrame, mean_words: int, min_words: int, only: HashFilter | None = None) -> DataFrame:
+    """(digest, doc_id) of passages, once for each document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             c = Chunks(b.column(1), mean_words)
-            doc, digest = c.doc, c.digest
+            first, _, digest = c.passages(min_words)
+            doc = c.doc[first]
             if only is not None:
                 may = only.may_have(digest)
                 doc, digest = doc[may], digest[may]
@@ -81,12 +116,12 @@ def _occurrences(docs: DataFrame, mean_words: int, only: HashFilter | None = Non
     return docs.mapInArrow(run, f"digest bigint, doc_id {kind}")
 
 
-def repeated_chunks(docs: DataFrame, work: Workspace, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id and the sorted digests of its chunks that a document of a smaller id has too."""
-    counted = _occurrences(docs, mean_words).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+def repeated_passages(docs: DataFrame, work: Workspace, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id and the digests of its passages that a document of a smaller id has too."""
+    counted = _occurrences(docs, mean_words, min_words).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     again = work.write(counted.where("n > 1").select("digest", "owner"), "again")
-    # The filter keeps chunks that are surely unique out of the second shuffle; the join decides.
-    some = _occurrences(docs, mean_words, HashFilter.of(again, "digest"))
+    # The filter keeps passages that are surely unique out of the second shuffle; the join decides.
+    some = _occurrences(docs, mean_words, min_words, HashFilter.of(again, "digest"))
     later = F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner")))
     return some.join(again, "digest").where(later).groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
@@ -94,8 +129,8 @@ def repeated_chunks(docs: DataFrame, work: Workspace, mean_words: int = MEAN_WOR
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
     """All columns of docs, the text without repeated passages, with removed_words and removed (array of (start, end) in bytes of the old text) at the end.
 
-    64-bit digests do: a chance hit would have to fall next to others to make a
-    run.  A null text stays null, an empty one empty.  Rows with one id are one
+    64-bit digests do: a passage is taken for repeated by chance once in 2^64 pairs.
+    A null text stays null, an empty one empty.  Rows with one id are one
     document.  Rows with a null id keep passages that no other document has.  A
     text that is repeated whole becomes empty.  Columns named like ours are
     replaced.
@@ -103,7 +138,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     work = Workspace(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("removed_words", "removed")]
     docs = docs.select(*rest)
-    found = work.write(repeated_chunks(columns(docs, doc_id=doc_id, text=text), work, mean_words), "found")
+    found = work.write(repeated_passages(columns(docs, doc_id=doc_id, text=text), work, mean_words, min_words), "found")
     work.drop("again")
     key = "_assayer_digests"
     joined = docs.join(found.select(F.col("doc_id").alias("_assayer_id"), F.col("digests").alias(key)), docs[doc_id].eqNullSafe(F.col("_assayer_id")), "left").select(*rest, key)
@@ -116,15 +151,23 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             if hit:
                 c = Chunks(texts.take(pa.array(hit)), mean_words)
                 bounds = np.searchsorted(c.doc, np.arange(len(hit) + 1))
+                first, past, digest = c.passages(min_words)
+                past = past + 1
+                order = np.argsort(first, kind="stable")
+                first, past, digest = first[order], past[order], digest[order]
+                within = np.searchsorted(first, bounds)
                 for j, k in enumerate(hit):
                     own = slice(bounds[j], bounds[j + 1])
-                    repeated = np.isin(c.digest[own], np.array(b.column(len(rest))[k].as_py(), np.int64))
+                    mine = slice(within[j], within[j + 1])
+                    again = np.isin(digest[mine], b.column(len(rest))[k].values.to_numpy())
+                    cover = np.zeros(bounds[j + 1] - bounds[j] + 1, np.int64)
+                    np.add.at(cover, first[mine][again] - bounds[j], 1)
+                    np.add.at(cover, past[mine][again] - bounds[j], -1)
+                    repeated = np.cumsum(cover[:-1]) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
                     data, kept, last = out[k].encode("utf-8", "surrogatepass"), [], 0
                     for a, z in edges.reshape(-1, 2):
                         n = int(c.words[own][a:z].sum())
-                        if n < min_words:
-                            continue
                         begin, end = int(c.start[own][a]), int(c.end[own][z - 1])
                         kept.append(data[last:begin])
                         last = end

@@ -105,3 +105,40 @@ def test_empty_tables_and_clashing_columns(spark):
     out = substrings.deduplicate(df)
     assert out.columns == ["doc_id", "text", "digest", "n_chars", "removed_words", "removed"] and out.count() == 1
     assert substrings.deduplicate(df.limit(0)).count() == 0
+
+
+def test_chunks_of_different_documents_make_no_passage(spark):
+    rng = random.Random(12)
+    w = prose(rng, 60, 10**9).split()
+    parts = [" ".join([prose(rng, 30, 10**9), *w[a : a + 15], prose(rng, 30, 10**9)]) for a in range(0, 46, 3)]
+    texts = [*parts, " ".join(w)]
+    # Each chunk of the last text is in an earlier one, but no 20 words of it together.
+    seen = set(substrings.Chunks(pa.array(parts)).digest.tolist())
+    last = substrings.Chunks(pa.array(texts[-1:]))
+    common = [d in seen for d in last.digest.tolist()]
+    assert sum(n for n, c in zip(last.words, common, strict=True) if c) > 40
+    rows = substrings.deduplicate(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(texts))
+
+
+def test_brute_force_over_passages(spark):
+    rng = random.Random(13)
+    # So few words that most chunks are repeated by chance, and stretches of earlier texts.
+    texts = []
+    for _ in range(60):
+        parts = [prose(rng, rng.randrange(5, 90), 12)]
+        for t in rng.sample(texts, min(len(texts), rng.randrange(3))):
+            w = t.split()
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a : a + rng.randrange(1, 60)]), prose(rng, rng.randrange(5, 60), 12)]
+        texts.append(" ".join(parts))
+    seen, want = set(), []
+    for t in texts:
+        c = substrings.Chunks(pa.array([t]))
+        n, digests = c.words.tolist(), c.digest.tolist()
+        own = {(a, z): tuple(digests[a:z]) for a in range(len(n)) for z in range(a + 1, len(n) + 1) if sum(n[a:z]) >= substrings.MIN_WORDS}
+        gone = {k for (a, z), x in own.items() if x in seen for k in range(a, z)}
+        want.append(sum(n[k] for k in gone))
+        seen |= set(own.values())
+    rows = substrings.deduplicate(frame(spark, texts)).collect()
+    assert [r["removed_words"] for r in sorted(rows, key=lambda r: r["doc_id"])] == want and sum(want) > 500
