@@ -16,15 +16,13 @@ parameters are averaged by Spark.
 
 Texts are scored in overlapping windows: a window's first places only give
 context, so each subword is scored once, under a batched causal mask.  A token's
-probability mixes that of its subwords in their context with the unigram one, if
-training text has the word; the share of the former is the chance of a new word,
-estimated from the words that were seen once.
+probability is that of its subwords in their context, whether training text has
+the word or not; the unigram base is a score of its own beside it.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -56,7 +54,6 @@ AT_ONCE = 128
 PAIRS, DISCOUNT = 1 << 20, 0.75
 #: Tasks get the counts of so many of the most frequent words at most; those of other words are joined.
 WORDS = 1 << 20
-LN10 = np.log(10)
 _LIVE: dict[int, object] = {}
 
 
@@ -427,9 +424,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     coded = work.write(code(own.withColumn("held_out", held), subwords), "coded")
     counted = work.write(tally(coded, subwords.end), "counts")
     words = counted.where("kind = 0").select("key", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, denominator = total["n"] or 0, (total["n"] or 0) + total["v"] + 1
-    new = min(0.95, max(0.01, total["once"] / n_train)) if n_train else 1.0
     id_counts = np.ones(subwords.end + 1)
     for r in counted.where("kind = 1").select("key", "n").collect():  # a row for each id of the tokenizer at most
         id_counts[r["key"]] += r["n"]
@@ -438,7 +434,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     keys, counts = arrays(common, "key", "n")  # WORDS rows at most
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, mixed double, rare array<struct<word: bigint, own: double>>"
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, row in _rows(batches):
@@ -446,31 +442,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             is_common = keys[at] == c.words if len(keys) else np.zeros(len(c.words), bool)
             n = np.where(is_common, counts[at] if len(keys) else 0, 0)
             base = np.where(is_common, np.log10((n + 1) / denominator), 0.0)
-            sizes = c.sub_lengths[c.number]
-            ends = np.cumsum(sizes)
-            each = np.concatenate([[0.0], np.cumsum(model.score(*c.subwords()))])
-            own = each[ends] - each[ends - sizes]
+            ids, sizes = c.subwords()
             known = is_common[c.number]
-            mixed = np.where(known, np.logaddexp((base[c.number] + np.log10(1 - new)) * LN10 if new < 1 else -np.inf, (own + np.log10(new)) * LN10) / LN10, 0.0)
-            ends = np.cumsum(c.lengths)
-            sums = lambda x, ends=ends, c=c: (y := np.concatenate([[0], np.cumsum(x)]))[ends] - y[ends - c.lengths]
+            sums = lambda x, n: (y := np.concatenate([[0], np.cumsum(x)]))[ends := np.cumsum(n)] - y[ends - n]
+            scores = sums(model.score(ids, sizes).astype(np.float64), sizes)
             rare = np.flatnonzero(~known)
-            offsets = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], ends])]
-            asked = pa.StructArray.from_arrays([pa.array(c.words[c.number[rare]]), pa.array(own[rare])], ["word", "own"])
-            values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64)), sums(base[c.number]), sums(mixed), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked)]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", "rare"])
+            offsets = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], np.cumsum(c.lengths)])]
+            asked = pa.array(c.words[c.number[rare]])
+            values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64), c.lengths), sums(base[c.number], c.lengths), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     scored = work.write(coded.select("ids", *FIELDS, "words").mapInArrow(finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
     work.drop("coded")
-    asked = scored.select("doc", F.explode("rare").alias("x")).select("doc", F.col("x.word").alias("key"), "x.own")
+    asked = scored.select("doc", F.explode("rare").alias("key"))
     c = F.coalesce(F.col("n"), F.lit(0))
     base = F.log10((c + 1) / denominator)
-    low, high = base + math.log10(1 - new) if new < 1 else F.lit(None), F.col("own") + math.log10(new)
-    mixed = F.when(c > 0, F.greatest(low, high) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(low - high)))).otherwise(high)
-    sums = asked.join(others, "key", "left").groupBy("doc").agg(F.sum(base).alias("more_base"), F.sum(mixed).alias("more_mixed"), F.count_if(c > 0).alias("more_known"))
+    sums = asked.join(others, "key", "left").groupBy("doc").agg(F.sum(base).alias("more_base"), F.count_if(c > 0).alias("more_known"))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
     return scored.join(sums, "doc", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("mixed", "more_mixed").alias("score")
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), "score"
     )
 
 

@@ -149,3 +149,20 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     alone = lm.score(frame(spark, ["a b", None], [None, None])).collect()
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
     assert lm.score(frame(spark, ["a", "b"]).withColumnRenamed("lang", "row").withColumnRenamed("source", "words")).agg(F.count("*")).first()[0] == 2
+
+
+def modelled(spark, monkeypatch, texts):
+    """The rows of lm.score by id, and the model behind them."""
+    made, real = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **b: made.append(real(*a, **b)) or made[-1])
+    rows = {r["doc_id"]: r for r in lm.score(frame(spark, texts)).collect()}
+    return rows, made[-1]
+
+
+def test_the_score_is_that_of_the_subwords_in_context(spark, monkeypatch):
+    texts = texts_of(8, 60)
+    rows, model = modelled(spark, monkeypatch, texts)
+    subwords = lm.Subwords.load()
+    for i, t in enumerate(texts):
+        ids = np.append(subwords.encode(tokens(t)[:-1])[0], subwords.end)
+        assert math.isclose(rows[i]["score"], float(model.score(ids, np.array([len(ids)])).sum(dtype=np.float64)), rel_tol=1e-4)
