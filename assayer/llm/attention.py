@@ -7,7 +7,7 @@ import numpy as np
 Params = dict[str, np.ndarray]
 
 
-def init(inputs: int, classes: int, window: int, width: int = 8, hidden: int = 16, seed: int = 7) -> Params:
+def init(inputs: int, classes: int, window: int, width: int = 16, hidden: int = 32, seed: int = 7) -> Params:
     rng = np.random.default_rng(seed)
     shapes = {"emb": (inputs, width), "pos": (window, width), "q": (width, width), "k": (width, width), "v": (width, width), "o": (width, width), "w1": (width, hidden), "w2": (hidden, width), "out": (width, classes)}
     params = {k: (rng.standard_normal(s) * (0.5 if k in ("emb",) else s[0] ** -0.5)).astype(np.float32) for k, s in shapes.items()}
@@ -105,8 +105,8 @@ def gradients(p: Params, logp: np.ndarray, cache: tuple, targets: np.ndarray, we
         g[name] = flat(x).T @ flat(grad)
     g["pos"] = np.zeros_like(p["pos"])
     g["pos"][:t] = dx.sum(axis=0)
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], tokens.ravel(), flat(dx))
+    places, rows = tokens.ravel(), len(p["emb"])
+    g["emb"] = np.stack([np.bincount(places, column, rows) for column in flat(dx).T], axis=1).astype(p["emb"].dtype)
     return g
 
 

@@ -10,8 +10,8 @@ a prior of class pairs to which a small causal self-attention network adds its
 logits; the id within the class has its corpus frequency.  Counts of id pairs
 over all training text, discounted, take a share before that: what the discounts
 leave goes to the network.  So it is a distribution over all ids and an end.
-The network is trained in numpy by rounds of data-parallel Adam on a fixed share
-of the training documents (all training text is counted), and the rounds'
+The network is trained in numpy on all training documents, in one pass: each
+teaches in the round that its id falls in.  A round is data-parallel Adam, whose
 parameters are averaged by Spark.
 
 Texts are scored in overlapping windows: a window's first places only give
@@ -43,11 +43,11 @@ FOLDS, HELD_OUT = 7, 2
 END_WORD = "\n"
 #: Text coded in one row.
 CODED_BYTES = 3 << 20
-CLASSES, SINGLE = 32, 20
+CLASSES, SINGLE = 48, 32
 #: Ids with embeddings of their own; others share by a hash.
 OWN_INPUTS, SHARED_INPUTS = 960, 64
-WINDOW, STRIDE = 32, 26
-ROUNDS, RATE, LEARNING, BATCH = 2, 1 / 64, 5e-3, 64
+WINDOW, STRIDE = 32, 24
+ROUNDS, LEARNING, BATCH = 3, 5e-3, 64
 #: Windows scored at once.
 AT_ONCE = 128
 #: Size of the model's table of id pairs: the most frequent ones, and what is taken off their counts.
@@ -104,7 +104,7 @@ class Subwords:
 
 
 class Coded:
-    """One coded row: held_out and lengths (tokens with the end) of its documents, words (hashes), number (of each token's word), and subwords."""
+    """One coded row: held_out, round and lengths (tokens with the end) of its documents, words (hashes), number (of each token's word), and subwords."""
 
     def __init__(self, row: dict[str, pa.Scalar]):
         read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind) if row[name].is_valid else np.zeros(0, kind)
@@ -112,6 +112,7 @@ class Coded:
         self.number = np.frombuffer(row["number"].as_buffer(), np.dtype(f"u{row['number'].as_buffer().size // int(self.lengths.sum())}"))
         self.sub_lengths = read("sub_lengths", np.int32).astype(np.int64)
         self.sub = np.frombuffer(row["sub"].as_buffer(), np.dtype(f"u{row['sub'].as_buffer().size // int(self.sub_lengths.sum())}"))
+        self.round = read("round", np.uint8) if "round" in row else None
         self.words = row["words"].values.to_numpy() if "words" in row else None
 
     def counts(self) -> np.ndarray:
@@ -123,6 +124,11 @@ class Coded:
         """All subword ids, document after document, and each document's number of them."""
         return expand(self.number, self.lengths, self.sub, self.sub_lengths)
 
+    def lessons(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The subword ids of the training documents of a round, and each one's number of them."""
+        taught = ~self.held_out & (self.round == number)
+        return expand(self.number[np.repeat(taught, self.lengths)], self.lengths[taught], self.sub, self.sub_lengths)
+
     def pairs(self, end: int) -> tuple[np.ndarray, np.ndarray]:
         """before * (end + 1) + id for the neighbours in training text, and how often they are; the end comes before a text's first id."""
         last = np.cumsum(self.sub_lengths) - 1
@@ -154,9 +160,9 @@ def expand(number: np.ndarray, lengths: np.ndarray, sub: np.ndarray, sub_lengths
 
 
 def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
-    """docs(doc_id, text, held_out) -> coded rows."""
+    """docs(doc_id, text, held_out, round) -> coded rows."""
     kind = dict(docs.dtypes)["doc_id"]
-    ddl = f"ids array<{kind}>, held_out binary, lengths binary, words array<bigint>, number binary, sub binary, sub_lengths binary, sample binary"
+    ddl = f"ids array<{kind}>, held_out binary, lengths binary, words array<bigint>, number binary, sub binary, sub_lengths binary, round binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -177,9 +183,6 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
             held = np.array(b.column(2).to_pylist(), bool)
             kind_ = narrow(subwords.end + 1)
             sub, sizes = np.append(sub, subwords.end).astype(kind_), np.append(sizes, 1)
-            draw = (int(hashes[0]) + np.arange(b.num_rows) * 2654435761) & 0xFFFFFFFF
-            sampled = ~held & (draw < RATE * 2**32)
-            sample, _ = expand(number[np.repeat(sampled, lengths)], lengths[sampled], sub, sizes)
             row = [
                 pa.array([b.column(0).to_pylist()], schema.field("ids").type),
                 held.tobytes(),
@@ -188,7 +191,7 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
                 number.tobytes(),
                 sub.tobytes(),
                 sizes.astype(np.int32).tobytes(),
-                sample.tobytes(),
+                np.array(b.column(3).to_pylist(), np.uint8).tobytes(),
             ]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], pa.binary()) for x in row], schema.names)
 
@@ -372,7 +375,7 @@ def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """From the counts of all training documents, and the network from the sampled ones."""
+    """From the counts of all training documents, and the network from all of them, too."""
     class_of, input_of, within = _classes(id_counts)
     width = len(id_counts)
     keys, counts = arrays(frequent(pairs, PAIRS)[0], "key", "n")  # PAIRS rows at most
@@ -385,22 +388,20 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
 
         def learn(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
             p, adam, seen = {k: x.copy() for k, x in model.params.items()}, attention.Adam(LEARNING / (1 + number)), 0.0
-            for b in batches:
-                for x in b.column(0).to_pylist():
-                    ids = np.frombuffer(x, narrow(width)) if x else np.zeros(0, np.uint16)
-                    if not len(ids):
-                        continue
-                    sizes = np.diff(np.flatnonzero(ids == width - 1) + 1, prepend=0)
-                    wanted = class_of[ids]
-                    for inputs, before, place, scored in model.windows(ids, sizes, BATCH):
-                        logp, cache = attention.forward(p, inputs, prior[before])
-                        adam.step(p, attention.gradients(p, logp, cache, wanted[place], scored.astype(np.float32)))
-                        seen += float(scored.sum())
+            for c, _ in _rows(batches):
+                ids, sizes = c.lessons(number)
+                if not len(ids):
+                    continue
+                wanted = class_of[ids]
+                for inputs, before, place, scored in model.windows(ids, sizes, BATCH):
+                    logp, cache = attention.forward(p, inputs, prior[before])
+                    adam.step(p, attention.gradients(p, logp, cache, wanted[place], scored.astype(np.float32)))
+                    seen += float(scored.sum())
             flat = attention.pack(p) * seen
             # The last entry adds up the weights.
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], ["i", "x"])
 
-        place, found = arrays(coded.select("sample").mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
+        place, found = arrays(coded.select(*FIELDS, "round").mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
         found = found[np.argsort(place)]
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
@@ -420,8 +421,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     subwords = Subwords.load(path)
     own = columns(docs, doc_id=doc_id, text=text)
     held = F.coalesce(id_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
+    teaches = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS)), F.lit(0))  # null ids teach nothing
     kind = dict(own.dtypes)["doc_id"]
-    coded = work.write(code(own.withColumn("held_out", held), subwords), "coded")
+    coded = work.write(code(own.withColumn("held_out", held).withColumn("round", teaches), subwords), "coded")
     counted = work.write(tally(coded, subwords.end), "counts")
     words = counted.where("kind = 0").select("key", "n")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()

@@ -166,3 +166,33 @@ def test_the_score_is_that_of_the_subwords_in_context(spark, monkeypatch):
     for i, t in enumerate(texts):
         ids = np.append(subwords.encode(tokens(t)[:-1])[0], subwords.end)
         assert math.isclose(rows[i]["score"], float(model.score(ids, np.array([len(ids)])).sum(dtype=np.float64)), rel_tol=1e-4)
+
+
+def test_every_training_document_teaches_the_network_once(spark):
+    taught = []
+
+    class Coded(lm.Coded):
+        def lessons(self, number):
+            ids, sizes = super().lessons(number)
+            taught.extend(int(x) for x in sizes)
+            return ids, sizes
+
+    texts = [f"w{k} " * (k + 1) for k in range(50)]
+    ids = [*range(49), None]
+    held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    rounds = spark.createDataFrame([(i, t, h, k % 3) for k, (i, t, h) in enumerate(zip(ids, texts, held, strict=True))], "doc_id bigint, text string, held_out boolean, round bigint")
+    subwords = lm.Subwords.load()
+    for b in lm.code(rounds, subwords).toArrow().to_batches():
+        for k in range(b.num_rows):
+            c = Coded({n: b.column(at)[k] for at, n in enumerate(b.schema.names)})
+            for number in range(lm.ROUNDS):
+                c.lessons(number)
+    sizes = [len(subwords.encode(tokens(t)[:-1])[0]) + 1 for t, h in zip(texts, held, strict=True) if not h]
+    assert sorted(taught) == sorted(sizes)
+
+
+def test_a_few_documents_train_the_network(spark, monkeypatch):
+    _, model = modelled(spark, monkeypatch, texts_of(9, 12))
+    first = attention.init(lm.OWN_INPUTS + lm.SHARED_INPUTS, lm.CLASSES, lm.WINDOW)
+    assert not np.allclose(model.params["out"], first["out"])
+    assert first["q"].shape == (16, 16) and first["w1"].shape == (16, 32)
