@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import attention
 from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, slices, table
+from assayer.llm.gear import HashFilter
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: Splits letters, digits and other marks, each with a space before it.
@@ -50,10 +51,11 @@ WINDOW, STRIDE = 32, 24
 ROUNDS, LEARNING, BATCH = 3, 5e-3, 64
 #: Windows scored at once.
 AT_ONCE = 128
-#: Size of the model's table of id pairs: the most frequent ones, and what is taken off their counts.
+#: Tasks get so many of the most frequent id pairs at most, others are joined; and what is taken off the counts of all.
 PAIRS, DISCOUNT = 1 << 20, 0.75
 #: Tasks get the counts of so many of the most frequent words at most; those of other words are joined.
 WORDS = 1 << 20
+LEAST = 1e-37
 _LIVE: dict[int, object] = {}
 
 
@@ -264,11 +266,12 @@ class Pairs:
     """Discounted frequencies of id pairs, and what each id's discounts leave to others.
 
     Tasks get the pairs and lay out a hash table of them, each in one slot; of
-    pairs that fall together the most frequent stays.
+    pairs that fall together the most frequent has it, the others are searched
+    for in order.  Pairs of the corpus that aren't among them are `others`.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, before: np.ndarray):
-        """keys: before * len(before) + id.  before: how often each id precedes another."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, before: np.ndarray, taken: np.ndarray | None = None, others: HashFilter | None = None):
+        """keys: before * len(before) + id.  before: how often each id precedes another.  taken: each id's sum of discounted counts over all pairs, if there are others."""
         self.width = len(before)
         self.bits = max(10, len(keys).bit_length() + 2)
         order = np.argsort(counts, kind="stable")
@@ -276,9 +279,13 @@ class Pairs:
         at = np.zeros(1 << self.bits, np.int64)
         at[self.slot(keys)] = np.arange(len(keys))  # the last one stays
         stays = at[self.slot(keys)] == np.arange(len(keys))
-        self.pairs = keys[stays]
-        self.share = ((counts[stays] - DISCOUNT) / before[self.pairs // self.width]).astype(np.float32)
-        self.left = (1 - np.bincount(self.pairs // self.width, self.share, self.width)).astype(np.float32)
+        taken = np.bincount(keys // self.width, counts - DISCOUNT, self.width) if taken is None else taken
+        self.left = (1 - taken / before).astype(np.float32)
+        share = ((counts - DISCOUNT) / before[keys // self.width]).astype(np.float32)
+        self.pairs, self.share = keys[stays], share[stays]
+        order = np.argsort(keys[~stays])
+        self.met, self.met_share = keys[~stays][order], share[~stays][order]
+        self.before, self.others = before, others
         self._table = None
 
     def __getstate__(self):
@@ -287,8 +294,8 @@ class Pairs:
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def shares(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs' own probability, and the factor of any other source's."""
+    def find(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs' keys, own probability (0 if they aren't here), and whether they may be among the others."""
         if self._table is None:
             keys, values, at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32), self.slot(self.pairs)
             keys[at], values[at] = self.pairs, self.share
@@ -296,7 +303,57 @@ class Pairs:
         keys, values = self._table
         key = before.astype(np.int64) * self.width + ids
         at = self.slot(key)
-        return np.where(keys[at] == key, values[at], np.float32(0)), self.left[before]
+        here = keys[at] == key
+        share = np.where(here, values[at], np.float32(0))
+        if len(self.met):
+            ask = np.flatnonzero(~here)
+            at = np.minimum(np.searchsorted(self.met, key[ask]), len(self.met) - 1)
+            found = self.met[at] == key[ask]
+            share[ask[found]] = self.met_share[at[found]]
+            here[ask[found]] = True
+        may = np.zeros(len(key), bool)
+        if self.others is not None:
+            ask = np.flatnonzero(~here)
+            may[ask] = self.others.may_have(spread(key[ask]))
+        return key, share, may
+
+    def shares(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The own probability of pairs that are here, and the factor of any other source's."""
+        return self.find(before, ids)[1], self.left[before]
+
+
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Pairs' keys as 64-bit hashes."""
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def sums_of_pairs(pairs: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all pairs(key, n): counts of class pairs, and each id's sum of discounted counts as the one before."""
+    width, cells = len(class_of), CLASSES * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells + width)
+        for b in batches:
+            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            total[:cells] += np.bincount(class_of[key // width].astype(np.int64) * CLASSES + class_of[key % width], n, cells)
+            total[cells:] += np.bincount(key // width, n - DISCOUNT, width)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["i", "x"])
+
+    place, found = arrays(pairs.select("key", "n").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row for each cell and id at most
+    total = np.zeros(cells + width)
+    total[place] = found
+    return total[:cells].reshape(CLASSES, CLASSES), total[cells:]
+
+
+def hashed(pairs: DataFrame) -> HashFilter:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(spread(b.column(0).to_numpy()))], ["h"])
+
+    return HashFilter.of(pairs.select("key").mapInArrow(run, "h bigint"), "h")
 
 
 def frequent(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -346,13 +403,23 @@ class Model:
             yield inputs[place], classes[place], place, scored
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 of each subword's probability."""
-        own, left = self.pairs.shares(self.before(ids, sizes), ids)
+        """log10 of each subword's probability, where its pair is in the table or nowhere."""
+        return self.parts(ids, sizes)[0]
+
+    def parts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """log10 of each subword's probability but for pairs that have to be asked for; whose these are; their keys, the first ids' counts and what else the probability has."""
+        before = self.before(ids, sizes)
+        key, own, may = self.pairs.find(before, ids)
+        left = self.pairs.left[before]
         each, wanted = self.within[ids], self.class_of[ids]
-        for inputs, before, place, scored in self.windows(ids, sizes):
-            found = attention.score(self.params, inputs, before, self.prior, wanted[place])
+        for inputs, classes, place, scored in self.windows(ids, sizes):
+            found = attention.score(self.params, inputs, classes, self.prior, wanted[place])
             each[place[scored]] += found[scored]
-        return np.log10(np.maximum(own + left * np.exp(each), np.float32(1e-37)))
+        other = left * np.exp(each)
+        asked = np.flatnonzero(may)
+        found = np.log10(np.maximum(own + other, np.float32(LEAST)))
+        found[asked] = 0
+        return found, asked, (key[asked], self.pairs.before[before[asked]], other[asked].astype(np.float64))
 
 
 def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,8 +445,7 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
     """From the counts of all training documents, and the network from all of them, too."""
     class_of, input_of, within = _classes(id_counts)
     width = len(id_counts)
-    keys, counts = arrays(frequent(pairs, PAIRS)[0], "key", "n")  # PAIRS rows at most
-    joint = np.bincount(class_of[keys // width].astype(np.int64) * CLASSES + class_of[keys % width], counts, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    joint, taken = sums_of_pairs(pairs, class_of)
     mass = np.bincount(class_of, id_counts, CLASSES)
     joint = joint + mass / mass.sum()
     prior = np.log(joint / joint.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -406,7 +472,9 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
     # An id comes before another as often as it comes, and the end, too: before a text's first.
-    model.pairs = Pairs(keys, counts, id_counts)
+    common, others = frequent(pairs, PAIRS)
+    keys, counts = arrays(common, "key", "n")  # PAIRS rows at most
+    model.pairs = Pairs(keys, counts, id_counts, taken, None if others.isEmpty() else hashed(others))
     return model
 
 
@@ -431,12 +499,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     id_counts = np.ones(subwords.end + 1)
     for r in counted.where("kind = 1").select("key", "n").collect():  # a row for each id of the tokenizer at most
         id_counts[r["key"]] += r["n"]
-    model = train(coded, id_counts, counted.where("kind = 2").select("key", "n"))
+    pairs = counted.where("kind = 2").select("key", "n")
+    model = train(coded, id_counts, pairs)
     common, others = frequent(words, WORDS)
     keys, counts = arrays(common, "key", "n")  # WORDS rows at most
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, pairs array<struct<key: bigint, mass: double, other: double>>"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, row in _rows(batches):
@@ -447,12 +516,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             ids, sizes = c.subwords()
             known = is_common[c.number]
             sums = lambda x, n: (y := np.concatenate([[0], np.cumsum(x)]))[ends := np.cumsum(n)] - y[ends - n]
-            scores = sums(model.score(ids, sizes).astype(np.float64), sizes)
+            each, at, parts = model.parts(ids, sizes)
+            scores = sums(each.astype(np.float64), sizes)
+            by_pair = pa.array(np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])), pa.int32())
+            open_pairs = pa.StructArray.from_arrays([pa.array(x) for x in parts], ["key", "mass", "other"])
             rare = np.flatnonzero(~known)
             offsets = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], np.cumsum(c.lengths)])]
             asked = pa.array(c.words[c.number[rare]])
-            values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64), c.lengths), sums(base[c.number], c.lengths), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked)]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64), c.lengths), sums(base[c.number], c.lengths), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked), pa.ListArray.from_arrays(by_pair, open_pairs)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
 
     scored = work.write(coded.select("ids", *FIELDS, "words").mapInArrow(finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
     work.drop("coded")
@@ -460,9 +532,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     c = F.coalesce(F.col("n"), F.lit(0))
     base = F.log10((c + 1) / denominator)
     sums = asked.join(others, "key", "left").groupBy("doc").agg(F.sum(base).alias("more_base"), F.count_if(c > 0).alias("more_known"))
+    result = scored.join(sums, "doc", "left")
+    if model.pairs.others is not None:
+        met = scored.select("doc", F.explode("pairs").alias("x")).select("doc", "x.*").join(frequent(pairs, PAIRS)[1], "key", "left")
+        own = F.coalesce((F.col("n") - DISCOUNT) / F.col("mass"), F.lit(0.0))
+        result = result.join(met.groupBy("doc").agg(F.sum(F.log10(F.greatest(own + F.col("other"), F.lit(LEAST)))).alias("more_score")), "doc", "left")
+    else:
+        result = result.withColumn("more_score", F.lit(0.0))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
-    return scored.join(sums, "doc", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), "score"
+    return result.select(
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score")
     )
 
 

@@ -196,3 +196,25 @@ def test_a_few_documents_train_the_network(spark, monkeypatch):
     first = attention.init(lm.OWN_INPUTS + lm.SHARED_INPUTS, lm.CLASSES, lm.WINDOW)
     assert not np.allclose(model.params["out"], first["out"])
     assert first["q"].shape == (16, 16) and first["w1"].shape == (16, 32)
+
+
+@pytest.mark.parametrize("most", [0, 20])
+def test_pairs_beyond_the_table_are_joined(spark, monkeypatch, most):
+    df = frame(spark, [*texts_of(6, 40), *ODD], partitions=1)
+    whole = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "PAIRS", most)
+    for r in lm.score(df).collect():
+        assert math.isclose(r["score"], whole[r["doc_id"]], rel_tol=1e-3)
+
+
+def test_pairs_that_fall_together_are_all_kept():
+    rng = np.random.default_rng(5)
+    width = 2000
+    keys = np.unique(rng.integers(0, width * width, 50_000))
+    counts = rng.integers(1, 9, len(keys))
+    before = np.bincount(keys // width, counts, width) + 1
+    pairs = lm.Pairs(keys, counts, before)
+    own, left = pairs.shares(keys // width, keys % width)
+    assert np.allclose(own, (counts - lm.DISCOUNT) / before[keys // width], rtol=1e-5)
+    assert np.allclose(left + np.bincount(keys // width, own, width)[keys // width], 1, atol=1e-4)
+    assert not pairs.shares(np.full(width, 7), np.setdiff1d(np.arange(width), keys[keys // width == 7] % width)[:1].repeat(width))[0].any()
