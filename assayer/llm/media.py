@@ -7,6 +7,10 @@ the pack of its payload, so most bytes are written once and never shuffled.  A
 pack lists its chunks' digests in order.  Reading joins the shared chunks back,
 puts the list together, verifies every digest and the payload's, and only then
 serves the medium.
+
+What is stored are packs and shared chunks, compressed.  media_bytes and
+media_sha256 are not of these bytes: they describe the export form (container())
+that reading puts together and opens again in memory.
 """
 
 from __future__ import annotations
@@ -76,7 +80,7 @@ def short(digests: list[bytes]) -> np.ndarray:
 
 
 def container(parts: list[bytes]) -> bytes:
-    """The stored form of a whole medium: a table of lengths and digests, and the 8-bit samples."""
+    """The export form of a whole medium, which is never stored: a table of lengths and digests, and the 8-bit samples."""
     head = MAGIC + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + digest(p) for p in parts)
     return head + b"".join(parts)
 
@@ -223,7 +227,8 @@ def describe(data: bytes, parts: list[bytes]) -> str:
 def read_media(packs: DataFrame, store: DataFrame, features: Callable[[bytes, list[bytes]], str] = describe) -> DataFrame:
     """Reads and verifies all media.  Only packs with chunks in the store pass through joins.
 
-    A damaged or missing chunk fails the job.
+    A damaged or missing chunk fails the job.  media_bytes and media_sha256 are
+    those of the export form, see container(), not of the pack and its chunks.
     """
     split = packs.withColumn("wants", F.exists("away", lambda x: x))
     alone = split.where(~F.col("wants")).withColumn("parts", F.lit(None).cast("array<struct<digest: binary, chunk: binary>>"))
