@@ -194,16 +194,14 @@ class Dfa:
                 best = i + 1
         return best
 
-    def furthest_back(self, data: bytes, end: int, stop: int) -> int:
-        """Of a reversed automaton: the leftmost start of a match that ends at end, not before stop; -1 without one."""
-        state, best, table, accepts, dead = 0, -1, self.table, self.accepts, self.dead
-        for i in range(end - 1, stop - 1, -1):
-            state = table[state, data[i]]
-            if state == dead:
-                break
+    def shortest(self, data: bytes, start: int, stop: int) -> int:
+        """The end of the shortest match from start on; -1 without one."""
+        state, table, accepts = 0, self.table, self.accepts
+        for i in range(start, stop):
             if accepts[state]:
-                best = i
-        return best
+                return i
+            state = table[state, data[i]]
+        return stop if accepts[state] else -1
 
 
 def build(trees: list, search: bool = False) -> Dfa:
