@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The characters that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -73,6 +75,30 @@ def arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [found.column(n).to_numpy() for n in names]
 
 
+#: A task sends and gets batches of about so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of BATCH_BYTES (a longer row has one of its own) for this session, whatever its rows' number."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) != BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free_memory()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def free_memory() -> None:
+    """Gives a worker's freed memory back: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of the batches of about max_bytes at most (one row may be larger), so working memory is bounded.
 

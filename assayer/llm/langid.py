@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, columns, id_fold, slices, table
+from assayer.llm.common import Workspace, arrays, columns, id_fold, mapped, slices, table
 from assayer.llm.pieces import PIECES, SPACE, vocabulary
 
 #: The piece probabilities are fitted on about so many labelled rows of each language.
@@ -35,9 +35,7 @@ SMOOTHING = 0.5
 #: Characters of a word after which the forward sums are rescaled: as many as the longest piece has, or more.
 RESCALE = 16
 #: Longer words pass one by one, others so many at once.
-TOGETHER, AT_ONCE = 64, 20_000
-#: Longer words teach nothing.
-LEARNT = 32
+TOGETHER, AT_ONCE = 64, 8_000
 #: Text looked at together.
 SLICE = 4 << 20
 
@@ -85,9 +83,19 @@ class _Prefixes:
             known[h] = k
         self.hashes = np.array(sorted(known), np.uint64)
         self.piece = np.array([known[h] for h in sorted(known)], np.int32)
+        self._marks()
+
+    def _marks(self) -> None:
         self.may = np.zeros(1 << 22, bool)
         self.may[self.slot(self.hashes)] = True
 
+    def __getstate__(self):
+        return self.hashes, self.piece
+
+    def __setstate__(self, state):
+        self.hashes, self.piece = state
+        self._marks()
+
     def slot(self, h: np.ndarray) -> np.ndarray:
         return (h * self.SPREAD >> np.uint64(42)).view(np.int64)
 
@@ -165,17 +173,36 @@ class _Lattice:
             sums[at - back] /= scale
 
     def expected(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Each piece's expected count over all segmentations of the words, which come n times."""
+        """Each piece's expected count over all segmentations of the words, of any length, which come n times.
+
+        After every RESCALE characters the forward sums of the last ones are
+        divided by a factor of the word; the backward sums are multiplied by it,
+        so that an edge over such a place is divided by it once.
+        """
         sums, rest, gain = np.zeros(self.rows), np.zeros(self.rows), np.zeros(len(self.starts))
+        word = np.repeat(np.arange(len(self.size)), self.size + 1)
+        factors: dict[int, np.ndarray] = {}
         sums[self.begin] = 1
-        for _, length, a, b in self.groups:
+        done = 0
+        for end, length, a, b in self.groups:
+            if end > done and done and done % RESCALE == 0:
+                long = np.flatnonzero(self.size > done)
+                at = self.begin[long] + done
+                factor = factors[done // RESCALE] = np.ones(len(self.size))
+                factor[long] = np.maximum(sums[at], 1e-300)
+                for back in range(RESCALE):
+                    sums[at - back] /= factor[long]
+            done = end
             at = self.starts[a:b]
             sums[at + length] += sums[at] * p[self.pieces[a:b]]
         last = self.begin + self.size
         rest[last] = np.where(sums[last] > 0, n / np.maximum(sums[last], 1e-300), 0)
-        for _, length, a, b in reversed(self.groups):
+        for end, length, a, b in reversed(self.groups):
             at = self.starts[a:b]
             flow = p[self.pieces[a:b]] * rest[at + length]
+            block = -(-end // RESCALE)
+            if block in factors and -(-(end - length) // RESCALE) < block:
+                flow /= factors[block][word[at]]
             gain[a:b] = sums[at] * flow
             rest[at] += flow
         return np.bincount(self.pieces, gain, len(p))
@@ -183,41 +210,34 @@ class _Lattice:
 
 @dataclass
 class LanguageModel:
-    """probabilities: for each language, of every piece and, last, of an unknown character."""
+    """table: by piece and, last, for an unknown character, its probability in each language."""
 
     languages: list[str]
-    pieces: list[str]
-    probabilities: list[list[float]]
-    _live: tuple | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_live": None}
+    prefixes: _Prefixes
+    table: np.ndarray
 
-    def _ready(self) -> tuple[_Prefixes, np.ndarray]:
-        if self._live is None:
-            self._live = _Prefixes(self.pieces), np.array(self.probabilities).T.copy()
-        return self._live
+    @property
+    def unknown(self) -> int:
+        return len(self.table) - 1
 
     def word(self, word: str) -> list[float]:
         """The log-probability of a word of any length in each language."""
-        prefixes, _ = self._ready()
         codes = np.array([ord(c) for c in SPACE + word], np.uint64)
         edges: list[list[tuple[int, int]]] = [[] for _ in codes]
-        for length, at, piece in prefixes.edges(codes, len(codes) - np.arange(len(codes))):
+        for length, at, piece in self.prefixes.edges(codes, len(codes) - np.arange(len(codes))):
             for k, n in zip(at.tolist(), piece.tolist(), strict=True):
                 edges[k + length - 1].append((length, n))
         for found in edges:
             if not any(length == 1 for length, _ in found):
-                found.append((1, len(self.pieces)))
+                found.append((1, self.unknown))
         out = []
-        for p in self.probabilities:
+        for p in self.table.T.tolist():
             sums, log = _forward(edges, p, RESCALE)
             out.append(math.log(sums[-1] or 1e-300) + log)
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
         """The log-probability of each word in each language."""
-        prefixes, table = self._ready()
         out = np.zeros((len(words), len(self.languages)))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for k in np.flatnonzero(sizes > TOGETHER):
@@ -225,8 +245,8 @@ class LanguageModel:
         together = np.flatnonzero(sizes <= TOGETHER)
         for a in range(0, len(together), AT_ONCE):
             some = together[a : a + AT_ONCE]
-            lattice = _Lattice(prefixes, [words[k] for k in some], len(self.pieces))
-            sums, log = lattice.forward(table)
+            lattice = _Lattice(self.prefixes, [words[k] for k in some], self.unknown)
+            sums, log = lattice.forward(self.table)
             out[some] = np.log(np.maximum(sums[lattice.begin + lattice.size], 1e-300)) + log
         return out
 
@@ -254,46 +274,43 @@ def train(labelled: DataFrame, path: str = PIECES, train_docs: int = TRAIN_DOCS,
     used; what comes to the driver is one number for each language and piece.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the model has a column for each
     languages = sorted(counts)
     vocab = vocabulary(path)
     # Upper case is folded in the texts, so those pieces never occur.
     pieces = [p for i in vocab.normal if (p := vocab.pieces[i]) == p.lower()]
-    probabilities = [[1 / len(pieces)] * len(pieces) + [UNKNOWN] for _ in languages]
+    prefixes, n_pieces = _Prefixes(pieces), len(pieces)
+    probabilities = np.full((n_pieces + 1, len(languages)), 1 / n_pieces)
+    probabilities[-1] = UNKNOWN
     if not languages:
-        return LanguageModel([], pieces, [])
-    share: Column = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(share)
+        return LanguageModel([], prefixes, probabilities)
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, train_docs / counts[lang]))])
     work = Workspace(labelled.sparkSession)
-    sample = work.write(usable.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1_000_003)) < share * 1_000_003).select("text", "lang").repartition(16), "sample")
+    chosen = F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003
+    sample = work.write(usable.where(chosen).select("text", "lang").repartition(16), "sample")
     number = {lang: k for k, lang in enumerate(languages)}
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], now=probabilities) -> Iterator[pa.RecordBatch]:
-            prefixes, p = _Prefixes(pieces), np.array(now)
-            total = np.zeros((len(now), len(pieces) + 1))
+            total = np.zeros((now.shape[1], n_pieces + 1))
             for b in slices(batches, SLICE):
                 words, which, doc = letter_runs(b.column(0))
                 langs = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)[doc]
-                # A long run of letters without a space says little about a language.
-                short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= LEARNT)
-                for a in range(0, len(short), AT_ONCE):
-                    some = short[a : a + AT_ONCE]
-                    lattice = _Lattice(prefixes, [words[k] for k in some], len(pieces))
-                    for k in range(len(now)):
-                        total[k] += lattice.expected(p[k], np.bincount(which[langs == k], minlength=len(words))[some])
+                for a in range(0, len(words), AT_ONCE):
+                    some = slice(a, a + AT_ONCE)
+                    lattice = _Lattice(prefixes, words[some], n_pieces)
+                    for k in range(now.shape[1]):
+                        total[k] += lattice.expected(now[:, k], np.bincount(which[langs == k], minlength=len(words))[some])
             k, piece = np.nonzero(total[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], ["k", "piece", "n"])
 
-        found = sample.mapInArrow(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect()
-        table_ = np.full((len(languages), len(pieces)), SMOOTHING)
-        for r in found:
-            table_[r["k"], r["piece"]] += r["n"]
-        table_ /= table_.sum(axis=1, keepdims=True)
-        probabilities = [[*row, UNKNOWN] for row in table_.tolist()]
+        k, piece, n = arrays(mapped(sample, expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")), "k", "piece", "n")  # a row for each cell of the model
+        probabilities = np.full((n_pieces + 1, len(languages)), SMOOTHING)
+        probabilities[piece, k] += n
+        probabilities[:-1] /= probabilities[:-1].sum(axis=0)
+        probabilities[-1] = UNKNOWN
     work.drop("sample")
-    return LanguageModel(languages, pieces, probabilities)
+    return LanguageModel(languages, prefixes, probabilities)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -314,7 +331,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*own.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return own.mapInArrow(run, schema)
+    return mapped(own, run, schema)
 
 
 def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

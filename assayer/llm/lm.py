@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import attention
-from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, slices, table
+from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, mapped, slices, table
 from assayer.llm.gear import HashFilter
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -201,7 +201,7 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return docs.mapInArrow(run, ddl)
+    return mapped(docs, run, ddl)
 
 
 FIELDS = ["held_out", "lengths", "number", "sub", "sub_lengths"]
@@ -225,7 +225,7 @@ def _over(df: DataFrame, ddl: str, gather: Callable[[Iterator], Iterator[list]])
         for arrays in gather(c for c, _ in _rows(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], names=schema.names)
 
-    return df.mapInArrow(run, ddl)
+    return mapped(df, run, ddl)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +342,7 @@ def sums_of_pairs(pairs: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["i", "x"])
 
-    place, found = arrays(pairs.select("key", "n").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row for each cell and id at most
+    place, found = arrays(mapped(pairs.select("key", "n"), run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row for each cell and id at most
     total = np.zeros(cells + width)
     total[place] = found
     return total[:cells].reshape(CLASSES, CLASSES), total[cells:]
@@ -353,7 +353,7 @@ def hashed(pairs: DataFrame) -> HashFilter:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(spread(b.column(0).to_numpy()))], ["h"])
 
-    return HashFilter.of(pairs.select("key").mapInArrow(run, "h bigint"), "h")
+    return HashFilter.of(mapped(pairs.select("key"), run, "h bigint"), "h")
 
 
 def frequent(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -467,7 +467,7 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
             # The last entry adds up the weights.
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], ["i", "x"])
 
-        place, found = arrays(coded.select(*FIELDS, "round").mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
+        place, found = arrays(mapped(coded.select(*FIELDS, "round"), learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
         found = found[np.argsort(place)]
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
@@ -526,7 +526,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64), c.lengths), sums(base[c.number], c.lengths), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked), pa.ListArray.from_arrays(by_pair, open_pairs)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
 
-    scored = work.write(coded.select("ids", *FIELDS, "words").mapInArrow(finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
+    scored = work.write(mapped(coded.select("ids", *FIELDS, "words"), finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
     work.drop("coded")
     asked = scored.select("doc", F.explode("rare").alias("key"))
     c = F.coalesce(F.col("n"), F.lit(0))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, slices, table
+from assayer.llm.common import Workspace, mapped, slices, table
 from assayer.llm.gear import GEAR, HashFilter
 
 #: Chunks have so many bytes on average (a power of two), and bounds.
@@ -109,7 +109,7 @@ def _digests(docs: DataFrame) -> DataFrame:
             found = [digest(c) for t in b.column(1).to_pylist() for c in chunks(padded(t))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    return docs.mapInArrow(run, "digest binary")
+    return mapped(docs, run, "digest binary")
 
 
 def _packs(docs: DataFrame, shared: HashFilter) -> DataFrame:
@@ -143,7 +143,7 @@ def _packs(docs: DataFrame, shared: HashFilter) -> DataFrame:
 
     ddl = f"doc_id {kind}, n_bytes bigint, sha256 binary, digests array<binary>, lengths array<int>, away array<boolean>, own binary"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return docs.mapInArrow(run, ddl).withColumn("pack", F.monotonically_increasing_id())
+    return mapped(docs, run, ddl).withColumn("pack", F.monotonically_increasing_id())
 
 
 def _store(docs: DataFrame, shared: HashFilter) -> DataFrame:
@@ -164,7 +164,7 @@ def _store(docs: DataFrame, shared: HashFilter) -> DataFrame:
                 sent.clear()  # repeats are harmless: the next step takes one of each
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "chunk"])
 
-    return docs.mapInArrow(run, "digest binary, chunk binary").dropDuplicates(["digest"])
+    return mapped(docs, run, "digest binary, chunk binary").dropDuplicates(["digest"])
 
 
 def write_media(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -214,7 +214,7 @@ def _assembled(rows: DataFrame, features: Callable[[bytes, list[bytes]], str]) -
 
     ddl = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return rows.select("doc_id", "n_bytes", "sha256", "digests", "lengths", "away", "own", "parts").mapInArrow(run, ddl)
+    return mapped(rows.select("doc_id", "n_bytes", "sha256", "digests", "lengths", "away", "own", "parts"), run, ddl)
 
 
 def describe(data: bytes, parts: list[bytes]) -> str:

@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, columns, slices, table
+from assayer.llm.common import Workspace, columns, mapped, slices, table
 from assayer.llm.components import components
+from assayer.llm.gear import HashFilter
 
 SHINGLE = 5
 #: intersection * 100 >= union * THRESHOLD: the contract of op8.
@@ -39,6 +40,8 @@ ROWS = 5
 #: Two documents at the threshold meet in no band with this chance at most.
 UNMET = 8e-7
 BATCH = 24
+#: Entries of one shingle that one task compares, on either side.
+BLOCK = 256
 #: A candidate is dropped when its similarity reaches the threshold with less than this chance.
 MISS = 1e-6
 
@@ -134,23 +137,22 @@ def least_matches(batch: int = BATCH, most: int = BANDS * ROWS, threshold: float
 
 
 def _features(docs: DataFrame, bands: int) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
+    """docs(doc_id, text, ...) with n_shingles, node and sig in place of the text."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = shingle_sets(b.column(1))
+            sets = shingle_sets(b.column(0))
             sigs = [signature(s, bands) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "node", "sig"],
-            )
+            found = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *found], [*rest, "n_shingles", "node", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node binary, sig binary")
+    kinds = dict(docs.dtypes)
+    return mapped(docs.select("text", *rest), run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", n_shingles bigint, node binary, sig binary")
 
 
 def _keys(nodes: DataFrame, bands: int) -> DataFrame:
@@ -159,20 +161,30 @@ def _keys(nodes: DataFrame, bands: int) -> DataFrame:
             keys = [k for s in b.column(1).to_pylist() for k in band_keys(np.frombuffer(s, np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key bigint, node binary")
+    return mapped(nodes.select("node", "sig"), run, "key bigint, node binary")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and shingles of the nodes; nodes(node, doc_id) name a row each, found by its id and known by its set."""
-    wanted = nodes.select(F.col("doc_id").alias("wanted"), "node")
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted"))).select("text", "node")
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node and shingles of the nodes of members(node).
+
+    A filter of a fixed size keeps most other texts' sets out of the shuffle;
+    the join decides.  A task sends a set once, however many copies it meets.
+    """
+    wanted = HashFilter.of(members.select(F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)").alias("h")), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for b in slices(batches, 2 << 20):
-            found = [(n, s) for n, s in zip(b.column(1).to_pylist(), shingle_sets(b.column(0)), strict=True) if len(s) and node_of(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [x for x in shingle_sets(b.column(0)) if len(x)]
+            named = list(zip([node_of(x) for x in sets], sets, strict=True))
+            may = wanted.may_have(np.frombuffer(b"".join(n for n, _ in named), ">i8")[::2].astype(np.int64)).tolist()
+            found = {n: x for (n, x), m in zip(named, may, strict=True) if m and n not in sent}
+            if len(sent) > 1 << 18:
+                sent.clear()  # repeats are harmless: the next step takes one of each
+            sent.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return joined.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    return mapped(docs.select("text"), run, "node binary, shingles array<bigint>").join(members, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
@@ -195,7 +207,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
                 at, equal = at[keep], equal[keep]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["a", "b"])
 
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    return mapped(sized.select("a", "b", "sig_a", "sig_b"), run, "a binary, b binary")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -237,14 +249,40 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Worksp
     entries = work.write(entries, "entries")
     counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    aside = entries.join(largest.select("token", F.col("top.component").alias("largest")), "token").where("component <> largest").drop("largest")
-    x, y = aside.alias("x"), entries.alias("y")
+    # A common shingle's entries are dealt into blocks, and every block of the one side meets every block of the other in a task of its own.
+    met_by = entries.join(largest.select("token", F.col("top.component").alias("largest")), "token")
+    sizes = met_by.groupBy("token").agg(F.count_if(F.col("component") != F.col("largest")).alias("n"), F.count("*").alias("m"))
+    blocked = met_by.join(sizes, "token").select("*", ((F.col("n") - 1) / BLOCK).cast("int").alias("last_x"), ((F.col("m") - 1) / BLOCK).cast("int").alias("last_y"))
+    own = lambda last: F.pmod(F.xxhash64("node"), F.col(last) + 1).cast("int")
+    sent = ["token", "node", "component", "size", "place"]
+    x = blocked.where("component <> largest").select(*sent, own("last_x").alias("bx"), F.explode(F.sequence(F.lit(0), "last_y")).alias("by")).alias("x")
+    y = blocked.select(*sent, own("last_y").alias("by"), F.explode(F.sequence(F.lit(0), "last_x")).alias("bx")).alias("y")
     common = F.ceil((F.col("x.size") + F.col("y.size")) * threshold / (100 + threshold))
     fits = (F.col("x.place") + common <= F.col("x.size")) & (F.col("y.place") + common <= F.col("y.size"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fits)
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+    met = x.join(y, same & (F.col("x.component") != F.col("y.component")) & fits)
     return work.write(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
 
 
+def _linked(docs: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, ...) -> features, of every row, and (node, first, component) of every node; first is its smallest id."""
+    bands = bands_for(threshold)
+    features = work.write(_features(docs, bands), "features")
+    nodes = work.write(features.where("node is not null").select("node", "n_shingles", "sig").dropDuplicates(["node"]), "nodes")
+    keyed = _keys(nodes, bands)
+    shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = work.write(keyed.join(shared, "key"), "buckets")
+    members = work.write(buckets.select("node").distinct(), "members")
+    sets = work.write(_sets(docs, members), "sets")
+    links = work.write(_links(_stars(buckets, work), nodes, sets, threshold), "links")
+    labels = components(links, work, "first")
+    more = work.write(_links(_across(buckets, labels, sets, work, threshold), nodes, sets, threshold), "more")
+    work.drop("nodes", "shared", "buckets", "members", "sets", "pivots", "named", "open", "frequency", "entries", "across")
+    labels = components(links.union(more), work, "labels")
+    least = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    return features, least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of docs.
 
@@ -254,32 +292,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component is its own id.  A null id counts as none when a component's
     smallest id is sought; a component of null ids alone has a null
     component_id.  kept: the id is the component's (null ids: likewise), so
-    repeated rows of one id are kept or dropped together.  An empty table gives
-    an empty result.
+    repeated rows of one id in a component are kept or dropped together;
+    distinct_documents() goes by rows.  An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession)
-    docs = columns(docs, doc_id=doc_id, text=text)
-    bands = bands_for(threshold)
-    features = work.write(_features(docs, bands), "features")
-    nodes = work.write(features.where("node is not null").dropDuplicates(["node"]), "nodes")
-    keyed = _keys(nodes, bands)
-    shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    buckets = work.write(keyed.join(shared, "key"), "buckets")
-    members = buckets.select("node").distinct()
-    sets = work.write(_sets(docs, nodes.join(members, "node").select("node", "doc_id")), "sets")
-    links = work.write(_links(_stars(buckets, work), nodes, sets, threshold), "links")
-    labels = components(links, work, "first")
-    more = work.write(_links(_across(buckets, labels, sets, work, threshold), nodes, sets, threshold), "more")
-    work.drop("nodes", "shared", "buckets", "sets", "pivots", "named", "open", "frequency", "entries", "across")
-    labels = components(links.union(more), work, "labels")
-    least = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    features, named = _linked(columns(docs, doc_id=doc_id, text=text), work, threshold)
+    named = work.write(named, "components")
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     result = work.write(named.join(lowest, "component").select("node", "component_id"), "result")
     own = features.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row stays, that of the smallest id.
+
+    Ties of ids are broken by the text's hash and then by the other columns, so
+    of rows that repeat an id, or an id and a text, one stays, too, and rows
+    that share an id with a duplicate but not its text are no duplicates.  Null
+    ids come last.  Rows whose text is null, empty or blank all stay.
+    """
+    work = Workspace(docs.sparkSession)
+    hashed = columns(docs, doc_id=doc_id, text=text).select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    features, named = _linked(hashed, work, threshold)
+    rank = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "h", "g").alias("rank")
+    rows = features.where("node is not null").groupBy("node", "doc_id", "h", "g").agg(F.count("*").alias("n"))
+    rows = work.write(rows.join(named.select("node", "component"), "node").select("component", rank, "n"), "rows")
+    first = rows.groupBy("component").agg(F.min("rank").alias("first"))
+    judged = rows.join(first, "component").select("rank.*", "n", (F.col("rank") == F.col("first")).alias("stays"))
+    keys = F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), F.col("g").alias("_g")
+    gone = work.write(judged.where(~F.col("stays")).select(*keys), "gone")
+    again = work.write(judged.where(F.col("stays") & (F.col("n") > 1)).select(*keys), "again")
+    is_row = lambda t: (F.col("_own_h") == t["_h"]) & (F.col("_own_g") == t["_g"]) & docs[doc_id].eqNullSafe(t["_doc_id"])
+    named_rows = docs.withColumn("_own_h", F.xxhash64(docs[text])).withColumn("_own_g", F.xxhash64(F.lit(1), docs[text]))
+    left = named_rows.join(gone, is_row(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(again, is_row(again), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_own_h", "_own_g", doc_id).orderBy(F.to_json(F.struct(*docs.columns))))
+    one = one.withColumn("_place", place).where("_place = 1")
+    return left.join(again, is_row(again), "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+
+
 def op8_bayes_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

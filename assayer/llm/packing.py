@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, arrays, columns, slices, table, words
+from assayer.llm.common import Workspace, arrays, columns, mapped, slices, table, words
 
 CAPACITIES = (256, 512, 1024, 2048)
 #: A bin of c tokens costs BIN_COST + c + c * c / QUADRATIC: overhead, linear layers, attention.
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
             )
 
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")))
-    return ranked.select("doc_id", "piece", "start", "n_tokens", "salt", "rank").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, n_tokens int, bin bigint, capacity int, offset int")
+    return mapped(ranked.select("doc_id", "piece", "start", "n_tokens", "salt", "rank"), run, f"doc_id {kind}, piece int, start bigint, n_tokens int, bin bigint, capacity int, offset int")
 
 
 def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

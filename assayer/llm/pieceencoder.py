@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import slices, table
+from assayer.llm.common import mapped, slices, table
 from assayer.llm.pieces import PIECES, SPACE, Automaton, Vocabulary, vocabulary
 
 #: An unknown character scores this much less than the worst piece.
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, path: str = PIECES, doc_id: str = "doc_id", text: st
             exact = [c.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(exact)], ["doc_id", "ids", "n_ids", "exact"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, exact boolean")
+    return mapped(own, run, f"doc_id {kind}, ids array<int>, n_ids bigint, exact boolean")
 
 
 def decode(encoded: DataFrame, path: str = PIECES, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -180,7 +180,7 @@ def decode(encoded: DataFrame, path: str = PIECES, doc_id: str = "doc_id", ids:
         for b in slices(batches, 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return mapped(encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")), run, f"doc_id {kind}, text string")
 
 
 def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:

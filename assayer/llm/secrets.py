@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import automata
-from assayer.llm.common import slices, table
+from assayer.llm.common import mapped, slices, table
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def _mapped(df: DataFrame, scanner: Scanner, schema: str, one: Callable) -> Data
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,7 +158,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, text:
             new = [redact(t, scanner.scan(t)) for t in texts]
             yield b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

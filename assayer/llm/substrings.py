@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace, columns, slices, table
+from assayer.llm.common import Workspace, columns, mapped, slices, table
 from assayer.llm.gear import SPACE, HashFilter, gear_at, payload
 
 #: A chunk ends at a word start with this chance: so many words on average.
@@ -113,7 +113,7 @@ def _occurrences(docs: DataFrame, mean_words: int, min_words: int, only: HashFil
             new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(digest[new]), b.column(0).take(pa.array(doc[new]))], ["digest", "doc_id"])
 
-    return docs.mapInArrow(run, f"digest bigint, doc_id {kind}")
+    return mapped(docs, run, f"digest bigint, doc_id {kind}")
 
 
 def repeated_passages(docs: DataFrame, work: Workspace, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -183,7 +183,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     schema = StructType([*docs.schema.fields])
     tail = docs.sparkSession.createDataFrame([], "removed_words bigint, removed array<struct<start: bigint, end: bigint>>").schema
-    return joined.mapInArrow(run, StructType([*schema.fields, *tail.fields]))
+    return mapped(joined, run, StructType([*schema.fields, *tail.fields]))
 
 
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -77,7 +78,7 @@ WORDS = ["abab", "a", "b", "bb", "cab", "abcba", "aaaaaaaa", "babababab"]
 
 
 def test_the_forward_sum_is_over_all_segmentations():
-    model = langid.LanguageModel(["x"], PARTS, [CHANCES])
+    model = langid.LanguageModel(["x"], langid._Prefixes(PARTS), np.array([CHANCES]).T)
     together = model.words(WORDS)[:, 0]
     for word, found in zip(WORDS, together, strict=True):
         total = sum(math.prod(CHANCES[k] for k in s) for s in segmentations(word))
@@ -97,16 +98,43 @@ def test_expected_counts_are_over_all_segmentations():
     assert np.allclose(lattice.expected(np.array(CHANCES), n), want)
 
 
+def exact_counts(word, chances):
+    """Expected counts by sums of fractions over prefixes and suffixes."""
+    text, size, p = "▁" + word, len(word) + 1, [Fraction(c) for c in chances]
+    edges = []
+    for j in range(size):
+        found = [(j, j + n, PARTS.index(text[j : j + n])) for n in (1, 2, 3) if text[j : j + n] in PARTS and j + n <= size]
+        edges += found if any(b == j + 1 for _, b, _ in found) else [*found, (j, j + 1, len(PARTS))]
+    ahead, back = [Fraction(1)] + [Fraction(0)] * size, [Fraction(0)] * size + [Fraction(1)]
+    for a, b, k in edges:
+        ahead[b] += ahead[a] * p[k]
+    for a, b, k in reversed(edges):
+        back[a] += p[k] * back[b]
+    out = [0.0] * len(p)
+    for a, b, k in edges:
+        out[k] += float(ahead[a] * p[k] * back[b] / ahead[-1])
+    return np.array(out)
+
+
+def test_words_of_any_length_teach():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abc", k=n)) for n in (1, 14, 15, 16, 17, 31, 32, 33, 64, 65, 150, 400)]
+    small = [c * 1e-4 for c in CHANCES]
+    lattice = langid._Lattice(langid._Prefixes(PARTS), words, len(PARTS))
+    want = sum((k + 1) * exact_counts(w, small) for k, w in enumerate(words))
+    assert np.allclose(lattice.expected(np.array(small), np.arange(1, len(words) + 1)), want)
+
+
 def test_words_pass_together_as_they_pass_alone():
     rng = random.Random(4)
     words = ["".join(rng.choices("abc", k=rng.randrange(1, 90))) for _ in range(200)]
-    model = langid.LanguageModel(["x", "y"], PARTS, [CHANCES, CHANCES[::-1]])
+    model = langid.LanguageModel(["x", "y"], langid._Prefixes(PARTS), np.array([CHANCES, CHANCES[::-1]]).T)
     assert np.allclose(model.words(words), [model.word(w) for w in words])
 
 
 def test_long_words_do_not_underflow():
     pieces = ["a", "b"]
-    model = langid.LanguageModel(["x", "y"], pieces, [[0.01, 0.02, 1e-7], [0.02, 0.01, 1e-7]])
+    model = langid.LanguageModel(["x", "y"], langid._Prefixes(pieces), np.array([[0.01, 0.02, 1e-7], [0.02, 0.01, 1e-7]]).T)
     text = "a" * 5000
     assert model.predict(text) == ("y", 1.0)
     assert math.isclose(model.word("a" * 64)[0], 64 * math.log(0.01) + math.log(1e-7), rel_tol=1e-9)

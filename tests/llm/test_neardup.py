@@ -13,7 +13,7 @@ from assayer.llm.common import Workspace
 from assayer.llm.components import components
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """(n_shingles, component_id, kept) by row, from all pairs of full sets."""
     sets = []
     for _, t in rows:
@@ -29,7 +29,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if both and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if both and 100 * both >= threshold * (len(a) + len(sets[j]) - both):
                 x, y = find(i), find(j)
                 lowest[max(x, y)] = min(x, y)
     least = {}
@@ -144,3 +144,41 @@ def test_bands_follow_from_the_threshold():
         bands = neardup.bands_for(threshold)
         assert (1 - (threshold / 100) ** neardup.ROWS) ** bands <= neardup.UNMET
         assert len(neardup.band_keys(neardup.signature(np.arange(9, dtype=np.uint64), bands))) == bands
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    base = prose(rng, 80)
+    other = prose(rng, 80)
+    rows = [(3, base), (5, base), (5, other), (7, other + " more"), (8, prose(rng, 60)), (8, prose(rng, 60)), (9, other), (9, other), (9, other), (None, base), (None, prose(rng, 50)), (None, None), (1, None), (1, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, f"s{k % 2}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, node string").repartition(3)
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.distinct_documents(docs).collect()), key=str)
+    want = [(3, base), (5, other), rows[4], rows[5], rows[10], (None, None), (1, None), (1, None), (2, "")]
+    assert left == sorted(want, key=str) and neardup.distinct_documents(docs).columns == docs.columns
+    # Rows that repeat an id and a text: one stays.
+    only = frame(spark, [base] * 5 + [prose(rng, 30)], [4, 4, 4, 4, 4, 4])
+    assert neardup.distinct_documents(only).count() == 2
+    assert neardup.distinct_documents(only.limit(0)).count() == 0
+
+
+def test_many_null_ids_and_one_shingle_in_every_text(spark):
+    """Null ids meet no other row by their id; a passage that all open nodes share is dealt into blocks."""
+    rng = random.Random(13)
+    common = prose(rng, 30)
+    texts = [f"{common} {prose(rng, 12, 10**6)}" for _ in range(700)]
+    texts += [edited(rng, t, 1) for t in texts[:80]]
+    ids = [None] * 300 + list(range(300, len(texts)))
+    out = neardup.near_duplicates(frame(spark, texts, ids)).collect()
+    assert len(out) == len(texts)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in out)
+    assert found == sorted((str(i), n, str(c), k) for i, n, c, k in brute(list(zip(ids, texts, strict=True))))
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(14)
+    common = prose(rng, 40)
+    texts = [" ".join([*common.split(), f"x{rng.randrange(9)}", f"y{rng.randrange(9)}", f"z{rng.randrange(9)}"]) for _ in range(60)]
+    rows = list(enumerate(texts))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert out == {i: (n, c) for i, n, c, _ in brute(rows)}

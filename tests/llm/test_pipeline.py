@@ -64,7 +64,7 @@ def test_each_group_of_near_duplicates_keeps_one(made):
     from test_neardup import brute
 
     before = sorted(texts_in(made[3][0]).items())
-    want = {i for i, _, component, _ in brute(before) if i == component}
+    want = {i for i, _, component, _ in brute(before, corpus_pipeline.SIMILAR) if i == component}
     assert set(texts_in(made[3][1])) == want
     # Short copies with an edit may fall below the threshold; exact ones can't.
     assert sum(120 + k not in want for k in range(10)) >= 5 and not any(130 + k in want for k in range(5))
@@ -119,3 +119,10 @@ def test_near_copies_from_four_fifths_on_go(spark):
         texts += [" ".join(w), " ".join([*w[:20], "other", *w[21:]])]
     left = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "")
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 20, 2))
+
+
+def test_a_unique_text_stays_though_its_id_has_a_copy_too(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"t{rng.randrange(10**9)}" for _ in range(55)) for _ in range(2))
+    left = corpus_pipeline.drop_near_duplicates(spark, frame(spark, [a, a, b, b], [3, 5, 5, 5]), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, a), (5, b)]
