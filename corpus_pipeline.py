@@ -27,10 +27,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id; rows of one id count once."""
-    found = neardup.near_duplicates(docs, threshold=SIMILAR)
-    gone = Workspace(spark).write(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays, that of the smallest id; rows go, not ids."""
+    return neardup.distinct_documents(docs, threshold=SIMILAR)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
