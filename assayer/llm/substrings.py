@@ -4,10 +4,10 @@ A gear rolling hash over the bytes before each word start decides, from content
 alone, where chunks end, so an insertion moves no boundary but those next to it;
 where nothing ends a chunk, as in one word over and over, its length does.
 A passage is a sequence of neighbouring chunks with min_words words or more.
-Passages that several documents have are found by the digests of the shortest
-such sequences; in every document but the one of the smallest id, the chunks of
-such sequences are taken out.  Chunks that are repeated one by one, in different
-places, make no passage.
+Passages that come several times are found by the digests of the shortest such
+sequences; all but the first in the document of the smallest id are taken out,
+in other documents and further on in that one.  Chunks that are repeated one by
+one, in different places, make no passage.
 """
 
 from __future__ import annotations
@@ -95,87 +95,113 @@ class Chunks:
         return a, z, (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
+def _further(first: np.ndarray, last: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which sequences of a row come after its first one of the same digest, without overlapping it."""
+    order = np.lexsort((first, digest, doc))
+    d, h = doc[order], digest[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    start = np.flatnonzero(new)
+    own = order[start][np.cumsum(new) - 1]  # each one's first
+    out = np.zeros(len(order), bool)
+    out[order] = first[order] > last[own]
+    return out
+
+
 def _occurrences(docs: DataFrame, mean_words: int, min_words: int, only: HashFilter | None = None) -> DataFrame:
-    """(digest, doc_id) of passages, once for each document."""
+    """docs(doc_id, k, text) -> (digest, doc_id, k, inner) of passages, once for each row; inner: the row has it again further on."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            c = Chunks(b.column(1), mean_words)
-            first, _, digest = c.passages(min_words)
-            doc = c.doc[first]
+            c = Chunks(b.column(2), mean_words)
+            first, last, digest = c.passages(min_words)
             if only is not None:
                 may = only.may_have(digest)
-                doc, digest = doc[may], digest[may]
-            order = np.lexsort((digest, doc))
-            doc, digest = doc[order], digest[order]
+                first, last, digest = first[may], last[may], digest[may]
+            doc = c.doc[first]
+            inner = _further(first, last, digest, doc)
+            order = np.lexsort((~inner, digest, doc))  # of one digest's in a row, one that says there are further ones
+            doc, digest, inner = doc[order], digest[order], inner[order]
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(digest[new]), b.column(0).take(pa.array(doc[new]))], ["digest", "doc_id"])
+            row = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([pa.array(digest[new]), b.column(0).take(row), b.column(1).take(row), pa.array(inner[new])], ["digest", "doc_id", "k", "inner"])
 
-    return mapped(docs, run, f"digest bigint, doc_id {kind}")
+    return mapped(docs.select("doc_id", "k", "text"), run, f"digest bigint, doc_id {kind}, k bigint, inner boolean")
 
 
 def repeated_passages(docs: DataFrame, work: Workspace, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id and the digests of its passages that a document of a smaller id has too."""
-    counted = _occurrences(docs, mean_words, min_words).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    again = work.write(counted.where("n > 1").select("digest", "owner"), "again")
+    """docs(doc_id, k, text) -> doc_id, k, and digests of passages: `gone`, that an earlier document has, and `inner`, that the row itself has before.
+
+    Documents are ordered by id, null ids last, and then by k, the text's hash.
+    """
+    rank = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "k")
+    counted = _occurrences(docs, mean_words, min_words).groupBy("digest").agg(F.min(rank).alias("owner"), F.count("*").alias("n"), F.bool_or("inner").alias("inner"))
+    again = work.write(counted.where("n > 1 or inner").select("digest", "owner"), "again")
     # The filter keeps passages that are surely unique out of the second shuffle; the join decides.
     some = _occurrences(docs, mean_words, min_words, HashFilter.of(again, "digest"))
-    later = F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner")))
-    return some.join(again, "digest").where(later).groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    found = some.join(again, "digest").select("doc_id", "k", "digest", "inner", (rank != F.col("owner")).alias("later")).where("later or inner")
+    listed = lambda which: F.collect_set(F.when(which, F.col("digest")))
+    return found.groupBy("doc_id", "k").agg(listed(F.col("later")).alias("gone"), listed(~F.col("later")).alias("inner"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
     """All columns of docs, the text without repeated passages, with removed_words and removed (array of (start, end) in bytes of the old text) at the end.
 
     64-bit digests do: a passage is taken for repeated by chance once in 2^64 pairs.
-    A null text stays null, an empty one empty.  Rows with one id are one
-    document.  Rows with a null id keep passages that no other document has.  A
-    text that is repeated whole becomes empty.  Columns named like ours are
-    replaced.
+    A null text stays null, an empty one empty.  A passage stays where it comes
+    first, in the document of the smallest id; null ids come last, and documents
+    of one id go by a hash of their texts.  Rows that repeat an id and a text
+    are one document and lose the same.  A text that is repeated whole becomes
+    empty.  Columns named like ours are replaced.
     """
     work = Workspace(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("removed_words", "removed")]
     docs = docs.select(*rest)
-    found = work.write(repeated_passages(columns(docs, doc_id=doc_id, text=text), work, mean_words, min_words), "found")
+    hashed = columns(docs, doc_id=doc_id, text=text).withColumn("k", F.xxhash64("text"))
+    found = work.write(repeated_passages(hashed, work, mean_words, min_words), "found")
     work.drop("again")
-    key = "_assayer_digests"
-    joined = docs.join(found.select(F.col("doc_id").alias("_assayer_id"), F.col("digests").alias(key)), docs[doc_id].eqNullSafe(F.col("_assayer_id")), "left").select(*rest, key)
+    ours = ["_assayer_id", "_assayer_k", "_assayer_gone", "_assayer_inner"]
+    same = docs[doc_id].eqNullSafe(F.col(ours[0])) & (F.xxhash64(docs[text]) == F.col(ours[1]))
+    joined = docs.join(found.toDF(*ours), same, "left").select(*rest, *ours[2:])
     at = rest.index(text)
 
+    def cut(texts: pa.Array, gone: pa.Array, inner: pa.Array) -> Iterator[tuple[str, int, list[dict]]]:
+        c = Chunks(texts, mean_words)
+        first, last, digest = c.passages(min_words)
+        order = np.argsort(first, kind="stable")
+        first, last, digest = first[order], last[order], digest[order]
+        further = _further(first, last, digest, c.doc[first])
+        bounds = np.searchsorted(c.doc, np.arange(len(texts) + 1))
+        within = np.searchsorted(first, bounds)
+        for j, text_ in enumerate(texts.to_pylist()):
+            own, mine = slice(bounds[j], bounds[j + 1]), slice(within[j], within[j + 1])
+            goes = np.isin(digest[mine], gone[j].values.to_numpy()) | (further[mine] & np.isin(digest[mine], inner[j].values.to_numpy()))
+            cover = np.zeros(bounds[j + 1] - bounds[j] + 1, np.int64)
+            np.add.at(cover, first[mine][goes] - bounds[j], 1)
+            np.add.at(cover, last[mine][goes] + 1 - bounds[j], -1)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover[:-1]) > 0, [0]])))
+            data, kept, done, n, spans = text_.encode("utf-8", "surrogatepass"), [], 0, 0, []
+            for a, z in edges.reshape(-1, 2):
+                begin, end = int(c.start[own][a]), int(c.end[own][z - 1])
+                kept.append(data[done:begin])
+                done = end
+                n += int(c.words[own][a:z].sum())
+                spans.append({"start": begin, "end": end})
+            yield b"".join([*kept, data[done:]]).decode("utf-8", "surrogatepass"), n, spans
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts, out, gone, spans = b.column(at), b.column(at).to_pylist(), [0] * b.num_rows, [[] for _ in range(b.num_rows)]
-            hit = [k for k, d in enumerate(b.column(len(rest)).to_pylist()) if d and out[k]]
-            if hit:
-                c = Chunks(texts.take(pa.array(hit)), mean_words)
-                bounds = np.searchsorted(c.doc, np.arange(len(hit) + 1))
-                first, past, digest = c.passages(min_words)
-                past = past + 1
-                order = np.argsort(first, kind="stable")
-                first, past, digest = first[order], past[order], digest[order]
-                within = np.searchsorted(first, bounds)
-                for j, k in enumerate(hit):
-                    own = slice(bounds[j], bounds[j + 1])
-                    mine = slice(within[j], within[j + 1])
-                    again = np.isin(digest[mine], b.column(len(rest))[k].values.to_numpy())
-                    cover = np.zeros(bounds[j + 1] - bounds[j] + 1, np.int64)
-                    np.add.at(cover, first[mine][again] - bounds[j], 1)
-                    np.add.at(cover, past[mine][again] - bounds[j], -1)
-                    repeated = np.cumsum(cover[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-                    data, kept, last = out[k].encode("utf-8", "surrogatepass"), [], 0
-                    for a, z in edges.reshape(-1, 2):
-                        n = int(c.words[own][a:z].sum())
-                        begin, end = int(c.start[own][a]), int(c.end[own][z - 1])
-                        kept.append(data[last:begin])
-                        last = end
-                        gone[k] += n
-                        spans[k].append({"start": begin, "end": end})
-                    out[k] = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
+            gone, inner = b.column(len(rest)), b.column(len(rest) + 1)
+            out, words, spans = b.column(at).to_pylist(), [0] * b.num_rows, [[] for _ in range(b.num_rows)]
+            hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                rows = pa.array(hit)
+                for k, (new, n, where) in zip(hit.tolist(), cut(b.column(at).take(rows), gone.take(rows), inner.take(rows)), strict=True):
+                    out[k], words[k], spans[k] = new, n, where
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            new = [*b.columns[: len(rest)], pa.array(gone, pa.int64()), pa.array(spans, kind)]
+            new = [*b.columns[: len(rest)], pa.array(words, pa.int64()), pa.array(spans, kind)]
             new[at] = pa.array(out, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(new, [*rest, "removed_words", "removed"])
 
