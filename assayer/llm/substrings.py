@@ -136,12 +136,13 @@ def repeated_passages(docs: DataFrame, work: Workspace, mean_words: int = MEAN_W
 
     Documents are ordered by id, null ids last, and then by k, the text's hash.
     """
+    counted = _occurrences(docs, mean_words, min_words).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.col("inner").cast("int")).alias("inner"))
+    again = work.write(counted.where("n > 1 or inner = 1").select("digest"), "again")
+    # The filter keeps most passages that come once out of what follows; those it lets through have one owner and go no further.
+    some = work.write(_occurrences(docs, mean_words, min_words, HashFilter.of(again, "digest")), "some")
     rank = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "k")
-    counted = _occurrences(docs, mean_words, min_words).groupBy("digest").agg(F.min(rank).alias("owner"), F.count("*").alias("n"), F.bool_or("inner").alias("inner"))
-    again = work.write(counted.where("n > 1 or inner").select("digest", "owner"), "again")
-    # The filter keeps passages that are surely unique out of the second shuffle; the join decides.
-    some = _occurrences(docs, mean_words, min_words, HashFilter.of(again, "digest"))
-    found = some.join(again, "digest").select("doc_id", "k", "digest", "inner", (rank != F.col("owner")).alias("later")).where("later or inner")
+    owners = some.groupBy("digest").agg(F.min(rank).alias("owner"))
+    found = some.join(owners, "digest").select("doc_id", "k", "digest", "inner", (rank != F.col("owner")).alias("later")).where("later or inner")
     listed = lambda which: F.collect_set(F.when(which, F.col("digest")))
     return found.groupBy("doc_id", "k").agg(listed(F.col("later")).alias("gone"), listed(~F.col("later")).alias("inner"))
 
@@ -161,7 +162,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     docs = docs.select(*rest)
     hashed = columns(docs, doc_id=doc_id, text=text).withColumn("k", F.xxhash64("text"))
     found = work.write(repeated_passages(hashed, work, mean_words, min_words), "found")
-    work.drop("again")
+    work.drop("again", "some")
     ours = ["_assayer_id", "_assayer_k", "_assayer_gone", "_assayer_inner"]
     same = docs[doc_id].eqNullSafe(F.col(ours[0])) & (F.xxhash64(docs[text]) == F.col(ours[1]))
     joined = docs.join(found.toDF(*ours), same, "left").select(*rest, *ours[2:])
