@@ -42,6 +42,8 @@ UNMET = 8e-7
 BATCH = 24
 #: Entries of one shingle that one task compares, on either side.
 BLOCK = 256
+#: Tasks that share a component's nodes.
+SPREAD = 16
 #: A candidate is dropped when its similarity reaches the threshold with less than this chance.
 MISS = 1e-6
 
@@ -265,7 +267,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Worksp
 
 
 def _linked(docs: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text, ...) -> features, of every row, and (node, first, component) of every node; first is its smallest id."""
+    """docs(doc_id, text, ...) -> features, of every row, and (node, first, component, linked) of every node; first is its smallest id."""
     bands = bands_for(threshold)
     features = work.write(_features(docs, bands), "features")
     nodes = work.write(features.where("node is not null").select("node", "n_shingles", "sig").dropDuplicates(["node"]), "nodes")
@@ -280,7 +282,7 @@ def _linked(docs: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame
     work.drop("nodes", "shared", "buckets", "members", "sets", "pivots", "named", "open", "frequency", "entries", "across")
     labels = components(links.union(more), work, "labels")
     least = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    return features, least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    return features, least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -298,8 +300,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     work = Workspace(docs.sparkSession)
     features, named = _linked(columns(docs, doc_id=doc_id, text=text), work, threshold)
     named = work.write(named, "components")
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    result = work.write(named.join(lowest, "component").select("node", "component_id"), "result")
+    lowest = named.where("linked").groupBy("component").agg(F.min("first").alias("component_id"))
+    # A component may hold a third of all nodes: its row is sent to SPREAD tasks, which share its nodes.
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    linked = named.where("linked").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(lowest, ["component", "salt"])
+    result = work.write(linked.select("node", "component_id").union(named.where("not linked").select("node", "first")), "result")
     own = features.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -319,7 +324,9 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = features.where("node is not null").groupBy("node", "doc_id", "h", "g").agg(F.count("*").alias("n"))
     rows = work.write(rows.join(named.select("node", "component"), "node").select("component", rank, "n"), "rows")
     first = rows.groupBy("component").agg(F.min("rank").alias("first"))
-    judged = rows.join(first, "component").select("rank.*", "n", (F.col("rank") == F.col("first")).alias("stays"))
+    # Joined by row, not by component, which may hold a third of all rows.
+    same = F.col("first.doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("first.h") == F.col("rank.h")) & (F.col("first.g") == F.col("rank.g"))
+    judged = rows.join(first.select("first"), same, "left").select("rank.*", "n", F.col("first").isNotNull().alias("stays"))
     keys = F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), F.col("g").alias("_g")
     gone = work.write(judged.where(~F.col("stays")).select(*keys), "gone")
     again = work.write(judged.where(F.col("stays") & (F.col("n") > 1)).select(*keys), "again")
