@@ -3,14 +3,14 @@
 A payload is cut where a gear rolling hash over its last bytes says so.  A
 chunk that several payloads (or several places) have is stored once, keyed by
 its digest, and found again by a Spark join; a chunk of one place only stays in
-the pack of its payload, so most bytes are written once and never shuffled.  A
-pack lists its chunks' digests in order.  Reading joins the shared chunks back,
-puts the list together, verifies every digest and the payload's, and only then
-serves the medium.
-
-What is stored are packs and shared chunks, compressed.  media_bytes and
-media_sha256 are not of these bytes: they describe the export form (container())
-that reading puts together and opens again in memory.
+the pack of its payload, so most bytes are written once and never shuffled.
+
+A medium's stored form is its pack (a head that lists lengths and digests of its
+chunks in order, and its own chunks, compressed) and then the shared chunks of
+its list, compressed, as the store has them.  Reading joins the shared chunks
+back, puts the payload together from these bytes, verifies every digest and the
+payload's, and only then serves the medium; media_bytes and media_sha256 are of
+the bytes that were read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WINDOW = 24
 UNIT = 576
 PAD = b"\xff"
 MAGIC = b"CHNK"
+#: Bytes of a chunk in a head: length, whether it is shared, digest.
+ENTRY = 4 + 1 + 16
 
 
 def padded(text: str | None) -> bytes:
@@ -48,7 +50,7 @@ def cuts(data: bytes) -> list[int]:
     raw = np.frombuffer(data, np.uint8)
     h = np.zeros(len(raw), np.uint32)
     gear = GEAR[raw]
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(raw))):
         h[j:] += gear[: len(raw) - j] << np.uint32(j)
     bits = MEAN.bit_length() - 1
     # The highest of WINDOW bits depend on all bytes in the window.
@@ -79,45 +81,54 @@ def short(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">i8")[::2].astype(np.int64)
 
 
-def container(parts: list[bytes]) -> bytes:
-    """The export form of a whole medium, which is never stored: a table of lengths and digests, and the 8-bit samples."""
-    head = MAGIC + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + digest(p) for p in parts)
-    return head + b"".join(parts)
-
-
-def opened(stored: bytes) -> bytes:
-    """The payload of a container; ValueError if anything doesn't fit."""
-    if stored[:4] != MAGIC:
-        raise ValueError("not a chunk container")
-    (n,) = struct.unpack_from("<I", stored, 4)
-    at, out = 8 + 20 * n, []
-    for k in range(n):
-        (size,) = struct.unpack_from("<I", stored, 8 + 20 * k)
-        part = stored[at : at + size]
-        if len(part) != size or digest(part) != stored[12 + 20 * k : 28 + 20 * k]:
-            raise ValueError(f"chunk {k} is damaged")
-        out.append(part)
-        at += size
-    if at != len(stored):
+def head(parts: list[bytes], names: list[bytes], away: list[bool]) -> bytes:
+    """What a pack begins with: for each chunk its length, whether the store has it, and its digest."""
+    return MAGIC + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I?", len(p), a) + n for p, n, a in zip(parts, names, away, strict=True))
+
+
+def opened(start: bytes, own: bytes, store: dict[bytes, bytes]) -> tuple[bytes, list[bytes]]:
+    """The stored bytes of a medium, from its pack's head and own chunks and from shared chunks by digest, and its chunks; ValueError if anything is missing or doesn't fit."""
+    unzip = zstandard.ZstdDecompressor()
+    if start[:4] != MAGIC or (len(start) - 8) % ENTRY or len(start) != 8 + ENTRY * struct.unpack_from("<I", start, 4)[0]:
+        raise ValueError("not a pack")
+    try:
+        rest, at, parts, shared = unzip.decompress(own), 0, [], []
+        for k in range(8, len(start), ENTRY):
+            size, away = struct.unpack_from("<I?", start, k)
+            name = start[k + 5 : k + ENTRY]
+            if away:
+                if name not in store:
+                    raise ValueError(f"chunk {name.hex()} is missing")
+                shared.append(store[name])
+                part = unzip.decompress(store[name])
+            else:
+                part = rest[at : at + size]
+                at += size
+            if len(part) != size or digest(part) != name:
+                raise ValueError(f"chunk {name.hex()} is damaged")
+            parts.append(part)
+    except zstandard.ZstdError as e:
+        raise ValueError("damaged bytes") from e
+    if at != len(rest):
         raise ValueError("bytes after the last chunk")
-    return b"".join(out)
+    return start + own + b"".join(shared), parts
 
 
 def _digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [digest(c) for t in b.column(1).to_pylist() for c in chunks(padded(t))]
+            found = [digest(c) for t in b.column(0).to_pylist() for c in chunks(padded(t))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    return mapped(docs, run, "digest binary")
+    return mapped(docs.select("text"), run, "digest binary")
 
 
 def _packs(docs: DataFrame, shared: HashFilter) -> DataFrame:
-    """A pack for each row: its list of digests and lengths, and the chunks that surely no other place has."""
+    """A pack for each row: the head, the chunks that surely no other place has, and which it finds in the store; `new`: chunks for the store that this task hasn't sent yet."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_, sent = zstandard.ZstdCompressor(level=3), set()
         for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -125,46 +136,30 @@ def _packs(docs: DataFrame, shared: HashFilter) -> DataFrame:
                 parts = chunks(data)
                 names = [digest(p) for p in parts]
                 away = shared.may_have(short(names)).tolist()
+                wants = dict.fromkeys(n for n, a in zip(names, away, strict=True) if a)
+                new = {n: p for n, p in zip(names, parts, strict=True) if n in wants and n not in sent}
+                sent.update(new)
                 rows.append(
                     {
                         "doc_id": doc_id,
                         "n_bytes": len((text or "").encode("utf-8", "surrogatepass")),
                         "sha256": hashlib.sha256(data).digest(),
-                        "digests": names,
-                        "lengths": [len(p) for p in parts],
-                        "away": away,
+                        "head": head(parts, names, away),
                         "own": zip_.compress(b"".join(p for p, a in zip(parts, away, strict=True) if not a)),
+                        "wants": list(wants),
+                        "new": [{"digest": n, "chunk": zip_.compress(p)} for n, p in new.items()],
                     }
                 )
+            if len(sent) > 1 << 18:
+                sent.clear()  # repeats are harmless: the store takes one of each
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    ddl = f"doc_id {kind}, n_bytes bigint, sha256 binary, digests array<binary>, lengths array<int>, away array<boolean>, own binary"
+    ddl = f"doc_id {kind}, n_bytes bigint, sha256 binary, head binary, own binary, wants array<binary>, new array<struct<digest: binary, chunk: binary>>"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return mapped(docs, run, ddl).withColumn("pack", F.monotonically_increasing_id())
-
-
-def _store(docs: DataFrame, shared: HashFilter) -> DataFrame:
-    """digest and chunk, once for each chunk that the filter names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, sent = zstandard.ZstdCompressor(level=3), set()
-        for b in slices(batches):
-            out = {}
-            for t in b.column(1).to_pylist():
-                parts = chunks(padded(t))
-                names = [digest(p) for p in parts]
-                for name, part, away in zip(names, parts, shared.may_have(short(names)).tolist(), strict=True):
-                    if away and name not in sent:
-                        sent.add(name)
-                        out[name] = zip_.compress(part)
-            if len(sent) > 1 << 20:
-                sent.clear()  # repeats are harmless: the next step takes one of each
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "chunk"])
-
-    return mapped(docs, run, "digest binary, chunk binary").dropDuplicates(["digest"])
+    return mapped(docs.select("doc_id", "text"), run, ddl).withColumn("pack", F.monotonically_increasing_id())
 
 
 def write_media(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -176,11 +171,10 @@ def write_media(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     again = work.write(_digests(docs).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
     hashed = again.select(F.expr("cast(conv(hex(substring(digest, 1, 8)), 16, -10) as bigint)").alias("h"))
-    shared = HashFilter.of(hashed, "h")
-    store = work.write(_store(docs, shared), "store")
-    packs = work.write(_packs(docs, shared), "packs")
+    packs = work.write(_packs(docs, HashFilter.of(hashed, "h")), "packs")
+    store = work.write(packs.select(F.explode("new").alias("x")).select("x.*").dropDuplicates(["digest"]), "store")
     work.drop("again")
-    return packs, store
+    return packs.drop("new"), store
 
 
 def _assembled(rows: DataFrame, features: Callable[[bytes, list[bytes]], str]) -> DataFrame:
@@ -189,21 +183,12 @@ def _assembled(rows: DataFrame, features: Callable[[bytes, list[bytes]], str]) -
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         for b in slices(batches):
             out = []
             for row in b.to_pylist():
-                store = {p["digest"]: unzip.decompress(p["chunk"]) for p in row["parts"] or ()}
-                own, at, parts = unzip.decompress(row["own"]), 0, []
-                for name, length, away in zip(row["digests"], row["lengths"], row["away"], strict=True):
-                    if away:
-                        parts.append(store[name])
-                    else:
-                        parts.append(own[at : at + length])
-                        at += length
-                medium = container(parts)
-                data = opened(medium)
-                if [digest(p) for p in parts] != row["digests"] or hashlib.sha256(data).digest() != row["sha256"]:
+                medium, parts = opened(row["head"], row["own"], {p["digest"]: p["chunk"] for p in row["parts"] or () if p["chunk"] is not None})
+                data = b"".join(parts)
+                if hashlib.sha256(data).digest() != row["sha256"]:
                     raise ValueError(f"the medium of {row['doc_id']} is damaged")
                 values = (row["doc_id"], row["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(medium), hashlib.sha256(medium).hexdigest(), features(data, parts))
                 out.append(dict(zip(names, values, strict=True)))
@@ -214,7 +199,7 @@ def _assembled(rows: DataFrame, features: Callable[[bytes, list[bytes]], str]) -
 
     ddl = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    return mapped(rows.select("doc_id", "n_bytes", "sha256", "digests", "lengths", "away", "own", "parts"), run, ddl)
+    return mapped(rows.select("doc_id", "n_bytes", "sha256", "head", "own", "parts"), run, ddl)
 
 
 def describe(data: bytes, parts: list[bytes]) -> str:
@@ -225,17 +210,16 @@ def describe(data: bytes, parts: list[bytes]) -> str:
 
 
 def read_media(packs: DataFrame, store: DataFrame, features: Callable[[bytes, list[bytes]], str] = describe) -> DataFrame:
-    """Reads and verifies all media.  Only packs with chunks in the store pass through joins.
+    """Reads and verifies all media, of every pack.  Only packs with chunks in the store pass through joins.
 
-    A damaged or missing chunk fails the job.  media_bytes and media_sha256 are
-    those of the export form, see container(), not of the pack and its chunks.
+    A damaged or missing chunk fails the job, also if all of a pack's are missing.
     """
-    split = packs.withColumn("wants", F.exists("away", lambda x: x))
-    alone = split.where(~F.col("wants")).withColumn("parts", F.lit(None).cast("array<struct<digest: binary, chunk: binary>>"))
-    sharing = split.where("wants")
-    named = sharing.select("pack", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("digests", "away"), lambda x: x["away"]), lambda x: x["digests"]))).alias("digest"))
-    parts = named.join(store, "digest").groupBy("pack").agg(F.collect_list(F.struct("digest", "chunk")).alias("parts"))
-    return _assembled(alone, features).union(_assembled(sharing.join(parts, "pack"), features))
+    split = packs.withColumn("sharing", F.size("wants") > 0)
+    alone = split.where(~F.col("sharing")).withColumn("parts", F.lit(None).cast("array<struct<digest: binary, chunk: binary>>"))
+    sharing = split.where("sharing")
+    named = sharing.select("pack", F.explode("wants").alias("digest"))
+    parts = named.join(store, "digest", "left").groupBy("pack").agg(F.collect_list(F.struct("digest", "chunk")).alias("parts"))
+    return _assembled(alone, features).union(_assembled(sharing.join(parts, "pack", "left"), features))
 
 
 def op1_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,14 +250,14 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, work: Worksp
     entries = rows.select("node", "component", "size", "alone", F.posexplode(rare).alias("at", "x")).select(F.col("x.token").alias("token"), "node", "component", "size", (F.col("alone") + F.col("at")).alias("place"))
     entries = work.write(entries, "entries")
     counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    # A common shingle's entries are dealt into blocks, and every block of the one side meets every block of the other in a task of its own.
-    met_by = entries.join(largest.select("token", F.col("top.component").alias("largest")), "token")
-    sizes = met_by.groupBy("token").agg(F.count_if(F.col("component") != F.col("largest")).alias("n"), F.count("*").alias("m"))
-    blocked = met_by.join(sizes, "token").select("*", ((F.col("n") - 1) / BLOCK).cast("int").alias("last_x"), ((F.col("m") - 1) / BLOCK).cast("int").alias("last_y"))
+    found = counts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m")).where("parts > 1")
+    # A common shingle's row is sent to SPREAD tasks.  Its entries are dealt into blocks, and every block of the one side meets every block of the other in a task of its own.
+    sizes = found.select("token", F.col("top.component").alias("largest"), ((F.col("m") - F.col("top.n") - 1) / BLOCK).cast("int").alias("last_x"), ((F.col("m") - 1) / BLOCK).cast("int").alias("last_y"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    blocked = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(sizes, ["token", "salt"])
     own = lambda last: F.pmod(F.xxhash64("node"), F.col(last) + 1).cast("int")
     sent = ["token", "node", "component", "size", "place"]
-    x = blocked.where("component <> largest").select(*sent, own("last_x").alias("bx"), F.explode(F.sequence(F.lit(0), "last_y")).alias("by")).alias("x")
+    x = blocked.where(F.col("component") != F.col("largest")).select(*sent, own("last_x").alias("bx"), F.explode(F.sequence(F.lit(0), "last_y")).alias("by")).alias("x")
     y = blocked.select(*sent, own("last_y").alias("by"), F.explode(F.sequence(F.lit(0), "last_x")).alias("bx")).alias("y")
     common = F.ceil((F.col("x.size") + F.col("y.size")) * threshold / (100 + threshold))
     fits = (F.col("x.place") + common <= F.col("x.size")) & (F.col("y.place") + common <= F.col("y.size"))
