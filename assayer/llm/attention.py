@@ -56,7 +56,7 @@ def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray,
     """
     n, t = inputs.shape
     d = p["q"].shape[0]
-    x = p["emb"][inputs]
+    x = np.take(p["emb"], inputs, axis=0)
     x += p["pos"][:t]
     flat = x.reshape(-1, d)
     qkv = (flat @ np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
@@ -73,40 +73,73 @@ def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray,
     np.maximum(r, 0, out=r)
     h += r @ p["w2"]
     z = h @ p["out"]
-    z += prior[before.ravel()]
+    z += np.take(prior, before.ravel(), axis=0)
     chosen = z[np.arange(n * t), wanted.ravel()]
     np.minimum(z, np.float32(60), out=z)
     np.exp(z, out=z)
     return (chosen - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(n, t)
 
 
-def gradients(p: Params, logp: np.ndarray, cache: tuple, targets: np.ndarray, weight: np.ndarray) -> Params:
-    """Of the weighted mean of the negative log-probabilities of the targets."""
-    tokens, x, q, k, v, a, c, h, r, y = cache
-    n, t, d = x.shape
-    dz = np.exp(logp)
-    np.put_along_axis(dz, targets[..., None], np.take_along_axis(dz, targets[..., None], -1) - 1, -1)
-    dz *= (weight / max(1.0, float(weight.sum())))[..., None]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(y).T @ flat(dz)}
+def _by_row(places: np.ndarray, rows: int, x: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x by their places."""
+    order = np.argsort(places.astype(np.uint16 if rows <= 1 << 16 else np.int64), kind="stable")
+    sorted_ = places[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    out = np.zeros((rows, x.shape[1]), x.dtype)
+    out[sorted_[first]] = np.add.reduceat(np.take(x, order, axis=0), first, axis=0)
+    return out
+
+
+def gradients(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> Params:
+    """Of the weighted mean of the negative log-probabilities that score() has for the wanted classes: forward and backward in one."""
+    n, t = inputs.shape
+    d = p["q"].shape[0]
+    one = p["q"].dtype.type
+    x = np.take(p["emb"], inputs, axis=0)
+    x += p["pos"][:t]
+    flat = x.reshape(-1, d)
+    qkv = (flat @ np.concatenate([p["q"] * one(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
+    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, one(60), out=a)
+    np.exp(a, out=a)
+    a *= np.tril(np.ones((t, t), a.dtype))
+    a /= (a @ np.ones(t, a.dtype))[..., None]
+    c = (a @ v).reshape(-1, d)
+    h = flat + c @ p["o"]
+    r = h @ p["w1"]
+    np.maximum(r, 0, out=r)
+    y = h + r @ p["w2"]
+    dz = y @ p["out"]
+    dz += np.take(prior, before.ravel(), axis=0)
+    np.minimum(dz, one(60), out=dz)
+    np.exp(dz, out=dz)
+    share = weight.ravel().astype(dz.dtype) / one(max(1.0, float(weight.sum())))
+    dz *= (share / (dz @ np.ones(dz.shape[1], dz.dtype)))[:, None]
+    dz[np.arange(n * t), wanted.ravel()] -= share
+    g = {"out": y.T @ dz}
     dy = dz @ p["out"].T
-    g["w2"] = flat(r).T @ flat(dy)
-    dr = (dy @ p["w2"].T) * (r > 0)
-    g["w1"] = flat(h).T @ flat(dr)
-    dh = dy + dr @ p["w1"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ p["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(x).T @ flat(grad)
+    g["w2"] = r.T @ dy
+    dr = dy @ p["w2"].T
+    dr *= r > 0
+    g["w1"] = h.T @ dr
+    dy += dr @ p["w1"].T
+    g["o"] = c.T @ dy
+    dc = (dy @ p["o"].T).reshape(n, t, d)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ntd,ntd->nt", dc, c.reshape(n, t, d))[..., None]  # as the rows of a @ (dc v) are
+    ds *= a
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * d :])
+    dqkv[..., :d] *= one(d**-0.5)
+    dflat = dqkv.reshape(-1, 3 * d)
+    g["q"], g["k"], g["v"] = np.split(flat.T @ dflat, 3, axis=1)
+    dy += dflat @ np.concatenate([p["q"], p["k"], p["v"]], axis=1).T
     g["pos"] = np.zeros_like(p["pos"])
-    g["pos"][:t] = dx.sum(axis=0)
-    places, rows = tokens.ravel(), len(p["emb"])
-    g["emb"] = np.stack([np.bincount(places, column, rows) for column in flat(dx).T], axis=1).astype(p["emb"].dtype)
+    g["pos"][:t] = dy.reshape(n, t, d).sum(axis=0)
+    g["emb"] = _by_row(inputs.ravel(), len(p["emb"]), dy)
     return g
 
 

@@ -11,8 +11,10 @@ logits; the id within the class has its corpus frequency.  Counts of id pairs
 over all training text, discounted, take a share before that: what the discounts
 leave goes to the network.  So it is a distribution over all ids and an end.
 The network is trained in numpy on all training documents, in one pass: each
-teaches in the round that its id falls in.  A round is data-parallel Adam, whose
-parameters are averaged by Spark.
+teaches in the round and the group that a hash of its id and text gives it.  In
+a round every group starts from the same parameters and goes through its
+documents in the order of that hash, window after window; Spark averages the
+groups' parameters.  So training doesn't depend on how rows lie in files.
 
 Texts are scored in overlapping windows: a window's first places only give
 context, so each subword is scored once, under a batched causal mask.  A token's
@@ -43,12 +45,14 @@ PATTERN = r""" ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+"""
 FOLDS, HELD_OUT = 7, 2
 END_WORD = "\n"
 #: Text coded in one row.
-CODED_BYTES = 3 << 20
+CODED_BYTES = 4 << 20
 CLASSES, SINGLE = 48, 32
 #: Ids with embeddings of their own; others share by a hash.
 OWN_INPUTS, SHARED_INPUTS = 960, 64
 WINDOW, STRIDE = 32, 24
 ROUNDS, LEARNING, BATCH = 3, 5e-3, 64
+#: Training subwords of a group, on average: groups grow in number with the text.
+GROUP = 1 << 20
 #: Windows scored at once.
 AT_ONCE = 128
 #: Tasks get so many of the most frequent id pairs at most, others are joined; and what is taken off the counts of all.
@@ -106,7 +110,7 @@ class Subwords:
 
 
 class Coded:
-    """One coded row: held_out, round and lengths (tokens with the end) of its documents, words (hashes), number (of each token's word), and subwords."""
+    """One coded row: held_out, order (a hash) and lengths (tokens with the end) of its documents, words (hashes), number (of each token's word), and subwords."""
 
     def __init__(self, row: dict[str, pa.Scalar]):
         read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind) if row[name].is_valid else np.zeros(0, kind)
@@ -114,7 +118,7 @@ class Coded:
         self.number = np.frombuffer(row["number"].as_buffer(), np.dtype(f"u{row['number'].as_buffer().size // int(self.lengths.sum())}"))
         self.sub_lengths = read("sub_lengths", np.int32).astype(np.int64)
         self.sub = np.frombuffer(row["sub"].as_buffer(), np.dtype(f"u{row['sub'].as_buffer().size // int(self.sub_lengths.sum())}"))
-        self.round = read("round", np.uint8) if "round" in row else None
+        self.order = read("order", np.int64) if "order" in row else None
         self.words = row["words"].values.to_numpy() if "words" in row else None
 
     def counts(self) -> np.ndarray:
@@ -126,10 +130,10 @@ class Coded:
         """All subword ids, document after document, and each document's number of them."""
         return expand(self.number, self.lengths, self.sub, self.sub_lengths)
 
-    def lessons(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """The subword ids of the training documents of a round, and each one's number of them."""
-        taught = ~self.held_out & (self.round == number)
-        return expand(self.number[np.repeat(taught, self.lengths)], self.lengths[taught], self.sub, self.sub_lengths)
+    def lessons(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The subword ids of the training documents of a round, each one's number of them, and its order."""
+        taught = ~self.held_out & (self.order % ROUNDS == number)
+        return *expand(self.number[np.repeat(taught, self.lengths)], self.lengths[taught], self.sub, self.sub_lengths), self.order[taught]
 
     def pairs(self, end: int) -> tuple[np.ndarray, np.ndarray]:
         """before * (end + 1) + id for the neighbours in training text, and how often they are; the end comes before a text's first id."""
@@ -162,9 +166,9 @@ def expand(number: np.ndarray, lengths: np.ndarray, sub: np.ndarray, sub_lengths
 
 
 def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
-    """docs(doc_id, text, held_out, round) -> coded rows."""
+    """docs(doc_id, text, held_out, order) -> coded rows."""
     kind = dict(docs.dtypes)["doc_id"]
-    ddl = f"ids array<{kind}>, held_out binary, lengths binary, words array<bigint>, number binary, sub binary, sub_lengths binary, round binary"
+    ddl = f"ids array<{kind}>, held_out binary, lengths binary, words array<bigint>, number binary, sub binary, sub_lengths binary, order binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -193,7 +197,7 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
                 number.tobytes(),
                 sub.tobytes(),
                 sizes.astype(np.int32).tobytes(),
-                np.array(b.column(3).to_pylist(), np.uint8).tobytes(),
+                b.column(3).to_numpy().astype(np.int64).tobytes(),
             ]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], pa.binary()) for x in row], schema.names)
 
@@ -402,6 +406,15 @@ class Model:
             place = begin[d] + np.minimum(place, sizes[d] - 1)
             yield inputs[place], classes[place], place, scored
 
+    def taught(self, ids: np.ndarray) -> np.ndarray:
+        """One document's windows to learn from, side by side: inputs, classes before (-1 behind the text's end) and wanted classes, as int32."""
+        many = -(-len(ids) // WINDOW)
+        before = self.before(ids, np.array([len(ids)]))
+        out = np.zeros((3, many * WINDOW), np.int32)
+        out[1] = -1
+        out[:, : len(ids)] = self.input_of[before], self.class_of[before], self.class_of[ids]
+        return out.reshape(3, many, WINDOW)
+
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 of each subword's probability, where its pair is in the table or nowhere."""
         return self.parts(ids, sizes)[0]
@@ -441,6 +454,60 @@ def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return class_of, inputs.astype(np.int32), within
 
 
+def lessons(coded: DataFrame, number: int, groups: int) -> DataFrame:
+    """A round's documents, dealt by group and in order: g, key and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, _ in _rows(batches):
+            ids, sizes, order = c.lessons(number)
+            data, at = ids.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+            each = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            wide = np.full(len(order), ids.itemsize, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((order // ROUNDS % groups).astype(np.int32)), pa.array(order), pa.array(wide), pa.array(each, pa.binary())], ["g", "key", "wide", "ids"])
+
+    return mapped(coded.select(*FIELDS, "order"), run, "g int, key bigint, wide int, ids binary").repartition("g").sortWithinPartitions("g", "key")
+
+
+def learn(model: Model, docs: Iterator[tuple[int, int, np.ndarray]], rate: float) -> Iterator[tuple[attention.Params, float]]:
+    """docs: group, any number and ids, by group.  Each group's parameters, from the model's on, and how many subwords taught it."""
+    p, adam, group, seen = {}, None, None, 0
+    waiting: list[np.ndarray] = []
+    rows = 0
+
+    def step(windows: np.ndarray) -> None:
+        inputs, classes, wanted = windows
+        adam.step(p, attention.gradients(p, inputs, np.maximum(classes, 0), model.prior, wanted, (classes >= 0).astype(np.float32)))
+
+    def steps(least: int) -> int:
+        """In portions of BATCH windows, whatever batches they came in."""
+        windows = np.concatenate(waiting, axis=1)
+        at = 0
+        while windows.shape[1] - at >= least and at < windows.shape[1]:
+            step(windows[:, at : at + BATCH])
+            at += BATCH
+        waiting[:] = [windows[:, at:]]
+        return max(0, windows.shape[1] - at)
+
+    for g, _, ids in docs:
+        if g != group:
+            if group is not None:
+                rows = steps(1) if waiting else 0
+                yield p, seen
+            p, adam, group, seen = {k: x.copy() for k, x in model.params.items()}, attention.Adam(rate), g, 0
+            waiting.clear()
+            rows = 0
+        windows = model.taught(ids)
+        waiting.append(windows)
+        rows += windows.shape[1]
+        seen += len(ids)
+        if rows >= 16 * BATCH:
+            rows = steps(BATCH)
+    if group is not None:
+        if waiting:
+            steps(1)
+        yield p, seen
+
+
 def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int = ROUNDS) -> Model:
     """From the counts of all training documents, and the network from all of them, too."""
     class_of, input_of, within = _classes(id_counts)
@@ -450,24 +517,20 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
     joint = joint + mass / mass.sum()
     prior = np.log(joint / joint.sum(axis=1, keepdims=True)).astype(np.float32)
     model = Model(class_of, input_of, within, prior, attention.init(OWN_INPUTS + SHARED_INPUTS, CLASSES, WINDOW))
+    groups = 1 + int(id_counts.sum() - width) // GROUP
     for number in range(rounds):
 
-        def learn(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
-            p, adam, seen = {k: x.copy() for k, x in model.params.items()}, attention.Adam(LEARNING / (1 + number)), 0.0
-            for c, _ in _rows(batches):
-                ids, sizes = c.lessons(number)
-                if not len(ids):
-                    continue
-                wanted = class_of[ids]
-                for inputs, before, place, scored in model.windows(ids, sizes, BATCH):
-                    logp, cache = attention.forward(p, inputs, prior[before])
-                    adam.step(p, attention.gradients(p, logp, cache, wanted[place], scored.astype(np.float32)))
-                    seen += float(scored.sum())
-            flat = attention.pack(p) * seen
-            # The last entry adds up the weights.
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], ["i", "x"])
-
-        place, found = arrays(mapped(coded.select(*FIELDS, "round"), learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
+        def run(batches: Iterator[pa.RecordBatch], rate=LEARNING / (1 + number)) -> Iterator[pa.RecordBatch]:
+            docs = ((g, key, np.frombuffer(ids, f"u{wide}")) for b in batches for g, key, wide, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
+            total = None
+            for p, seen in learn(model, docs, rate):
+                flat = np.append(attention.pack(p), 1.0) * seen
+                total = flat if total is None else total + flat
+            if total is not None:
+                # The last entry adds up the weights.
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "x"])
+
+        place, found = arrays(mapped(lessons(coded, number, groups), run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
         found = found[np.argsort(place)]
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
@@ -489,9 +552,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     subwords = Subwords.load(path)
     own = columns(docs, doc_id=doc_id, text=text)
     held = F.coalesce(id_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
-    teaches = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS)), F.lit(0))  # null ids teach nothing
+    order = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 62) - 1))
     kind = dict(own.dtypes)["doc_id"]
-    coded = work.write(code(own.withColumn("held_out", held).withColumn("round", teaches), subwords), "coded")
+    coded = work.write(code(own.withColumn("held_out", held).withColumn("order", order), subwords), "coded")
     counted = work.write(tally(coded, subwords.end), "counts")
     words = counted.where("kind = 0").select("key", "n")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()

@@ -56,14 +56,13 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     p = {k: x.astype(np.float64) for k, x in attention.init(20, 6, 7, 4, 5).items()}
     inputs, targets = rng.integers(0, 20, (3, 7)), rng.integers(0, 6, (3, 7))
-    prior, weight = rng.standard_normal((3, 7, 6)), rng.integers(0, 2, (3, 7)).astype(float)
+    before, prior, weight = rng.integers(0, 6, (3, 7)), rng.standard_normal((6, 6)), rng.integers(0, 2, (3, 7)).astype(float)
 
     def loss(q):
-        logp, _ = attention.forward(q, inputs, prior)
+        logp, _ = attention.forward(q, inputs, prior[before])
         return -(np.take_along_axis(logp, targets[..., None], -1)[..., 0] * weight).sum() / weight.sum()
 
-    logp, cache = attention.forward(p, inputs, prior)
-    g = attention.gradients(p, logp, cache, targets, weight)
+    g = attention.gradients(p, inputs, before, prior, targets, weight)
     for name, x in p.items():
         for _ in range(4):
             at = tuple(rng.integers(0, n) for n in x.shape)
@@ -173,14 +172,14 @@ def test_every_training_document_teaches_the_network_once(spark):
 
     class Coded(lm.Coded):
         def lessons(self, number):
-            ids, sizes = super().lessons(number)
-            taught.extend(int(x) for x in sizes)
-            return ids, sizes
+            found = super().lessons(number)
+            taught.extend(int(x) for x in found[1])
+            return found
 
     texts = [f"w{k} " * (k + 1) for k in range(50)]
     ids = [*range(49), None]
     held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
-    rounds = spark.createDataFrame([(i, t, h, k % 3) for k, (i, t, h) in enumerate(zip(ids, texts, held, strict=True))], "doc_id bigint, text string, held_out boolean, round bigint")
+    rounds = spark.createDataFrame([(i, t, h, 7 * k) for k, (i, t, h) in enumerate(zip(ids, texts, held, strict=True))], "doc_id bigint, text string, held_out boolean, order bigint")
     subwords = lm.Subwords.load()
     for b in lm.code(rounds, subwords).toArrow().to_batches():
         for k in range(b.num_rows):
@@ -218,3 +217,75 @@ def test_pairs_that_fall_together_are_all_kept():
     assert np.allclose(own, (counts - lm.DISCOUNT) / before[keys // width], rtol=1e-5)
     assert np.allclose(left + np.bincount(keys // width, own, width)[keys // width], 1, atol=1e-4)
     assert not pairs.shares(np.full(width, 7), np.setdiff1d(np.arange(width), keys[keys // width == 7] % width)[:1].repeat(width))[0].any()
+
+
+def test_scores_do_not_depend_on_how_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 1000)
+    texts = [*texts_of(10, 150), *ODD]
+    found = [{r["doc_id"]: r["score"] for r in lm.score(frame(spark, texts, partitions=n)).collect()} for n in (2, 40)]
+    assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-5) for i in range(len(texts)))
+    assert sum(abs(a) for a in found[0].values()) > 1000
+
+
+def test_groups_learn_window_after_window():
+    """Steps are the same whatever portions documents come in, and each subword teaches once."""
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 99, 9000).astype(np.uint16)
+    model = model_of(ids, np.array([len(ids)]), 100)
+    docs = [(g, 0, ids[a : a + n]) for g, a, n in ((0, 0, 5000), (0, 5000, 1), (0, 5001, 64), (1, 6000, 3000))]
+    found = list(lm.learn(model, iter(docs), 1e-2))
+    assert [seen for _, seen in found] == [5065, 3000]
+    for group, (p, _) in enumerate(found):
+        windows = np.concatenate([model.taught(x) for g, _, x in docs if g == group], axis=1)
+        q, adam = {k: x.copy() for k, x in model.params.items()}, attention.Adam(1e-2)
+        for at in range(0, windows.shape[1], lm.BATCH):
+            inputs, classes, wanted = windows[:, at : at + lm.BATCH]
+            adam.step(q, attention.gradients(q, inputs, np.maximum(classes, 0), model.prior, wanted, (classes >= 0).astype(np.float32)))
+        assert all(np.allclose(p[k], q[k], atol=1e-6) for k in q)
+        assert (windows[1] >= 0).sum() == found[group][1]
+
+
+def test_learning_from_context_lowers_the_loss():
+    rng = np.random.default_rng(7)
+    ids = np.tile(rng.permutation(40), 800).astype(np.uint16)  # the next one is always told by the one before
+    model = model_of(ids, np.array([len(ids)]), 100)
+    model.pairs = lm.Pairs(np.zeros(0, np.int64), np.zeros(0), np.ones(100))
+    first = model.score(ids[:2000], np.array([2000])).mean()
+    ((model.params, _),) = lm.learn(model, iter([(0, 0, ids)]), 5e-3)
+    assert model.score(ids[:2000], np.array([2000])).mean() > first + 0.05
+
+
+def token_by_token(model, ids):
+    """log10 of each subword's probability, one after the other, with full sums over ids."""
+    width, out, pairs = len(model.class_of), [], {}
+    keys, n, counts = model.raw
+    for k, c in zip(keys.tolist(), n.tolist(), strict=True):
+        pairs[k] = c
+    p = model.params
+    for j in range(len(ids)):
+        window = 0 if j < lm.WINDOW else 1 + (j - lm.WINDOW) // lm.STRIDE
+        start = window * lm.STRIDE
+        before = [width - 1 if k == 0 else int(ids[k - 1]) for k in range(start, j + 1)]
+        x = p["emb"][model.input_of[before]].astype(float) + p["pos"][: len(before)]
+        q, keys_, v = x[-1] @ p["q"], x @ p["k"], x @ p["v"]
+        a = np.exp(keys_ @ q / math.sqrt(len(q)))
+        h = x[-1] + (a / a.sum()) @ v @ p["o"]
+        y = h + np.maximum(h @ p["w1"], 0) @ p["w2"]
+        z = np.exp(y @ p["out"] + model.prior[model.class_of[before[-1]]])
+        each = (z / z.sum())[model.class_of] * np.exp(model.within)
+        seen = np.array([pairs.get(before[-1] * width + i, 0) for i in range(width)], float)
+        own = np.maximum(seen - lm.DISCOUNT, 0) / counts[before[-1]]
+        each = own + (1 - own.sum()) * each
+        out.append(math.log10(each[ids[j]]))
+    return out
+
+
+def test_scores_equal_a_token_by_token_model():
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 50, 120)
+    model = model_of(ids, np.array([120]), 51)
+    counts = np.bincount(np.append(50, ids[:-1]), minlength=51) + 1.0
+    keys, n = np.unique(np.append(50, ids[:-1]) * 51 + ids, return_counts=True)
+    model.pairs, model.raw = lm.Pairs(keys, n.astype(float), counts), (keys, n, counts)
+    model.params = {k: x + rng.standard_normal(x.shape).astype(np.float32) * 0.1 for k, x in model.params.items()}
+    assert np.allclose(model.score(ids, np.array([120])), token_by_token(model, ids), atol=2e-4)
