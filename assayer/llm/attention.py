@@ -48,6 +48,13 @@ def forward(p: Params, tokens: np.ndarray, prior: np.ndarray) -> tuple[np.ndarra
     return z, (tokens, x, q, k, v, a, c, h, r, y)
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place, of logits bounded by 60, so that sums can't overflow; the highest one alone tells whether any has to be cut."""
+    if x.max() > 60:
+        np.minimum(x, x.dtype.type(60), out=x)
+    return np.exp(x, out=x)
+
+
 def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The log-probability of each wanted class, as forward() has it, with fewer passes over memory.
 
@@ -60,9 +67,7 @@ def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray,
     x += p["pos"][:t]
     flat = x.reshape(-1, d)
     qkv = (flat @ np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
-    s = qkv[..., :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1)
-    np.minimum(s, np.float32(60), out=s)  # no logit comes near; exp can't overflow
-    np.exp(s, out=s)
+    s = _exp(qkv[..., :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1))
     s *= np.tril(np.ones((t, t), np.float32))
     ones = np.ones((n, t, d + 1), np.float32)
     ones[..., :d] = qkv[..., 2 * d :]
@@ -75,8 +80,7 @@ def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray,
     z = h @ p["out"]
     z += np.take(prior, before.ravel(), axis=0)
     chosen = z[np.arange(n * t), wanted.ravel()]
-    np.minimum(z, np.float32(60), out=z)
-    np.exp(z, out=z)
+    _exp(z)
     return (chosen - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(n, t)
 
 
@@ -100,9 +104,7 @@ def gradients(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarr
     flat = x.reshape(-1, d)
     qkv = (flat @ np.concatenate([p["q"] * one(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, one(60), out=a)
-    np.exp(a, out=a)
+    a = _exp(q @ k.transpose(0, 2, 1))
     a *= np.tril(np.ones((t, t), a.dtype))
     a /= (a @ np.ones(t, a.dtype))[..., None]
     c = (a @ v).reshape(-1, d)
@@ -112,8 +114,7 @@ def gradients(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarr
     y = h + r @ p["w2"]
     dz = y @ p["out"]
     dz += np.take(prior, before.ravel(), axis=0)
-    np.minimum(dz, one(60), out=dz)
-    np.exp(dz, out=dz)
+    _exp(dz)
     share = weight.ravel().astype(dz.dtype) / one(max(1.0, float(weight.sum())))
     dz *= (share / (dz @ np.ones(dz.shape[1], dz.dtype)))[:, None]
     dz[np.arange(n * t), wanted.ravel()] -= share

@@ -50,7 +50,7 @@ CLASSES, SINGLE = 48, 32
 #: Ids with embeddings of their own; others share by a hash.
 OWN_INPUTS, SHARED_INPUTS = 960, 64
 WINDOW, STRIDE = 32, 24
-ROUNDS, LEARNING, BATCH = 3, 5e-3, 64
+ROUNDS, LEARNING, BATCH = 3, 5e-3, 128
 #: Training subwords of a group, on average: groups grow in number with the text.
 GROUP = 1 << 20
 #: Windows scored at once.
@@ -93,13 +93,13 @@ class Subwords:
             _LIVE[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}), sizes
         return _LIVE[key]
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, each with a space before it, and how many each word has."""
+    def encode(self, words: list[str], lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, and how many each word has.  lengths: the words' bytes."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         encoding, sizes = self._encoding()
-        ids = np.array(encoding.encode_ordinary(" " + " ".join(words)), np.int64)
-        wanted = np.cumsum([len(w.encode()) + 1 for w in words])
+        ids = encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+        wanted = np.cumsum((np.array([len(w.encode()) for w in words]) if lengths is None else lengths) + 1)
         ends = np.cumsum(sizes[ids])
         at = np.searchsorted(ends, wanted)
         if (ends[at] == wanted).all():
@@ -184,9 +184,9 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
             lengths = np.bincount(doc, minlength=b.num_rows) + 1
             number = np.full(int(lengths.sum()), len(words), narrow(len(words) + 1))
             number[np.arange(len(doc)) + doc] = coded.indices.to_numpy()
-            sub, sizes = subwords.encode(words)
-            hashes = np.array([digest(w) for w in [*words, END_WORD]], np.uint64).view(np.int64)
-            held = np.array(b.column(2).to_pylist(), bool)
+            sub, sizes = subwords.encode(words, pc.binary_length(coded.dictionary).to_numpy())
+            hashes = np.fromiter(map(digest, [*words, END_WORD]), np.uint64, len(words) + 1).view(np.int64)
+            held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             kind_ = narrow(subwords.end + 1)
             sub, sizes = np.append(sub, subwords.end).astype(kind_), np.append(sizes, 1)
             row = [
