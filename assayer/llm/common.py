@@ -44,14 +44,17 @@ class Workspace:
 
     A written table cuts the lineage and outlives its executors, and unlike
     ``checkpoint()`` it doesn't compute its last stage twice.  The folder is the
-    one of ``spark.checkpoint.dir``; only where that is unset (as in tests) one
-    is made.
+    one of ``spark.checkpoint.dir``.  Where that is unset, as in tests, a session
+    in one process gets a temporary one; on a cluster it is an error, as
+    executors don't share local folders.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not top:
+            if not spark.sparkContext.master.partition("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             top = "file://" + tempfile.mkdtemp(prefix="assayer-")
             spark.sparkContext.setCheckpointDir(top)
         self.path = f"{top.rstrip('/')}/assayer-{uuid.uuid4().hex}"

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
+import pytest
 from helpers import ODD, WORDS, folder, frame
 from pyspark.sql import functions as F
 
@@ -49,26 +51,56 @@ def test_counts_and_verdicts(spark, tmp_path):
 
 def test_the_order_follows_rejection_per_cost_and_changes_no_verdict(spark):
     docs = frame(spark, texts_of(5))
-    measured = quality.measure(docs).cache()
     rules = quality.default_rules()
-    ranked = quality.rank_rules(measured, rules)
+    ranked = quality.rank_rules(quality.split(docs).cache(), rules)
     worth = [share / cost for _, cost, share in ranked]
     assert worth == sorted(worth, reverse=True) and {r.name for r, _, _ in ranked} == {r.name for r in rules}
-    verdicts = []
+    shares = {r.name: share for r, _, share in ranked}
+    assert abs(shares["few_words"] - sum(brute(t)[0] < 50 for t in texts_of(5)) / len(texts_of(5))) < 1e-9
+    measured, found = quality.measure(docs).cache(), []
     for order in (rules, rules[::-1], [r for r, _, _ in ranked]):
-        kept, reason = quality.cascade(order)
+        kept, reason = quality.cascade(order, {k: F.col(k) for k in quality.measures()})
         rows = measured.select("doc_id", kept.alias("k"), reason.alias("why")).orderBy("doc_id").collect()
-        verdicts.append([r["k"] for r in rows])
+        found.append([r["k"] for r in rows])
         assert all((r["why"] is None) == r["k"] for r in rows)
-    assert verdicts[0] == verdicts[1] == verdicts[2]
+        alone = quality.verdicts(docs, order=order).orderBy("doc_id").collect()
+        assert [r["kept"] for r in alone] == found[-1]
+    assert found[0] == found[1] == found[2] == [r["kept"] for r in quality.verdicts(docs).orderBy("doc_id").collect()]
+
+
+def test_measures_behind_the_first_rejection_are_not_computed(spark):
+    docs = frame(spark, ["few words", None, "one two three"])
+    boom = quality.Rule("boom", lambda m: F.raise_error(F.lit("not reached")).cast("boolean"))
+    few = quality.default_rules()[0]
+    assert [r["kept"] for r in quality.verdicts(docs, order=[few, boom]).collect()] == [False] * 3
+    with pytest.raises(Exception, match="not reached"):
+        quality.verdicts(docs, order=[boom, few]).collect()
+    kept, reason = quality.cascade([], {})
+    assert [tuple(r) for r in spark.range(1).select(kept, reason).collect()] == [(True, None)]
 
 
-def test_the_cascade_stops_at_the_first_rejection(spark):
-    boom = quality.Rule("boom", F.raise_error(F.lit("not reached")).cast("boolean"))
-    kept, reason = quality.cascade([quality.Rule("all", F.lit(True)), boom])
-    assert [tuple(r) for r in spark.range(2).select(kept, reason).collect()] == [(False, "all")] * 2
-    kept, reason = quality.cascade([])
-    assert [tuple(r) for r in spark.range(1).select(kept, reason).collect()] == [(True, None)]
+def test_short_circuits_save_time(spark):
+    """Texts that the first rule rejects cost a fraction of what all their measures do."""
+    docs = frame(spark, [" ".join(f"w{k}" for k in range(4000))] * 400, partitions=4).cache()
+    docs.count()
+    long = quality.Rule("long", lambda m: m["n_words"] > 1000)
+    slow = quality.default_rules()[1]
+
+    def seconds(order):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert quality.verdicts(docs, order=order).agg(F.count_if("kept")).first()[0] == 0
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds([long, slow]) < 0.6 * seconds([slow, long])
+
+
+def test_very_long_texts(spark):
+    t = " ".join(f"w{k % 70_000}" for k in range(150_000))
+    (row,) = quality.assess(frame(spark, [t])).collect()
+    assert (row["n_words"], row["n_repeat_words"], row["kept"]) == (150_000, 150_000, False)
 
 
 def test_it_runs_no_python(spark, tmp_path):
