@@ -23,6 +23,8 @@ import base64
 import datetime as dt
 import math
 import re
+import sys
+import threading
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Context, Decimal
@@ -407,12 +409,51 @@ class _Reader:
                 raise self.fail("a comma is missing")
 
 
+#: Containers in each other that are read, validated and written at most.
+DEEPEST = 100_000
+#: Bytes of such a stack; only what is used is taken.
+STACK = 1 << 30
+_LOCK = threading.Lock()
+_deep = threading.local()
+
+
+def deeply(f):
+    """f(), which may recurse a few frames for each of DEEPEST levels: if the usual stack is too small, in a thread with a large one.  IonError beyond that."""
+    try:
+        return f()
+    except RecursionError:
+        if getattr(_deep, "inside", False):
+            raise
+    out: list = []
+
+    def run() -> None:
+        _deep.inside = True
+        try:
+            out.append((f(), None))
+        except RecursionError:
+            out.append((None, IonError(f"nested deeper than {DEEPEST}")))
+        except BaseException as e:  # noqa: BLE001
+            out.append((None, e))
+
+    with _LOCK:
+        limit, size = sys.getrecursionlimit(), threading.stack_size(STACK)
+        sys.setrecursionlimit(12 * DEEPEST)
+        try:
+            thread = threading.Thread(target=run)
+            thread.start()
+            thread.join()
+        finally:
+            threading.stack_size(size)
+            sys.setrecursionlimit(limit)
+    value, error = out[0]
+    if error is not None:
+        raise error
+    return value
+
+
 def read_all(text: str) -> list[Element]:
     """The top-level values of an Ion text."""
-    try:
-        return _Reader(text).all()
-    except RecursionError as e:
-        raise IonError("nested too deep") from e
+    return deeply(lambda: _Reader(text).all())
 
 
 def read_one(text: str) -> Element:
@@ -451,6 +492,10 @@ def _decimal(d: Decimal) -> str:
 
 def write(e: Element) -> str:
     """The value as Ion text."""
+    return deeply(lambda: _write(e))
+
+
+def _write(e: Element) -> str:
     notes = "".join(f"{symbol(a)}::" for a in e.annotations)
     v = e.value
     if v is None:
@@ -471,11 +516,11 @@ def write(e: Element) -> str:
         body = "".join(chr(b) if 32 <= b < 127 and b not in (34, 92) else f"\\x{b:02x}" for b in v)
         text = f'{{{{"{body}"}}}}'
     elif e.type == "list":
-        text = "[" + ", ".join(map(write, v)) + "]"
+        text = "[" + ", ".join(map(_write, v)) + "]"
     elif e.type == "sexp":
-        text = "(" + " ".join(map(write, v)) + ")"
+        text = "(" + " ".join(map(_write, v)) + ")"
     elif e.type == "struct":
-        text = "{" + ", ".join(f"{symbol(k)}: {write(x)}" for k, x in v) + "}"
+        text = "{" + ", ".join(f"{symbol(k)}: {_write(x)}" for k, x in v) + "}"
     else:
         text = str(v)
     return notes + text

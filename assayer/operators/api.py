@@ -54,7 +54,9 @@ def validate(df: DataFrame, type_: str | Type, schema: Schema | None = None, col
     """mode: flag adds is_valid, filter keeps valid rows, reject keeps the others, violations adds is_valid and violations, report gives result, value, schema and violation.
 
     A type that expressions can't say (recursive, over a VARIANT) is interpreted
-    on the JSON text of the value, which is Ion text too.
+    on the JSON text of the value, which is Ion text too.  Modes flag and
+    violations replace columns of those names; filter and reject keep all
+    columns as they are.
     """
     t = _type(schema, type_)
     try:
@@ -80,14 +82,17 @@ def validate(df: DataFrame, type_: str | Type, schema: Schema | None = None, col
     )
 
 
+def _unused(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _interpreted(df: DataFrame, t: Type, col, mode: str, schema: Schema | None) -> DataFrame:
     expr = F.struct(*df.columns) if col is None else F.col(col) if isinstance(col, str) else col
-    text = F.to_json(expr)
-    out = validate_ion(df.withColumn("_ion", text), "_ion", t, mode="flag" if mode in ("filter", "reject") else mode, schema=schema)
-    if mode == "report":
-        return out
-    out = out.drop("_ion")
-    return out.where("is_valid").drop("is_valid") if mode == "filter" else out.where("not is_valid").drop("is_valid") if mode == "reject" else out
+    text = _unused("_ion", df)
+    out = validate_ion(df.withColumn(text, F.to_json(expr)), text, t, mode=mode, schema=schema)
+    return out if mode == "report" else out.drop(text)
 
 
 def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | None = None, mode: str = "flag", document: bool = False) -> DataFrame:
@@ -112,7 +117,8 @@ def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | No
                 yield pa.RecordBatch.from_arrays([pa.array(["Invalid" if v else "Valid" for v in found], pa.string()), pa.array(texts, pa.string()), pa.array([name] * len(texts), pa.string()), pa.array([v.tree() if v else None for v in found], pa.string())], ["result", "value", "schema", "violation"])
 
         return df.select(col).mapInArrow(report, "result string, value string, schema string, violation string")
-    rest = [c for c in df.columns if c not in ("is_valid", "violations")]
+    verdict = _unused("_valid", df) if mode in ("filter", "reject") else "is_valid"
+    rest = [c for c in df.columns if c not in (verdict, "violations" if mode == "violations" else verdict)]
     df = df.select(*rest)
     at = rest.index(col)
     leaf = pa.list_(pa.struct([(k, pa.string()) for k in ("constraint", "code", "message", "path")]))
@@ -124,13 +130,15 @@ def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | No
             if mode == "violations":
                 rows = [sorted(x.row() for x in v.leaves()) if v else [] for v in found]
                 more.append(pa.array([[dict(zip(("constraint", "code", "message", "path"), x, strict=True)) for x in r] for r in rows], leaf))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*rest, "is_valid", *["violations"] * (mode == "violations")])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*rest, verdict, *["violations"] * (mode == "violations")])
 
-    schema_ = T.StructType([*df.schema.fields]).add("is_valid", "boolean")
+    schema_ = T.StructType([*df.schema.fields]).add(verdict, "boolean")
     if mode == "violations":
         schema_ = schema_.add("violations", T._parse_datatype_string(LEAF))
     out = df.mapInArrow(flag, schema_)
-    return out.where("is_valid").drop("is_valid") if mode == "filter" else out.where("not is_valid").drop("is_valid") if mode == "reject" else out
+    if mode in ("filter", "reject"):
+        return out.where(F.col(verdict) if mode == "filter" else ~F.col(verdict)).drop(verdict)
+    return out
 
 
 def validate_document(df: DataFrame, type_: str | Type, schema: Schema | None = None, col: str | Column | None = None, by: list[str] | None = None, order_by: str | None = None, options: Options | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from assayer.functions.ion import Element
@@ -79,6 +80,14 @@ class Automaton:
         return state.bitwiseAND(F.lit(self.accepting).cast("long")) != 0
 
 
+def _comparable(a: T.DataType, b: T.DataType) -> bool:
+    """Whether values of both types may be the same Ion value; SQL widens the narrower one."""
+    for kinds in ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType), (T.DecimalType,), (T.TimestampType, T.TimestampNTZType, T.DateType), (T.StringType, T.VarcharType, T.CharType)):
+        if isinstance(a, kinds) and isinstance(b, kinds):
+            return True
+    return a == b
+
+
 class Compiler:
     def __init__(self, options: Options | None = None):
         self.options = options or Options()
@@ -255,7 +264,8 @@ class Compiler:
             members = list(v.members().values())
             parts = [either(m.absent(), self.ref(r, m)) for m in members]
             if distinct:
-                parts += [negated(sure(a.col == b.col)) for k, a in enumerate(members) for b in members[:k] if a.dtype == b.dtype]
+                # Members of one Ion type are compared, whatever their SQL types: 1 and 1L are the same int.
+                parts += [negated(sure(a.col == b.col)) for k, a in enumerate(members) for b in members[:k] if _comparable(a.dtype, b.dtype)]
             return both(kind, *parts)
         # Whether the elements' data type decides shows on any element.
         parts = [sure(F.forall(items, lambda x: column(self.ref(r, v.child(x)))))]

@@ -16,7 +16,7 @@ def read_ion(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """file, position, value (Ion text) and error of the top-level values of files, text or binary.
 
     lines: each line of text files is read by itself, so large files are split
-    among tasks; otherwise a file is read whole.  What isn't Ion gives one row
+    among tasks; otherwise a file is one task's row and has to fit its memory.  What isn't Ion gives one row
     with an error.
     """
     if lines:

@@ -22,18 +22,23 @@ def validate_stream(stream: DataFrame, type_, schema=None, **options) -> DataFra
     return validate(stream, type_, schema, **options)
 
 
-def quarantine(stream: DataFrame, type_, schema, good: str, bad: str, checkpoint: str, col=None, options=None) -> StreamingQuery:
-    """Valid rows to one Parquet folder, others with their violations to another; each batch is checked once."""
+def quarantine(stream: DataFrame, type_, schema, good: str, bad: str, checkpoint: str, col=None, options=None, trigger: dict | None = None) -> StreamingQuery:
+    """Valid rows to one Parquet folder, others with their violations to another; each batch is checked once.
+
+    A batch has a folder of its own (batch=number), which a batch that is
+    replayed after a failure replaces, so no row comes twice.  trigger: arguments
+    of DataStreamWriter.trigger; by default all that is there, and then an end.
+    """
 
     def split(batch: DataFrame, number: int) -> None:
         checked = validate(batch, type_, schema, col, "violations", options).persist()
         try:
-            checked.where("is_valid").drop("is_valid", "violations").write.mode("append").parquet(good)
-            checked.where("not is_valid").write.mode("append").parquet(bad)
+            checked.where("is_valid").drop("is_valid", "violations").write.mode("overwrite").parquet(f"{good}/batch={number}")
+            checked.where("not is_valid").write.mode("overwrite").parquet(f"{bad}/batch={number}")
         finally:
             checked.unpersist()
 
-    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed_validity(stream: DataFrame, type_, schema, time: str, window: str, delay: str, col=None, options=None, where: Callable | None = None) -> DataFrame:

@@ -134,9 +134,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "good")).count() == 10
     bad = spark.read.parquet(str(tmp_path / "bad"))
     assert bad.count() == 10 and bad.where("size(violations) = 1").count() == 10
+    # A batch that is replayed replaces what it wrote.
+    import shutil
+
+    shutil.rmtree(tmp_path / "mark")
+    quarantine(stream(), "t", schema, *(str(tmp_path / d) for d in ("good", "bad", "mark")), trigger={"once": True}).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 10
     kept = validate_stream(stream(), "t", schema, mode="filter").writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     kept.awaitTermination()
     assert spark.table("kept").count() == 10
     counted = windowed_validity(stream(), "t", schema, "at", "10 minutes", "1 minute").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert sorted((r["n_valid"], r["n_invalid"]) for r in spark.table("counted").collect()) == [(0, 10), (10, 0)]
+
+
+def test_columns_of_the_caller_are_kept(spark):
+    """By modes that add none, whatever their names; also where a type is interpreted."""
+    schema = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, one_of: [int, {type: list, element: t}]}", "s")
+    df = spark.createDataFrame([("[1]", "x", 7, 1.5), ("[a]", "y", 8, 2.5)], "j string, _ion string, is_valid int, _valid double").withColumn("v", F.expr("try_parse_json(replace(j, 'a', '\"a\"'))"))
+    for mode, want in (("filter", ("x", 7, 1.5)), ("reject", ("y", 8, 2.5))):
+        out = validate(df, "t", schema, "v", mode=mode)
+        assert out.columns == df.columns and [(r["_ion"], r["is_valid"], r["_valid"]) for r in out.collect()] == [want]
+    flagged = validate(df, "t", schema, "v").select("_ion", "is_valid").collect()
+    assert sorted(map(tuple, flagged)) == [("x", True), ("y", False)]

@@ -220,3 +220,12 @@ def test_documents_of_any_length(spark):
     assert validate_document(df.limit(0), "t", schema, "x", order_by="at").first()["is_valid"] is False
     plan = validate_document(df, "t", schema, "x", by=["g"], order_by="at")._jdf.queryExecution().toString()
     assert "rangepartitioning" in plan
+
+
+def test_distinct_members_of_different_sql_types(spark):
+    """1 and 1L are one Ion int; an int and a double are two values."""
+    t = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, element: distinct::any}", "s")["t"]
+    df = spark.sql("SELECT * FROM VALUES (named_struct('a', 1, 'b', 1L)), (named_struct('a', 1, 'b', 2L)) v(s)")
+    assert [r[0] for r in df.select(is_valid(df, t, col="s")).collect()] == [False, True]
+    df = spark.sql("SELECT named_struct('a', 1, 'b', 1D, 'c', '1') s")
+    assert [r[0] for r in df.select(is_valid(df, t, col="s")).collect()] == [True]

@@ -86,3 +86,16 @@ def test_known_bytes():
 def test_broken_binary(data):
     with pytest.raises(IonError):
         read_any(bytes.fromhex(data.replace(" ", "")))
+
+
+def test_values_nested_deeply():
+    from assayer.operators.interpret import validate
+    from assayer.plans.system import BUILTINS, SchemaSystem
+
+    t = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, one_of: [int, {type: list, element: t}]}", "s")["t"]
+    for n in (10, 900, 3000):
+        text = "[" * n + "5" + "]" * n
+        value = read_all(text)[0]
+        assert write(value) == text and validate(value, BUILTINS["any"]) is None and validate(value, t) is None
+        found = validate(read_all(text.replace("5", "a"))[0], t)
+        assert len(found.leaves()) >= 1 and found.tree().count("\n") >= n
