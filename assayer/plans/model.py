@@ -25,7 +25,6 @@ ONLY = {"field_names": 2, "exponent": 2, "scale": 1}
 OPTIONAL, REQUIRED = Range("count", ranges.Limit(0), ranges.Limit(1)), Range.single("count", 1)
 _RESERVED = re.compile(r"\$ion_schema(_.*)?|[a-z][a-z0-9]*(_[a-z0-9]+)*$")
 _MARKER = re.compile(r"\$ion_schema_\d.*")
-_KEYWORDS_2 = {"schema_header", "schema_footer", "type"}
 
 
 @dataclass(frozen=True)
@@ -163,6 +162,8 @@ class Parser:
             nullability = "nullable"
         elif self.version == 2 and "$null_or" in notes:
             nullability = "$null_or"
+        elif self.version == 1 and "$null_or" in notes:
+            raise _bad(f"$null_or needs version 2: {e}")
         if self.version == 2 and any(a != "$null_or" for a in notes):
             raise _bad(f"unexpected annotations on a type reference: {e}")
         if e.is_null or e.type not in ("symbol", "struct"):
@@ -382,7 +383,7 @@ def parse_schema(elements: list[Element], schema_id: str) -> IslSchema:
             footer = True
             _undeclared(schema, e, "schema_footer", ())
         else:
-            if schema.version == 2 and any(a.startswith("$ion_schema") or a in _KEYWORDS_2 for a in e.annotations):
+            if schema.version == 2 and any(_RESERVED.fullmatch(a) for a in e.annotations):
                 raise _bad(f"open content has a reserved annotation: {e}")
             schema.open_content.append(e)
     if header != footer:
