@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 Params = dict[str, np.ndarray]
@@ -55,6 +57,12 @@ def _exp(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
+@lru_cache
+def _mask(t: int, dtype: np.dtype) -> np.ndarray:
+    """1 where a place may look: at itself and what is before it."""
+    return np.tril(np.ones((t, t), dtype))
+
+
 def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The log-probability of each wanted class, as forward() has it, with fewer passes over memory.
 
@@ -68,15 +76,14 @@ def score(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray,
     flat = x.reshape(-1, d)
     qkv = (flat @ np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
     s = _exp(qkv[..., :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1))
-    s *= np.tril(np.ones((t, t), np.float32))
-    ones = np.ones((n, t, d + 1), np.float32)
-    ones[..., :d] = qkv[..., 2 * d :]
-    c = (s @ ones).reshape(-1, d + 1)
-    c, total = c[:, :d], c[:, d:]
-    h = flat + (c / np.maximum(total, np.float32(1e-30))) @ p["o"]
+    s *= _mask(t, s.dtype)
+    c = (s @ qkv[..., 2 * d :]).reshape(-1, d)
+    c /= np.maximum(s @ np.ones(t, s.dtype), s.dtype.type(1e-30)).reshape(-1, 1)
+    h = c @ p["o"]
+    h += flat
     r = h @ p["w1"]
-    np.maximum(r, 0, out=r)
-    h += r @ p["w2"]
+    r += np.abs(r)  # twice what is above 0
+    h += r @ (p["w2"] * p["w2"].dtype.type(0.5))
     z = h @ p["out"]
     z += np.take(prior, before.ravel(), axis=0)
     chosen = z[np.arange(n * t), wanted.ravel()]
@@ -105,7 +112,7 @@ def gradients(p: Params, inputs: np.ndarray, before: np.ndarray, prior: np.ndarr
     qkv = (flat @ np.concatenate([p["q"] * one(d**-0.5), p["k"], p["v"]], axis=1)).reshape(n, t, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = _exp(q @ k.transpose(0, 2, 1))
-    a *= np.tril(np.ones((t, t), a.dtype))
+    a *= _mask(t, a.dtype)
     a /= (a @ np.ones(t, a.dtype))[..., None]
     c = (a @ v).reshape(-1, d)
     h = flat + c @ p["o"]

@@ -54,7 +54,7 @@ ROUNDS, LEARNING, BATCH = 3, 5e-3, 128
 #: Training subwords of a group, on average: groups grow in number with the text.
 GROUP = 1 << 20
 #: Windows scored at once.
-AT_ONCE = 128
+AT_ONCE = 64
 #: Tasks get so many of the most frequent id pairs at most, others are joined; and what is taken off the counts of all.
 PAIRS, DISCOUNT = 1 << 20, 0.75
 #: Tasks get the counts of so many of the most frequent words at most; those of other words are joined.

@@ -4,7 +4,8 @@ One pass over a text's characters keeps the automaton's state; at each position
 the output links give every piece that ends there, and each relaxes the best
 score of the position.  The result is the segmentation of the highest summed
 piece score (unigram encoding), with UTF-8 byte pieces for characters outside
-the vocabulary.  No piece continues across a space or a newline, so the pass is
+the vocabulary; for a vocabulary that was made for merges its ids may differ
+from those that merging in order gives, and decoding is exact all the same.  No piece continues across a space or a newline, so the pass is
 cut there, and the segments of recurring words are remembered (bounded).
 """
 
@@ -22,7 +23,8 @@ from assayer.llm.pieces import PIECES, SPACE, Automaton, Vocabulary, vocabulary
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+#: Words of 64 characters at most that a worker remembers, and units of them as well: some 60 MB each.
+REMEMBERED = 200_000
 _LIVE: dict[str, PieceCodec] = {}
 
 
