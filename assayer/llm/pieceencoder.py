@@ -23,8 +23,8 @@ from assayer.llm.pieces import PIECES, SPACE, Automaton, Vocabulary, vocabulary
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words of 64 characters at most that a worker remembers, and units of them as well: some 60 MB each.
-REMEMBERED = 200_000
+#: Words of 64 characters at most that a worker remembers, and units of them as well: some 120 MB each at most.
+REMEMBERED = 400_000
 _LIVE: dict[str, PieceCodec] = {}
 
 
