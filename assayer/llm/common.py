@@ -39,6 +39,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast.
+
+    Spark estimates a table's size by its compressed file and doesn't count what
+    explode() adds, so what passes for small may be many times that, on the driver first.
+    """
+    return df.hint("merge")
+
+
 class Workspace:
     """Tables in the folder that driver and executors share.
 
@@ -49,6 +58,9 @@ class Workspace:
     executors don't share local folders.
     """
 
+    #: The driver's heap as the last collection left it, in bytes.
+    left = 0
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -61,8 +73,21 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.tidy()
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def tidy(self) -> None:
+        """Collects the driver's garbage once its heap takes over half of its limit.
+
+        A heap that grows is kept, and with it every shuffle and broadcast that
+        waits for a collection.  A heap that is full of live objects is left
+        alone until it grows by a quarter.
+        """
+        heap = self.spark._jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > max(heap.maxMemory() / 2, Workspace.left * 1.25):
+            self.spark._jvm.System.gc()
+            Workspace.left = heap.totalMemory()
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing will read again."""
         jvm = self.spark._jvm

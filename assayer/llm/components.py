@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Workspace
+from assayer.llm.common import Workspace, sorted_join
 
 
 def components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
@@ -20,10 +20,10 @@ def components(links: DataFrame, work: Workspace, name: str = "components") -> D
     step = 0
     while True:
         step += 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        own = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("new"))
+        near = both.join(sorted_join(labels), both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
+        own = labels.join(sorted_join(near), labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("new"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        merged = own.join(jump, own["new"] == jump["at"]).select("node", "old", F.least("new", "further").alias("component"))
+        merged = own.join(sorted_join(jump), own["new"] == jump["at"]).select("node", "old", F.least("new", "further").alias("component"))
         merged = work.write(merged, f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")
         labels = merged.select("node", "component")

@@ -182,3 +182,54 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     rows = list(enumerate(texts))
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, texts)).collect()}
     assert out == {i: (n, c) for i, n, c, _ in brute(rows)}
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are written, as text."""
+    found, write = [], Workspace.write
+
+    def noted(self, df, name):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    return found
+
+
+def copies(spark, seed):
+    rng = random.Random(seed)
+    texts = [prose(rng, 60) for _ in range(12)]
+    return frame(spark, [*texts, *(edited(rng, t, 1) for t in texts), *texts[:4]])
+
+
+def test_distinct_documents_send_no_table_to_the_driver(spark, plans):
+    left = neardup.distinct_documents(copies(spark, 41), threshold=80)
+    plans.append(left._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_the_drivers_heap_is_collected_when_it_is_half_full():
+    from types import SimpleNamespace as Fake
+
+    heap = Fake(total=0, most=1000, collected=0, shrinks_to=300)
+
+    def collect():
+        heap.collected += 1
+        heap.total = heap.shrinks_to
+
+    runtime = Fake(totalMemory=lambda: heap.total, maxMemory=lambda: heap.most)
+    work = Workspace.__new__(Workspace)
+    work.spark = Fake(_jvm=Fake(java=Fake(lang=Fake(Runtime=Fake(getRuntime=lambda: runtime))), System=Fake(gc=collect)))
+    before = Workspace.left
+    try:
+        Workspace.left = 0
+        collected = []
+        for total, shrinks_to in [(400, 300), (600, 300), (400, 300), (900, 700), (800, 700), (900, 700)]:
+            heap.total, heap.shrinks_to = total, shrinks_to
+            work.tidy()
+            collected.append(heap.collected)
+        assert collected == [0, 1, 1, 2, 2, 3]
+    finally:
+        Workspace.left = before
