@@ -303,9 +303,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lowest = named.where("linked").groupBy("component").agg(F.min("first").alias("component_id"))
     # A component may hold a third of all nodes: its row is sent to SPREAD tasks, which share its nodes.
     lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    linked = named.where("linked").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(lowest, ["component", "salt"])
+    linked = named.where("linked").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(sorted_join(lowest), ["component", "salt"])
     result = work.write(linked.select("node", "component_id").union(named.where("not linked").select("node", "first")), "result")
-    own = features.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = features.join(sorted_join(result), "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

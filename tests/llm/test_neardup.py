@@ -233,3 +233,9 @@ def test_the_drivers_heap_is_collected_when_it_is_half_full():
         assert collected == [0, 1, 1, 2, 2, 3]
     finally:
         Workspace.left = before
+
+
+def test_components_ids_send_no_table_to_the_driver(spark, plans):
+    found = neardup.near_duplicates(copies(spark, 42))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
