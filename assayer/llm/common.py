@@ -48,6 +48,18 @@ def sorted_join(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+@contextlib.contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """What runs inside reads Parquet a row at a time: for rows of megabytes, of which Spark's reader else holds a whole row group."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Workspace:
     """Tables in the folder that driver and executors share.
 

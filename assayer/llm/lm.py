@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import attention
-from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, mapped, slices, table
+from assayer.llm.common import TOKENIZERS, Workspace, arrays, columns, id_fold, mapped, row_by_row, slices, table
 from assayer.llm.gear import HashFilter
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -301,14 +301,15 @@ class Pairs:
     def find(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs' keys, own probability (0 if they aren't here), and whether they may be among the others."""
         if self._table is None:
-            keys, values, at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32), self.slot(self.pairs)
-            keys[at], values[at] = self.pairs, self.share
-            self._table = keys, values
-        keys, values = self._table
+            # A slot has its pair's place; empty ones have the first, whose key tells.
+            self._table = np.zeros(1 << self.bits, np.int32)
+            self._table[self.slot(self.pairs)] = np.arange(len(self.pairs), dtype=np.int32)
         key = before.astype(np.int64) * self.width + ids
-        at = self.slot(key)
-        here = keys[at] == key
-        share = np.where(here, values[at], np.float32(0))
+        share, here = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
+        if len(self.pairs):
+            at = self._table[self.slot(key)]
+            here = self.pairs[at] == key
+            share = np.where(here, self.share[at], np.float32(0))
         if len(self.met):
             ask = np.flatnonzero(~here)
             at = np.minimum(np.searchsorted(self.met, key[ask]), len(self.met) - 1)
@@ -530,7 +531,8 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
                 # The last entry adds up the weights.
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "x"])
 
-        place, found = arrays(mapped(lessons(coded, number, groups), run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
+        with row_by_row(coded.sparkSession):
+            place, found = arrays(mapped(lessons(coded, number, groups), run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")), "i", "x")  # a row a parameter
         found = found[np.argsort(place)]
         if len(found) and found[-1] > 0:
             model.params = attention.unpack(model.params, found[:-1] / found[-1])
@@ -555,7 +557,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     order = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 62) - 1))
     kind = dict(own.dtypes)["doc_id"]
     coded = work.write(code(own.withColumn("held_out", held).withColumn("order", order), subwords), "coded")
-    counted = work.write(tally(coded, subwords.end), "counts")
+    with row_by_row(work.spark):
+        counted = work.write(tally(coded, subwords.end), "counts")
     words = counted.where("kind = 0").select("key", "n")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, denominator = total["n"] or 0, (total["n"] or 0) + total["v"] + 1
@@ -589,7 +592,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             values = [row["ids"].values, c.held_out, c.lengths, sums(known.astype(np.int64), c.lengths), sums(base[c.number], c.lengths), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), asked), pa.ListArray.from_arrays(by_pair, open_pairs)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
 
-    scored = work.write(mapped(coded.select("ids", *FIELDS, "words"), finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
+    with row_by_row(work.spark):
+        scored = work.write(mapped(coded.select("ids", *FIELDS, "words"), finish, ddl).withColumn("doc", F.monotonically_increasing_id()), "scored")
     work.drop("coded")
     asked = scored.select("doc", F.explode("rare").alias("key"))
     c = F.coalesce(F.col("n"), F.lit(0))

@@ -289,3 +289,28 @@ def test_scores_equal_a_token_by_token_model():
     model.pairs, model.raw = lm.Pairs(keys, n.astype(float), counts), (keys, n, counts)
     model.params = {k: x + rng.standard_normal(x.shape).astype(np.float32) * 0.1 for k, x in model.params.items()}
     assert np.allclose(model.score(ids, np.array([120])), token_by_token(model, ids), atol=2e-4)
+
+
+def test_the_table_of_pairs_takes_four_bytes_a_slot():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 300 * 300, 20_000))
+    pairs = lm.Pairs(keys, rng.integers(1, 50, len(keys)).astype(float), np.full(300, 10_000.0))
+    ask = np.arange(300 * 300)
+    key, own, may = pairs.find(ask // 300, ask % 300)
+    assert np.array_equal(key[own > 0], keys) and not may.any()
+    assert pairs._table.nbytes == 4 << pairs.bits
+
+
+def test_coded_rows_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    at, read, before = {}, [], spark.conf.get(key)
+    write, gathered = lm.Workspace.write, lm.arrays
+    monkeypatch.setattr(lm.Workspace, "write", lambda self, df, name: (at.update({name: spark.conf.get(key)}), write(self, df, name))[1])
+    monkeypatch.setattr(lm, "arrays", lambda df, *names: (read.append((names, spark.conf.get(key))), gathered(df, *names))[1])
+    texts = texts_of(6, 60)
+    n = lm.op6_attention_lm(spark, folder(spark, tmp_path, texts)).count()
+    assert n == len(texts) and spark.conf.get(key) == before
+    assert (at["counts"], at["scored"]) == ("1", "1")
+    # The class pairs, the network's rounds, and the tables of pairs and words.
+    assert [x for names, x in read if names == ("i", "x")] == [before, *["1"] * lm.ROUNDS]
+    assert [x for names, x in read if names == ("key", "n")] == [before, before]
