@@ -55,6 +55,8 @@ ROUNDS, LEARNING, BATCH = 3, 5e-3, 128
 GROUP = 1 << 20
 #: Windows scored at once.
 AT_ONCE = 64
+#: Subwords scored at once, so that what is known of each stays in the processor's memory (a longer document is a portion of its own).
+PORTION = 1 << 16
 #: Tasks get so many of the most frequent id pairs at most, others are joined; and what is taken off the counts of all.
 PAIRS, DISCOUNT = 1 << 20, 0.75
 #: Tasks get the counts of so many of the most frequent words at most; those of other words are joined.
@@ -90,15 +92,16 @@ class Subwords:
             sizes = np.zeros(len(self.ranks), np.int64)
             for piece, rank in self.ranks.items():
                 sizes[rank] = len(piece)
-            _LIVE[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}), sizes
+            # Without a special token tiktoken looks for the empty string, at each place; this one has white space, as no word does, and isn't allowed either.
+            _LIVE[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={"\n<none>\n": self.end}), sizes
         return _LIVE[key]
 
-    def encode(self, words: list[str], lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, each with a space before it, and how many each word has.  lengths: the words' bytes."""
+    def encode(self, words: list[str], lengths: np.ndarray | None = None, joined: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, and how many each word has.  lengths: the words' bytes.  joined: the words with a space between them."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         encoding, sizes = self._encoding()
-        ids = encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+        ids = encoding.encode_to_numpy(" " + (" ".join(words) if joined is None else joined), disallowed_special=())
         wanted = np.cumsum((np.array([len(w.encode()) for w in words]) if lengths is None else lengths) + 1)
         ends = np.cumsum(sizes[ids])
         at = np.searchsorted(ends, wanted)
@@ -151,8 +154,9 @@ class Coded:
         before[np.cumsum(self.lengths) - self.lengths] = end
         training = np.repeat(~self.held_out, self.lengths)
         across = (before * width + sub[first[self.number]])[training]
-        key, count = np.unique(across, return_counts=True)
-        return np.concatenate([sub[at - 1] * width + sub[at], key]), np.concatenate([n, count])
+        across.sort()
+        new = np.flatnonzero(np.diff(across, prepend=-1))
+        return np.concatenate([sub[at - 1] * width + sub[at], across[new]]), np.concatenate([n, np.diff(new, append=len(across))])
 
 
 def expand(number: np.ndarray, lengths: np.ndarray, sub: np.ndarray, sub_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +184,13 @@ def code(docs: DataFrame, subwords: Subwords) -> DataFrame:
             used = pc.not_equal(flat, "")
             doc = pc.list_parent_indices(lists).filter(used).to_numpy()
             coded = flat.filter(used).dictionary_encode()
-            words = coded.dictionary.to_pylist()
+            spaced = pc.binary_join_element_wise(coded.dictionary, *(pa.scalar(x, coded.dictionary.type) for x in ("", " ")))  # a space behind each word; one string of them is made faster than each
+            joined = spaced.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(spaced)).as_py() - 1].decode() if len(spaced) else ""
+            words = joined.split(" ") if joined else []  # no word has a space
             lengths = np.bincount(doc, minlength=b.num_rows) + 1
             number = np.full(int(lengths.sum()), len(words), narrow(len(words) + 1))
             number[np.arange(len(doc)) + doc] = coded.indices.to_numpy()
-            sub, sizes = subwords.encode(words, pc.binary_length(coded.dictionary).to_numpy())
+            sub, sizes = subwords.encode(words, pc.binary_length(coded.dictionary).to_numpy(), joined)
             hashes = np.fromiter(map(digest, [*words, END_WORD]), np.uint64, len(words) + 1).view(np.int64)
             held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             kind_ = narrow(subwords.end + 1)
@@ -233,8 +239,17 @@ def _over(df: DataFrame, ddl: str, gather: Callable[[Iterator], Iterator[list]])
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    if len(key) and key.min() >= 0 and int(key.max()) >> 32 == 0 and int(n.max()) >> 31 == 0:
+        # Both in one number: sorting it is faster than sorting an order.
+        both = key << 31 | n
+        both.sort()
+        key, n = both >> 31, both & (1 << 31) - 1
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    return key[first], np.add.reduceat(n, first)
 
 
 def tally(coded: DataFrame, end: int) -> DataFrame:
@@ -245,10 +260,14 @@ def tally(coded: DataFrame, end: int) -> DataFrame:
 
         def out() -> Iterator[list]:
             for kind, found in held.items():
-                if found:
-                    key, n = _merged(*zip(*found, strict=True))
+                for key, n in found:
                     yield [np.full(len(key), kind, np.int32), key, n]
-                    found.clear()
+                found.clear()
+
+        def merge() -> int:
+            for found in held.values():
+                found[:] = [_merged(*zip(*found, strict=True))] if found else []
+            return sum(len(key) for found in held.values() for key, _ in found)
 
         for c in rows:
             n = c.counts()
@@ -257,8 +276,11 @@ def tally(coded: DataFrame, end: int) -> DataFrame:
                 held[kind].append((key[m > 0], m[m > 0]))
                 size += len(m)
             if size > 1 << 21:
-                yield from out()
-                size = 0
+                size = merge()
+                if size > 1 << 20:
+                    yield from out()
+                    size = 0
+        merge()
         yield from out()
         seen = np.flatnonzero(ids)
         yield [np.ones(len(seen), np.int32), seen, ids[seen].astype(np.int64)]
@@ -392,28 +414,31 @@ class Model:
         return out
 
     def windows(self, ids: np.ndarray, sizes: np.ndarray, size: int = AT_ONCE):
-        """Of the windows over all documents, in batches: inputs, classes before them, places in ids, and what the window scores."""
-        begin = np.cumsum(sizes) - sizes
+        """Of the windows over all documents, in batches: inputs, and of the places that aren't context alone the classes before them, places in ids, and what the window scores.  Places behind a document's end may be anyone's, or none."""
         many = np.where(sizes > WINDOW, 1 + -(-(sizes - WINDOW) // STRIDE), 1)
         doc = np.repeat(np.arange(len(sizes)), many)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
         before = self.before(ids, sizes)
-        inputs, classes = self.input_of[before], self.class_of[before]
-        step = np.arange(WINDOW)
-        for a in range(0, len(doc), size):
-            d, first = doc[a : a + size, None], k[a : a + size, None] * STRIDE
-            place = first + step
-            scored = (place < sizes[d]) & ((first == 0) | (step >= WINDOW - STRIDE))
-            place = begin[d] + np.minimum(place, sizes[d] - 1)
-            yield inputs[place], classes[place], place, scored
+        begin, left = (np.cumsum(sizes) - sizes)[doc] + k * STRIDE, sizes[doc] - k * STRIDE
+        inputs, classes = (np.append(np.take(x, before, mode="clip"), np.zeros(WINDOW, x.dtype)) for x in (self.input_of, self.class_of))
+        for which, context in ((np.flatnonzero(k == 0), 0), (np.flatnonzero(k), WINDOW - STRIDE)):
+            step = np.arange(context, WINDOW)
+            each, own = (np.lib.stride_tricks.sliding_window_view(x, n) for x, n in ((inputs, WINDOW), (classes, WINDOW - context)))
+            for a in range(0, len(which), size):
+                at = which[a : a + size]
+                first = begin[at]
+                yield each[first], own[first + context], first[:, None] + step, step < left[at, None]
 
     def taught(self, ids: np.ndarray) -> np.ndarray:
         """One document's windows to learn from, side by side: inputs, classes before (-1 behind the text's end) and wanted classes, as int32."""
-        many = -(-len(ids) // WINDOW)
-        before = self.before(ids, np.array([len(ids)]))
-        out = np.zeros((3, many * WINDOW), np.int32)
-        out[1] = -1
-        out[:, : len(ids)] = self.input_of[before], self.class_of[before], self.class_of[ids]
+        many, n = -(-len(ids) // WINDOW), len(ids)
+        end = len(self.class_of) - 1
+        out = np.empty((3, many * WINDOW), np.int32)
+        out[0, 0], out[1, 0] = self.input_of[end], self.class_of[end]
+        np.take(self.input_of, ids[:-1], out=out[0, 1:n], mode="clip")
+        np.take(self.class_of, ids, out=out[2, :n], mode="clip")
+        out[1, 1:n] = out[2, : n - 1]
+        out[:, n:] = [[0], [-1], [0]]
         return out.reshape(3, many, WINDOW)
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -422,12 +447,23 @@ class Model:
 
     def parts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """log10 of each subword's probability but for pairs that have to be asked for; whose these are; their keys, the first ids' counts and what else the probability has."""
+        scorer, ends = attention.Scorer(self.params, self.prior), np.cumsum(sizes)
+        last = np.flatnonzero(np.diff((ends - 1) // PORTION, append=-1))  # of each portion's documents
+        found, asked, keys, counts, others = [], [], [], [], []
+        for a, b in zip([0, *(last[:-1] + 1)], last + 1, strict=True):
+            start = ends[a] - sizes[a]
+            x, at, (key, count, other) = self._parts(ids[start : ends[b - 1]], sizes[a:b], scorer)
+            for whole, part in ((found, x), (asked, at + start), (keys, key), (counts, count), (others, other)):
+                whole.append(part)
+        return np.concatenate(found), np.concatenate(asked), (np.concatenate(keys), np.concatenate(counts), np.concatenate(others))
+
+    def _parts(self, ids: np.ndarray, sizes: np.ndarray, scorer: attention.Scorer) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         before = self.before(ids, sizes)
         key, own, may = self.pairs.find(before, ids)
         left = self.pairs.left[before]
-        each, wanted = self.within[ids], self.class_of[ids]
+        each, wanted = np.take(self.within, ids, mode="clip"), np.append(np.take(self.class_of, ids, mode="clip"), np.zeros(WINDOW, self.class_of.dtype))
         for inputs, classes, place, scored in self.windows(ids, sizes):
-            found = attention.score(self.params, inputs, classes, self.prior, wanted[place])
+            found = scorer(inputs, classes, wanted[place])
             each[place[scored]] += found[scored]
         other = left * np.exp(each)
         asked = np.flatnonzero(may)
@@ -473,11 +509,11 @@ def learn(model: Model, docs: Iterator[tuple[int, int, np.ndarray]], rate: float
     """docs: group, any number and ids, by group.  Each group's parameters, from the model's on, and how many subwords taught it."""
     p, adam, group, seen = {}, None, None, 0
     waiting: list[np.ndarray] = []
-    rows = 0
+    rows, room = 0, attention.Room()
 
     def step(windows: np.ndarray) -> None:
         inputs, classes, wanted = windows
-        adam.step(p, attention.gradients(p, inputs, np.maximum(classes, 0), model.prior, wanted, (classes >= 0).astype(np.float32)))
+        adam.step(p, attention.gradients(p, inputs, np.maximum(classes, 0), model.prior, wanted, (classes >= 0).astype(np.float32), room))
 
     def steps(least: int) -> int:
         """In portions of BATCH windows, whatever batches they came in."""
@@ -522,7 +558,7 @@ def train(coded: DataFrame, id_counts: np.ndarray, pairs: DataFrame, rounds: int
     for number in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], rate=LEARNING / (1 + number)) -> Iterator[pa.RecordBatch]:
-            docs = ((g, key, np.frombuffer(ids, f"u{wide}")) for b in batches for g, key, wide, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
+            docs = ((g, key, np.frombuffer(ids, f"u{wide}")) for b in batches for g, key, wide, ids in zip(*(b.column(k).to_numpy().tolist() for k in range(3)), b.column(3).to_pylist(), strict=True))
             total = None
             for p, seen in learn(model, docs, rate):
                 flat = np.append(attention.pack(p), 1.0) * seen
@@ -575,7 +611,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, row in _rows(batches):
-            at = np.minimum(np.searchsorted(keys, c.words), max(0, len(keys) - 1))
+            order = np.argsort(c.words)  # a sorted search stays in one place of memory
+            at = np.empty(len(order), np.int64)
+            at[order] = np.minimum(np.searchsorted(keys, c.words[order]), max(0, len(keys) - 1))
             is_common = keys[at] == c.words if len(keys) else np.zeros(len(c.words), bool)
             n = np.where(is_common, counts[at] if len(keys) else 0, 0)
             base = np.where(is_common, np.log10((n + 1) / denominator), 0.0)

@@ -314,3 +314,67 @@ def test_coded_rows_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
     # The class pairs, the network's rounds, and the tables of pairs and words.
     assert [x for names, x in read if names == ("i", "x")] == [before, *["1"] * lm.ROUNDS]
     assert [x for names, x in read if names == ("key", "n")] == [before, before]
+
+
+def test_places_of_context_alone_get_no_output():
+    rng = np.random.default_rng(9)
+    p = attention.init(50, 8, 16)
+    inputs, before, wanted = rng.integers(0, 50, (5, 16)), rng.integers(0, 8, (5, 16)), rng.integers(0, 8, (5, 16))
+    prior = np.log(rng.dirichlet(np.ones(8), 8)).astype(np.float32)
+    whole = attention.score(p, inputs, before, prior, wanted)
+    assert np.allclose(attention.Scorer(p, prior)(inputs, before[:, 6:], wanted[:, 6:]), whole[:, 6:], atol=1e-6)
+    ids = rng.integers(0, 99, 32 + 24 * 9)
+    many = [place.size for _, _, place, _ in model_of(ids, None, 100).windows(ids, np.array([len(ids)]))]
+    assert sum(many) == len(ids)
+
+
+def test_batches_use_the_same_memory_again():
+    """With equal results, whatever was in it."""
+    rng = np.random.default_rng(10)
+    p, room = attention.init(50, 8, 32), attention.Room()
+    prior = np.log(rng.dirichlet(np.ones(8), 8)).astype(np.float32)
+    for n in (40, 3, 40, 17):
+        inputs, before, wanted = rng.integers(0, 50, (n, 32)), rng.integers(0, 8, (n, 32)), rng.integers(0, 8, (n, 32))
+        weight = rng.integers(0, 2, (n, 32)).astype(np.float32)
+        held = sorted(id(x) for x in room._held.values())
+        found = attention.gradients(p, inputs, before, prior, wanted, weight, room)
+        alone = attention.gradients(p, inputs, before, prior, wanted, weight)
+        assert all(np.array_equal(found[k], alone[k]) for k in p)
+        assert not held or held == sorted(id(x) for x in room._held.values())
+
+
+@pytest.mark.parametrize("rows", [0, 5, 256, 700])
+def test_products_in_blocks(rows):
+    rng = np.random.default_rng(11)
+    a, b, c = rng.standard_normal((rows, 7)), rng.standard_normal((rows, 4)), rng.standard_normal((7, 3))
+    assert np.allclose(attention._outer(a, b), a.T @ b)
+    assert np.allclose(attention.Room().product("x", a, c), a @ c)
+
+
+def test_scores_are_the_same_in_any_portions(monkeypatch):
+    rng = np.random.default_rng(12)
+    sizes = np.array([1, 70, 5, 300, 1, 24, 33])
+    ids = rng.integers(0, 99, sizes.sum())
+    model = model_of(ids, sizes, 100)
+    keys, n = np.unique(rng.integers(0, 100 * 100, 2000), return_counts=True)
+    model.pairs = lm.Pairs(keys[::2], n[::2], np.full(100, 400.0), np.zeros(100), lm.HashFilter(np.full(lm.HashFilter.BITS >> 6, ~np.uint64(0))))
+    monkeypatch.setattr(lm, "PORTION", 1 << 16)
+    whole = model.parts(ids, sizes)
+    assert len(whole[1])
+    for most in (1, 64, 100):
+        monkeypatch.setattr(lm, "PORTION", most)
+        found = model.parts(ids, sizes)
+        assert np.allclose(found[0], whole[0], atol=1e-4) and np.array_equal(found[1], whole[1])
+        assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(found[2], whole[2], strict=True))
+
+
+@pytest.mark.parametrize(("low", "high"), [(-9, 9), (0, 9), ((1 << 32) - 9, 1 << 32), (1 << 62, (1 << 62) + 9)])
+def test_a_tasks_counts_are_merged(low, high):
+    rng = np.random.default_rng(13)
+    keys, counts = [rng.integers(low, high, n) for n in (0, 30, 1)], [rng.integers(1, 1 << 30, n) for n in (0, 30, 1)]
+    wanted = Counter()
+    for k, n in zip(np.concatenate(keys).tolist(), np.concatenate(counts).tolist(), strict=True):
+        wanted[k] += n
+    key, n = lm._merged(keys, counts)
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == wanted
+    assert [len(x) for x in lm._merged(keys[:1], counts[:1])] == [0, 0]
