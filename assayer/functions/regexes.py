@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from assayer.functions.ranges import InvalidSchemaError
 
-_PLAIN = set(".^$|?*+\\[](){}wWdD")
-_BLANK = " \\f\\n\\r\\t"
+_PLAIN = set(".^$|?*+\\[](){}")
+#: Predefined classes are of ASCII, as the queries' SQL has them, in a class and outside.
+_CLASSES = {"d": "0-9", "s": " \\f\\n\\r\\t", "w": "a-zA-Z0-9_"}
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,8 @@ class Regex:
         self._translate(java=True)
 
     def java(self) -> str:
-        """(?d): only \\n ends lines.  (?u), (?U): case and classes of Unicode."""
-        return f"(?dU{'i' * self.ignore_case}{'u' * self.ignore_case}{'m' * self.multi_line})" + self._translate(java=True)
+        """(?d): only \\n ends lines.  (?u): case of Unicode."""
+        return f"(?d{'i' * self.ignore_case}{'u' * self.ignore_case}{'m' * self.multi_line})" + self._translate(java=True)
 
     def python(self) -> str:
         flags = "i" * self.ignore_case + "m" * self.multi_line
@@ -56,8 +57,8 @@ class Regex:
                 i += 1
                 if c in _PLAIN:
                     out.append("\\" + c)
-                elif c in "sS":
-                    out.append(f"[{'^' * (c == 'S')}{_BLANK}]")
+                elif c.lower() in _CLASSES:
+                    out.append(f"[{'^' * c.isupper()}{_CLASSES[c.lower()]}]")
                 else:
                     raise bad(f"\\{c} is not allowed")
             elif c == "$" and not self.multi_line:
@@ -121,12 +122,10 @@ class Regex:
                 elif d and d in "dswDSW":
                     if self.version == 1:
                         raise bad(f"\\{d} is not allowed in a class")
-                    if d == "w":
-                        out.append("a-zA-Z0-9_")
-                    elif d == "W":
-                        extra.append("^a-zA-Z0-9_")
+                    if d.islower():
+                        out.append(_CLASSES[d])
                     else:
-                        out.append("\\" + d)
+                        extra.append("^" + _CLASSES[d.lower()])
                 else:
                     raise bad(f"\\{d} is not allowed in a class")
             elif c == "\r":

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.ion import read_one
+from assayer.functions.ion import Element, read_one
 from assayer.operators import interpret
 from assayer.operators.api import Options, is_valid, validate, validate_document, violations
 from assayer.plans.system import SchemaSystem
@@ -229,3 +229,17 @@ def test_distinct_members_of_different_sql_types(spark):
     assert [r[0] for r in df.select(is_valid(df, t, col="s")).collect()] == [False, True]
     df = spark.sql("SELECT named_struct('a', 1, 'b', 1D, 'c', '1') s")
     assert [r[0] for r in df.select(is_valid(df, t, col="s")).collect()] == [True]
+
+
+@pytest.mark.parametrize("name", ["d", "s", "w"])
+def test_predefined_classes_are_of_ascii(spark, name):
+    """In a class and outside, in expressions and in the interpreter."""
+    members = {"d": "09", "s": " \f\n\t", "w": "azAZ09_"}[name]
+    chars = sorted({*"09azAZ_ \f\n\t\v-é٣  ª中"})
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    for pattern, inside in [(f"\\{name}", True), (f"\\{name.upper()}", False), (f"[\\{name}]", True), (f"[^\\{name}]", False), (f"[\\{name.upper()}]", False), (f"[^\\{name.upper()}]", True)]:
+        t = SchemaSystem().new_schema(f"$ion_schema_2_0 type::{{name: t, regex: \"^{pattern}$\"}}".replace("\\", "\\\\"), "x")["t"]
+        want = [(c in members) == inside for c in chars]
+        assert [interpret.is_valid(Element("string", c), t) for c in chars] == want, pattern
+        got = dict(df.select("c", is_valid(df, t, col="c")).collect())
+        assert [got[c] for c in chars] == want, pattern

@@ -82,3 +82,14 @@ def test_row_validation_does_not_shuffle(spark):
 def test_documents_are_combined_before_the_shuffle(spark):
     plan = plan_of(catalogue.document_element(spark, SF))
     assert "partial_bool_and" in plan or "partial_min" in plan or "partial_every" in plan
+
+
+def test_regex_dialect_equals_sql_beyond_ascii(spark, tmp_path):
+    texts = ["é a é", "à côté.", "a bé", "a b é", "٣x", "3٣", "x the x", "qü", "Data ſ", "È" + "x" * 40, "é."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("regex_dialect", "regex_flags"):
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        result = con.execute(catalogue.oracle_sql()[name])
+        assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
