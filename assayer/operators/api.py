@@ -7,7 +7,7 @@ each group) as one value of type document and needs only partial aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +95,15 @@ def _interpreted(df: DataFrame, t: Type, col, mode: str, schema: Schema | None)
     return out if mode == "report" else out.drop(text)
 
 
+def _once(texts: pa.Array, check: Callable) -> tuple[list[str | None], list, pa.Array]:
+    """A batch's texts without repeats, what check says of each, and which of them each row has."""
+    coded = texts.dictionary_encode(null_encoding="encode")
+    distinct = coded.dictionary.to_pylist()
+    return distinct, [check(x) for x in distinct], coded.indices
+
+
 def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | None = None, mode: str = "flag", document: bool = False) -> DataFrame:
-    """Validates Ion text exactly, in Arrow batches.  A text that is no Ion, or null, is invalid with code ion_error."""
+    """Validates Ion text exactly, in Arrow batches, each text of a batch once.  A text that is no Ion, or null, is invalid with code ion_error."""
     t = _type(schema, type_)
     name = schema.id if schema is not None else ""
 
@@ -112,9 +119,9 @@ def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | No
 
         def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(0).to_pylist()
-                found = [check(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(["Invalid" if v else "Valid" for v in found], pa.string()), pa.array(texts, pa.string()), pa.array([name] * len(texts), pa.string()), pa.array([v.tree() if v else None for v in found], pa.string())], ["result", "value", "schema", "violation"])
+                texts, found, at = _once(b.column(0), check)
+                columns = [["Invalid" if v else "Valid" for v in found], texts, [name] * len(texts), [v.tree() if v else None for v in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()).take(at) for c in columns], ["result", "value", "schema", "violation"])
 
         return df.select(col).mapInArrow(report, "result string, value string, schema string, violation string")
     verdict = _unused("_valid", df) if mode in ("filter", "reject") else "is_valid"
@@ -125,11 +132,11 @@ def validate_ion(df: DataFrame, col: str, type_: str | Type, schema: Schema | No
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [check(x) for x in b.column(at).to_pylist()]
-            more = [pa.array([v is None for v in found], pa.bool_())]
+            _, found, places = _once(b.column(at), check)
+            more = [pa.array([v is None for v in found], pa.bool_()).take(places)]
             if mode == "violations":
                 rows = [sorted(x.row() for x in v.leaves()) if v else [] for v in found]
-                more.append(pa.array([[dict(zip(("constraint", "code", "message", "path"), x, strict=True)) for x in r] for r in rows], leaf))
+                more.append(pa.array([[dict(zip(("constraint", "code", "message", "path"), x, strict=True)) for x in r] for r in rows], leaf).take(places))
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*rest, verdict, *["violations"] * (mode == "violations")])
 
     schema_ = T.StructType([*df.schema.fields]).add(verdict, "boolean")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.ion import Element, read_one
-from assayer.operators import interpret
+from assayer.functions.ion import Element, IonError, read_one
+from assayer.operators import api, interpret
 from assayer.operators.api import Options, is_valid, validate, validate_document, violations
 from assayer.plans.system import SchemaSystem
 
@@ -243,3 +244,31 @@ def test_predefined_classes_are_of_ascii(spark, name):
         assert [interpret.is_valid(Element("string", c), t) for c in chars] == want, pattern
         got = dict(df.select("c", is_valid(df, t, col="c")).collect())
         assert [got[c] for c in chars] == want, pattern
+
+
+def test_texts_of_a_batch_are_checked_once(spark):
+    """Rows that repeat a text cost no more, and each row gets its own text's verdict."""
+    seen = []
+    texts, found, at = api._once(pa.array(["5", None, "a", "5", None, "5"]), lambda x: seen.append(x) or str(x))
+    assert seen == texts == ["5", None, "a"]
+    assert [found[k] for k in at.to_pylist()] == ["5", "None", "a", "5", "None", "5"]
+
+    values = ["[true, 1]", "[true, a]", None, "[", "[1, [2]]", "'''x'''", ""]
+    rows = [(k, values[k * k % 11 % 7]) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, ion string").coalesce(1)
+    t = SchemaSystem().new_schema("$ion_schema_2_0 type::{name: t, ordered_elements: [bool, {type: int, occurs: range::[1, 2]}]}", "x")["t"]
+
+    def of(text):
+        try:
+            v = interpret.validate(interpret.read_value(text), t) if text is not None else interpret.Violation("ion", "ion_error", "no text", "( )")
+        except IonError as e:
+            v = interpret.Violation("ion", "ion_error", str(e), "( )")
+        return sorted(x.row() for x in v.leaves()) if v else [], v.tree() if v else None
+
+    want = [(k, x, not of(x)[0], of(x)[0]) for k, x in rows]
+    out = api.validate_ion(df, "ion", t, mode="violations").orderBy("id").collect()
+    assert [(r.id, r.ion, r.is_valid, [tuple(v) for v in r.violations]) for r in out] == want
+    assert [r.id for r in api.validate_ion(df, "ion", t, mode="filter").orderBy("id").collect()] == [k for k, _, ok, _ in want if ok]
+    assert [r.id for r in api.validate_ion(df, "ion", t, mode="reject").orderBy("id").collect()] == [k for k, _, ok, _ in want if not ok]
+    report = api.validate_ion(df, "ion", t, mode="report").collect()
+    assert [tuple(r) for r in report] == [("Valid" if ok else "Invalid", x, "", of(x)[1]) for _, x, ok, _ in want]
